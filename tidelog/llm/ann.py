@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch, finite_vector
 
-SAMPLE, TREES, LEAF, SHARE, SEED = 32_768, 16, 32, 1.4, 42
+SAMPLE, TREES, LEAF, SHARE, SEED = 32_768, 16, 32, 1.8, 42
 #: Candidates in a cell, about.
 CELL = 8192
 
