@@ -12,6 +12,7 @@ import public_tokenizers
 from .ann import nearest
 from .bpe import encode_decode
 from .exact_topk import exact_topk
+from .packing import pack
 from .shared import table
 from .token_counts import count_tokens
 
@@ -20,6 +21,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -53,6 +59,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op4_packing": op4_packing,
     "op5_ann": op5_ann,
     "op6_exact_topk": op6_exact_topk,
     "op7_bpe": op7_bpe,
