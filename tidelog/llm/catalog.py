@@ -14,6 +14,7 @@ from .bpe import encode_decode
 from .exact_topk import exact_topk
 from .packing import pack
 from .shared import table
+from .simhash import near_duplicates
 from .token_counts import count_tokens
 
 
@@ -21,6 +22,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -59,6 +64,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_simhash": op2_simhash,
     "op4_packing": op4_packing,
     "op5_ann": op5_ann,
     "op6_exact_topk": op6_exact_topk,
