@@ -25,6 +25,8 @@ MICRO = 1_000_000
 def ordered_fold(df: DataFrame, key: str, order: str, start: Callable[[], object], step: Callable[[object, dict], tuple], outputs: str) -> DataFrame:
     """Rows with the outputs of ``step(state, row) -> (state, *outputs)``, run over the rows of each key in order."""
     names = [f.split()[0] for f in outputs.split(", ")]
+    arrow = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+    kinds = [arrow[f.split()[1]] for f in outputs.split(", ")]
     rows = df.repartition(key).sortWithinPartitions(key, order)
     schema = StructType([*rows.schema, *StructType.fromDDL(outputs)])
 
@@ -37,7 +39,7 @@ def ordered_fold(df: DataFrame, key: str, order: str, start: Callable[[], object
                     last, state, begun = row[key], start(), True
                 state, *out = step(state, row)
                 made.append(tuple(out))
-            extra = [pa.array([m[i] for m in made]) for i in range(len(names))]
+            extra = [pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *names])
 
     return rows.mapInArrow(run, schema)
