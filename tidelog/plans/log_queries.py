@@ -209,8 +209,8 @@ _NUMBERED = "n AS (SELECT user_id, event_id, event_id * 1500 AS micros, (event_i
     f"""WITH RECURSIVE {_NUMBERED}, f AS (
   SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS event_id, CAST(0 AS DOUBLE) AS ema, CAST(100 AS BIGINT) AS size FROM events GROUP BY user_id
   UNION ALL
-  SELECT f.user_id, n.k, n.event_id, 0.3 * n.latency + 0.7 * f.ema,
-    CASE WHEN n.latency >= 5000 THEN greatest(10, f.size // 2) WHEN n.latency < 1000 AND 0.3 * n.latency + 0.7 * f.ema < 1000 THEN least(500, f.size + greatest(10, f.size // 10)) ELSE f.size END
+  SELECT f.user_id, n.k, n.event_id, CAST(0.3 AS DOUBLE) * n.latency + 0.7 * f.ema,
+    CASE WHEN n.latency >= 5000 THEN greatest(10, f.size // 2) WHEN n.latency < 1000 AND CAST(0.3 AS DOUBLE) * n.latency + 0.7 * f.ema < 1000 THEN least(500, f.size + greatest(10, f.size // 10)) ELSE f.size END
   FROM f JOIN n ON n.user_id = f.user_id AND n.k = f.k + 1)
 SELECT event_id, round(ema, 6) AS ema, CAST(size AS INTEGER) AS batch_size FROM f WHERE k > 0""",
 )
