@@ -24,8 +24,20 @@ MEMO = 400_000
 
 
 def texts_of(column: pa.Array) -> pa.Array:
-    """Null: empty."""
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    """Null: empty. The offsets begin at zero, as ascii_lower needs them."""
+    texts = pc.fill_null(column.cast(pa.large_string()), "")
+    if not len(texts):
+        return pa.array([], pa.large_string())
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if at[0] == 0 and texts.offset == 0:
+        return texts
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(at - at[0]), data.slice(at[0], at[-1] - at[0]))
+
+
+def strings(array: pa.Array) -> list[str]:
+    """Through numpy, which is several times as fast as to_pylist."""
+    return array.to_numpy(zero_copy_only=False).tolist()
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -75,7 +87,7 @@ class PreTokens:
         # A text's first chunk has no leading space: codes of its own, above those of the other chunks.
         heads, own = np.unique(codes[firsts], return_inverse=True)
         codes[firsts] = own + len(distinct)
-        chunks = [" " + c for c in distinct.to_pylist()] + distinct.take(pa.array(heads)).to_pylist()
+        chunks = [" " + c for c in strings(distinct)] + strings(distinct.take(pa.array(heads)))
         if odd.any():
             more = {i: self.split(texts[int(i)].as_py()) for i in np.flatnonzero(odd)}
             new = {p: len(chunks) + n for n, p in enumerate(dict.fromkeys(p for found in more.values() for p in found))}
