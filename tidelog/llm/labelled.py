@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pretokens import strings
 from .shared import crc32_text
 
 #: At most so many labelled rows of a class, and so many bytes of their texts, are used to fit a model.
@@ -40,7 +41,7 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """The number of the text of each word, each word's code, and by code the word; split at white space, in lower case."""
     lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
     coded = lists.flatten().dictionary_encode()
-    codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    codes, distinct = coded.indices.to_numpy().astype(np.int64), strings(coded.dictionary)
     offsets = lists.offsets.to_numpy()
     of_text = np.repeat(np.arange(len(texts)), np.diff(offsets))
     full = np.array([bool(w) for w in distinct], bool)  # white space at an end gives an empty word

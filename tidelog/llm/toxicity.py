@@ -29,6 +29,8 @@ BUCKETS, DIM, NGRAMS = 1 << 17, 8, range(3, 7)
 EPOCHS, LEAST_STEPS, BATCH, RATE, WEIGHT_RATE, DECAY = 20, 200, 64, 0.1, 0.1, 1e-2
 #: Documents that must share a subword for it to count, documents that its spread is shrunk by, and standard errors.
 LEAST_DOCS, PRIOR_DOCS, LEAST_CONTRAST = 3, 5, 3.0
+#: Documents that are taken apart at once while fitting.
+PASS_DOCS = 128
 FOLDS, HELD_OUT_FOLD, THRESHOLD = 5, 0, 0.5
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,12 +101,14 @@ class SubwordSoftmax:
         self.words = Memo()
 
     def fit(self, texts: pa.Array, labels: np.ndarray, counts: dict[int, int]) -> SubwordSoftmax:
-        doc, bucket, weight = document_rows(texts)
-        seen_in = np.bincount(bucket, minlength=BUCKETS)
-        self.useful = seen_in >= LEAST_DOCS  # what one or two documents have says nothing of others
-        self.unit = self._units(labels, doc, bucket, weight.astype(np.float64), seen_in)
-        kept = self.unit[bucket] > 0
-        doc, bucket, weight = doc[kept], bucket[kept], (weight * self.unit[bucket])[kept].astype(np.float32)
+        """In two passes over the texts, some at a time: one for the buckets' units, one for the rows of the buckets that are used."""
+        self.unit = self._units(texts, labels)
+        docs, buckets, weights = [], [], []
+        for s in range(0, len(texts), PASS_DOCS):
+            doc, bucket, weight = document_rows(texts_of(texts[s : s + PASS_DOCS]))
+            kept = self.unit[bucket] > 0
+            docs.append((doc[kept] + s).astype(np.int32)), buckets.append(bucket[kept].astype(np.int32)), weights.append((weight * self.unit[bucket])[kept].astype(np.float32))
+        doc, bucket, weight = np.concatenate(docs), np.concatenate(buckets), np.concatenate(weights)
         ends = np.searchsorted(doc, np.arange(len(labels) + 1))
         share = np.bincount(labels, minlength=2) / len(labels)
         self.bias = np.log(share).astype(np.float32)
@@ -117,17 +121,24 @@ class SubwordSoftmax:
         self.bias = (self.bias + np.log(true / true.sum()) - np.log(share)).astype(np.float32)
         return self
 
-    def _units(self, labels, doc, bucket, weight, seen_in) -> np.ndarray:
+    def _units(self, texts: pa.Array, labels: np.ndarray) -> np.ndarray:
         """Vectors are learnt in units of their bucket's spread, so that rare and common subwords move alike, times how far the classes' means
         lie apart beyond ``LEAST_CONTRAST`` standard errors: what does not tell the classes apart would only be learnt by heart."""
         n = len(labels)
-        sums = [np.bincount(bucket, weights=weight * (labels[doc] == k), minlength=BUCKETS) for k in (0, 1)]
-        square = np.bincount(bucket, weights=weight**2, minlength=BUCKETS)
+        seen_in, square, sums = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS), [np.zeros(BUCKETS), np.zeros(BUCKETS)]
+        for s in range(0, n, PASS_DOCS):
+            doc, bucket, weight = document_rows(texts_of(texts[s : s + PASS_DOCS]))
+            weight = weight.astype(np.float64)
+            seen_in += np.bincount(bucket, minlength=BUCKETS)
+            square += np.bincount(bucket, weights=weight**2, minlength=BUCKETS)
+            for k in (0, 1):
+                sums[k] += np.bincount(bucket, weights=weight * (labels[doc + s] == k), minlength=BUCKETS)
         of_class = [(labels == k).sum() for k in (0, 1)]
         spread = np.sqrt(np.maximum(square / n - ((sums[0] + sums[1]) / n) ** 2, 1e-30) * (1 / of_class[0] + 1 / of_class[1]))
         contrast = np.abs(sums[1] / of_class[1] - sums[0] / of_class[0]) / spread
         unit = 1 / np.sqrt(np.maximum(square * (1 + PRIOR_DOCS / np.maximum(1, seen_in)) / n, 1e-30))
-        return np.where(self.useful, unit * np.maximum(0, contrast - LEAST_CONTRAST) / 10, 0)
+        # What one or two documents have says nothing of others.
+        return np.where(seen_in >= LEAST_DOCS, unit * np.maximum(0, contrast - LEAST_CONTRAST) / 10, 0)
 
     def _step(self, rows, labels, ends, bucket, weight, rate) -> None:
         size = ends[rows + 1] - ends[rows]
@@ -150,7 +161,7 @@ class SubwordSoftmax:
         """As each bucket's share in the log-odds of label 1: all that scoring needs."""
         self.odds = self.unit * (self.vectors @ (self.weights[:, 1] - self.weights[:, 0])).astype(np.float64)
         self.start = float(self.bias[1] - self.bias[0])
-        del self.vectors, self.unit, self.useful
+        del self.vectors, self.unit
         return self
 
     def _of_words(self, distinct: list[str]) -> list[float]:
