@@ -20,7 +20,8 @@ def test_stream_equals_batch(spark, tmp_path):
     raw = _raw(spark, FOLDER).cache()
     for k in range(3):
         logs.land(raw.where(F.col("arrival_seq") % 3 == k).coalesce(1), landing)
-    start_ingestion(spark, landing, root, now=now()).awaitTermination()
+    query = start_ingestion(spark, landing, root, now=now())
+    assert query.awaitTermination(120)
     store = Store(spark, root)
     whole = issues.rollup(store.rows().drop("batch"))
     found = store.issues()
@@ -61,9 +62,9 @@ def test_blobs(spark, tmp_path):
 
 
 def test_streamed_rate_limit(spark, tmp_path):
-    rows = spark.range(20).select(F.lit("k").alias("api_key"), (F.col("id") * 1000).alias("micros"))
+    rows = spark.range(20).select(F.lit("k").alias("api_key"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 1000).alias("requested_at"))
     rows.coalesce(1).write.json(f"{tmp_path}/in")
-    requests = spark.readStream.schema("api_key string, micros long").json(f"{tmp_path}/in")
+    requests = spark.readStream.schema("api_key string, requested_at timestamp").json(f"{tmp_path}/in")
     query = limit_rate(requests, 5).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    query.awaitTermination()
+    assert query.awaitTermination(90)
     assert spark.table("limited").where("passed").count() == 5

@@ -15,6 +15,10 @@ def contains_json(c: Column, pattern: str | dict) -> Column:
     return F.coalesce(_holds(F.try_parse_json(c), wanted), F.lit(False))
 
 
+def _holder(wanted):
+    return lambda item: F.coalesce(_holds(item, wanted), F.lit(False))
+
+
 def _holds(v: Column, wanted) -> Column:
     kind = F.schema_of_variant(v)
     if isinstance(wanted, dict):
@@ -22,7 +26,7 @@ def _holds(v: Column, wanted) -> Column:
         return reduce(Column.__and__, parts, kind.startswith("OBJECT"))
     if isinstance(wanted, list):
         items = F.try_variant_get(v, "$", "array<variant>")
-        parts = [F.exists(items, lambda item, x=x: F.coalesce(_holds(item, x), F.lit(False))) for x in wanted]
+        parts = [F.exists(items, _holder(x)) for x in wanted]
         return reduce(Column.__and__, parts, kind.startswith("ARRAY"))
     if wanted is None:
         return F.is_variant_null(v)

@@ -12,28 +12,27 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.control import take_token
 
 
-def limit_rate(requests: DataFrame, capacity: int, key: str = "api_key", micros: str = "micros", idle_ms: int = 3_600_000) -> DataFrame:
-    """Streamed requests with passed, remaining and retry_after; within a micro-batch, in order of time. A bucket that is idle for ``idle_ms`` is dropped: it would be full."""
+def limit_rate(requests: DataFrame, capacity: int, key: str = "api_key", at: str = "requested_at", late: str = "10 seconds", idle_ms: int = 3_600_000) -> DataFrame:
+    """Streamed requests with passed, remaining and retry_after; within a micro-batch, in order of time. A bucket that is idle for ``idle_ms`` of event time is forgotten: it would be full."""
 
     def run(of: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(parts)).sort_values(micros, kind="stable")
+        times = sorted(int(t) for part in parts for t in part["micros"])
         level, last = state.get if state.exists else (None, None)
         out = []
-        for now in rows[micros]:
-            level, passed, left, wait = take_token(level, last, int(now), capacity)
-            last = int(now)
-            out.append((of[0], last, passed, left, wait))
+        for now in times:
+            level, passed, left, wait = take_token(level, last, now, capacity)
+            last = now if last is None else max(last, now)
+            out.append((of[0], now, passed, left, wait))
         state.update((level, last))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame(out, columns=["key", "micros", "passed", "remaining", "retry_after"])
 
     kind = requests.schema[key].dataType.simpleString()
-    limited = requests.select(key, F.col(micros).alias(micros)).groupBy(key).applyInPandasWithState(
-        run, f"key {kind}, micros long, passed boolean, remaining long, retry_after long", "level long, last long", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    timed = requests.withWatermark(at, late).select(key, at, F.unix_micros(at).alias("micros"))
+    limited = timed.groupBy(key).applyInPandasWithState(run, f"key {kind}, micros long, passed boolean, remaining long, retry_after long", "level long, last long", "append", GroupStateTimeout.EventTimeTimeout)
     return limited.withColumnRenamed("key", key)
 
 
