@@ -12,6 +12,7 @@ import public_tokenizers
 from .ann import nearest
 from .bpe import encode_decode
 from .exact_topk import exact_topk
+from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .packing import pack
 from .quality import score_quality
@@ -57,6 +58,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.drop("text")
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ann": op5_ann,
     "op6_exact_topk": op6_exact_topk,
     "op7_bpe": op7_bpe,
+    "op8_license_scan": op8_license_scan,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
