@@ -6,7 +6,8 @@ from tidelog.operators import issues
 from tidelog.plans.log_queries import _raw
 from tidelog.sources import logs
 from tidelog.streaming.ingest import Store, start_ingestion, take_batch
-from tidelog.streaming.state import limit_rate
+from tidelog.streaming.metrics import Progress, counted
+from tidelog.streaming.state import expiring_store, limit_rate
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -68,3 +69,21 @@ def test_streamed_rate_limit(spark, tmp_path):
     query = limit_rate(requests, 5).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     assert query.awaitTermination(90)
     assert spark.table("limited").where("passed").count() == 5
+
+
+def test_expiring_store(spark, tmp_path):
+    calls = [("a", "set", "1", 10, 0), ("a", "get", None, None, 5), ("a", "get", None, None, 10), ("b", "set", "2", 100, 0), ("b", "take", None, None, 1), ("b", "take", None, None, 2), ("c", "get", None, None, 3), ("d", "set", "4", 0, 0), ("d", "get", None, None, 1), ("e", "set", "5", 50, 0), ("e", "delete", None, None, 1), ("e", "get", None, None, 2)]
+    rows = spark.createDataFrame(calls, "key string, op string, value string, ttl_seconds long, second long").withColumn("at", F.timestamp_seconds(1_700_000_000 + F.col("second"))).drop("second")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    query = expiring_store(stream).writeStream.format("memory").queryName("answers").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    assert query.awaitTermination(90)
+    got = sorted((r["key"], r["micros"] // 1_000_000 - 1_700_000_000, r["answer"]) for r in spark.table("answers").collect())
+    assert got == [("a", 5, "1"), ("a", 10, None), ("b", 1, "2"), ("b", 2, None), ("c", 3, None), ("d", 1, None), ("e", 2, None)]
+
+
+def test_counters(spark):
+    df, seen = counted(spark.createDataFrame([(1, "x"), (2, None)], "i int, reason string"), "rows", "reason")
+    df.collect()
+    assert seen.get == {"rows": 2, "flagged": 1}
+    assert Progress().batches == {}

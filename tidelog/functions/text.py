@@ -100,3 +100,14 @@ def issue_title(archive: Column) -> Column:
     line = jtrim(first_line(archive))
     cut = F.when(F.length(line) > 500, F.concat(F.substring(line, 1, 497), F.lit("..."))).otherwise(line)
     return F.when(F.coalesce(F.length(archive), F.lit(0)) == 0, F.lit("Unknown Error")).otherwise(cut)
+
+
+#: The initial consonants of Hangul syllables, in their order; each begins 588 syllables from U+AC00 on.
+INITIALS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
+
+
+def choseong(c: Column) -> Column:
+    """Each Hangul syllable as its initial consonant; other characters stay. A search key for names."""
+    initials = F.array(*(F.lit(x) for x in INITIALS))
+    one = lambda x: F.when(x.between("가", "힣"), F.get(initials, F.floor((F.conv(F.hex(F.encode(x, "UTF-16BE")), 16, 10).cast("int") - 0xAC00) / 588).cast("int"))).otherwise(x)
+    return F.array_join(F.transform(F.split(c, ""), one), "")

@@ -152,6 +152,13 @@ def breaker_states(df: DataFrame, key: str, order: str, micros: str, failed: str
     return ordered_fold(df, key, order, Breaker, step, "breaker string, let_through boolean")
 
 
+def transitions(df: DataFrame, key: str, order: str, state: str) -> DataFrame:
+    """from_state, to_state, times: changes of state between neighbouring rows of a key."""
+    before = F.lag(state).over(Window.partitionBy(key).orderBy(order))
+    moved = df.select(before.alias("from_state"), F.col(state).alias("to_state")).where("from_state != to_state")
+    return moved.groupBy("from_state", "to_state").agg(F.count("*").alias("times"))
+
+
 def consumed_once(reads: DataFrame, key: str, order: str) -> DataFrame:
     """Reads of one-time tokens, with ``won``: the first reader of a token gets it."""
     return reads.withColumn("won", F.row_number().over(Window.partitionBy(key).orderBy(order)) == 1)

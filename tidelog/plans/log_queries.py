@@ -290,3 +290,23 @@ def o07_chunks(spark, folder):
 def a11_page_meta(spark, folder):
     """Totals of a page (also o04)."""
     return paging.page_meta(a06_issues(spark, folder), 2, 10)
+
+
+@query("t23_transitions", "SELECT from_state, to_state, count(*) AS times FROM (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS from_state, event_type AS to_state FROM events) WHERE from_state <> to_state GROUP BY ALL")
+def t23_transitions(spark, folder):
+    return control.transitions(table(spark, folder, "events"), "user_id", "event_id", "event_type")
+
+
+@query("s08_lookup", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 33")
+def s08_lookup(spark, folder):
+    """By primary key; the filter reaches the scan."""
+    return table(spark, folder, "orders").where(F.col("o_orderkey") == 33).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("t02_flush_batches", "SELECT user_id, CAST((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 10 AS BIGINT) AS flush, event_id FROM events")
+def t02_flush_batches(spark, folder):
+    """Rows of each buffer in flushes of ten (t02, o08)."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    return table(spark, folder, "events").select("user_id", F.floor((place - 1) / 10).cast("long").alias("flush"), "event_id")

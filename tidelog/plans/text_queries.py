@@ -199,3 +199,14 @@ def f29_json(spark, folder):
 @query("f30_to_json", """SELECT event_id, concat('{"event_type":"', event_type, '","user_id":', user_id, '}') AS body FROM events""")
 def f30_to_json(spark, folder):
     return table(spark, folder, "events").select("event_id", parsing.to_json_text(F.struct("event_type", "user_id")).alias("body"))
+
+
+_CHOSEONG = "list_transform(string_split(label, ''), lambda c: CASE WHEN c BETWEEN '가' AND '힣' THEN substr('ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ', CAST((ord(c) - 44032) // 588 + 1 AS INTEGER), 1) ELSE c END)"
+_LABEL_ROWS = ", ".join(f"('{label}')" for label in parsing.CATEGORIES.values())
+
+
+@query("x02_choseong", f"SELECT label, array_to_string({_CHOSEONG}, '') AS initials FROM (VALUES {_LABEL_ROWS}) AS t(label)")
+def x02_choseong(spark, folder):
+    """Initial consonants of the category labels (declared search key)."""
+    labels = spark.createDataFrame([(label,) for label in parsing.CATEGORIES.values()], "label string")
+    return labels.select("label", text.choseong(F.col("label")).alias("initials"))

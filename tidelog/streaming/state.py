@@ -36,8 +36,30 @@ def limit_rate(requests: DataFrame, capacity: int, key: str = "api_key", at: str
     return limited.withColumnRenamed("key", key)
 
 
-def live_values(writes: DataFrame, key: str = "key", at: str = "written_at", ttl: str = "ttl_seconds", late: str = "1 minute") -> DataFrame:
-    """Streamed writes that are the newest of their key by event time, with ``expires_at``; keys are forgotten once the watermark passes it."""
-    timed = writes.withWatermark(at, late)
-    newest = timed.withColumn("expires_at", F.col(at) + F.make_dt_interval(secs=F.col(ttl)))
-    return newest.groupBy(key, F.window(at, "1 hour")).agg(F.max_by(F.struct("value", "expires_at"), at).alias("v")).select(key, "v.value", "v.expires_at")
+def expiring_store(calls: DataFrame, late: str = "10 seconds") -> DataFrame:
+    """A streamed key-value store with expiry. calls: key, op (set, get, take or delete), value, ttl_seconds, at; answers of get and take: key, micros, op, answer.
+
+    Calls of a key are served in order of time within a micro-batch. A get after expiry, or of a key never set, answers null; take answers once and deletes. A set without a positive ttl stores nothing.
+    Keys whose value has expired before the watermark are forgotten.
+    """
+
+    def run(of: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        value, expires = state.get if state.exists else (None, 0)
+        answers = []
+        for call in pd.concat(list(parts)).sort_values("micros", kind="stable").itertuples(index=False):
+            held = value if call.micros < expires else None
+            if call.op == "set":
+                value, expires = (call.value, int(call.micros + call.ttl_seconds * 1_000_000)) if call.ttl_seconds > 0 else (value, expires)
+            elif call.op != "delete":
+                answers.append((of[0], int(call.micros), call.op, held))
+            if call.op in ("delete", "take"):
+                value, expires = None, 0
+        state.update((value, expires))
+        state.setTimeoutTimestamp(max(expires // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(answers, columns=["key", "micros", "op", "answer"])
+
+    timed = calls.withWatermark("at", late).select("key", "op", "value", F.coalesce("ttl_seconds", F.lit(0)).cast("long").alias("ttl_seconds"), "at", F.unix_micros("at").alias("micros"))
+    return timed.groupBy("key").applyInPandasWithState(run, "key string, micros long, op string, answer string", "value string, expires long", "append", GroupStateTimeout.EventTimeTimeout)
