@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import exception_type, jtrim, message, normalize_message
+from .text import first_line, jtrim, let, message_of_line, normalize_message, type_of_line
 
 #: A frame (package and class, method, file, line), a numbered lambda, and the prefixes of library frames.
 FRAME = r"at\s+([a-zA-Z0-9_.]+)\.([a-zA-Z0-9_<>$]+)\(([^:)]+):?(\d+)?\)"
@@ -23,8 +23,13 @@ FULL_STACK_FRAMES = 3
 
 def stack_lines(archive: Column) -> Column:
     """The trimmed lines that begin with 'at '; null where the text has none."""
+    return let(_at_lines(archive), lambda lines: F.when(F.size(lines) > 0, lines))
+
+
+def _at_lines(archive: Column) -> Column:
+    """An empty array for a text that has none; most texts are passed over without being split."""
     lines = F.filter(F.transform(F.split(archive, r"\r?\n"), jtrim), lambda line: line.startswith("at "))
-    return F.when(F.size(lines) > 0, lines)
+    return F.when(F.contains(archive, F.lit("at ")), lines).otherwise(F.array().cast("array<string>"))
 
 
 def is_library(package: Column) -> Column:
@@ -63,21 +68,29 @@ def format_frame(line: Column) -> Column:
 
 def app_frames(archive: Column, prefixes: Sequence[str] = APP_PREFIXES) -> Column:
     """The application's frames, normalised, in order; an empty array for a text without any."""
-    lines = F.coalesce(stack_lines(archive), F.array().cast("array<string>"))
-    own = F.filter(lines, lambda line: (frame_part(line, 1) != "") & ~is_library(frame_part(line, 1)) & is_app(frame_part(line, 1), prefixes))
-    return F.transform(own, format_frame)
+    own = lambda line: let(frame_part(line, 1), lambda package: (package != "") & ~is_library(package) & is_app(package, prefixes))
+    return F.transform(F.filter(_at_lines(archive), own), format_frame)
 
 
 def fingerprint(archive: Column, severity: Column, category: Column, prefixes: Sequence[str] = APP_PREFIXES) -> Column:
     """struct(fingerprint, quality, strategy). Tiers by what the text has: three frames, one, type and message, message, nothing."""
-    frames, kind, said = app_frames(archive, prefixes), exception_type(archive), message(archive)
-    n = F.size(frames)
-    stack = F.concat(F.coalesce(F.concat(kind, F.lit("\n")), F.lit("")), F.array_join(frames, "\n"), F.lit("\n"))
     fallback = F.concat_ws("_", F.coalesce(severity, F.lit("null")), F.coalesce(category, F.lit("null")))
-    typed, spoken = kind.isNotNull() & said.isNotNull(), F.length(said) > 0
-    text = F.when(n >= 1, stack).when(typed, F.concat(kind, F.lit("\n"), normalize_message(said))).when(spoken, normalize_message(said)).otherwise(fallback)
-    tier = F.when(n >= FULL_STACK_FRAMES, "HIGH").when(n >= 1, "MEDIUM").when(typed, "LOW").when(spoken, "VERY_LOW").otherwise("FALLBACK")
-    return F.struct(F.sha2(text, 256).alias("fingerprint"), tier.alias("quality"), strategy(tier).alias("strategy"))
+
+    def of_parts(p: Column) -> Column:
+        frames, kind, said = p["frames"], p["kind"], p["said"]
+        n, typed, spoken = F.size(frames), kind.isNotNull() & said.isNotNull(), F.length(said) > 0
+        stack = F.concat(F.coalesce(F.concat(kind, F.lit("\n")), F.lit("")), F.array_join(frames, "\n"), F.lit("\n"))
+        plain = F.concat(F.when(typed, F.concat(kind, F.lit("\n"))).otherwise(""), normalize_message(said))
+        text = F.when(n >= 1, stack).when(typed | spoken, plain).otherwise(fallback)
+        tier = F.when(n >= FULL_STACK_FRAMES, "HIGH").when(n >= 1, "MEDIUM").when(typed, "LOW").when(spoken, "VERY_LOW").otherwise("FALLBACK")
+        return F.struct(F.sha2(text, 256).alias("fingerprint"), tier.alias("quality"))
+
+    def of_line(line: Column) -> Column:
+        said = F.when(F.length(archive) > 0, message_of_line(line))
+        return F.struct(app_frames(archive, prefixes).alias("frames"), type_of_line(line).alias("kind"), said.alias("said"))
+
+    found = let(let(jtrim(first_line(archive)), of_line), of_parts)
+    return let(found, lambda f: F.struct(f["fingerprint"].alias("fingerprint"), f["quality"].alias("quality"), strategy(f["quality"]).alias("strategy")))
 
 
 def strategy(tier: Column) -> Column:

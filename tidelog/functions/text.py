@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ ADDRESS = r"@[0-9a-fA-F]+"
 NUMBER = EDGE_L + r"\d+" + EDGE_R
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def jtrim(c: Column) -> Column:
     """Both ends without characters up to U+0020: more than SQL's trim, which takes spaces only."""
     return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
@@ -83,23 +90,27 @@ def normalize_message(c: Column) -> Column:
 
 def exception_type(archive: Column) -> Column:
     """What stands before the first colon of the trimmed first line, if it has a dot; else null."""
-    line = jtrim(first_line(archive))
-    part = jtrim(F.substring_index(line, ":", 1))
-    return F.when(F.contains(line, F.lit(":")) & F.contains(part, F.lit(".")), part)
+    return let(jtrim(first_line(archive)), type_of_line)
 
 
 def message(archive: Column) -> Column:
     """What follows the first colon of the trimmed first line, or the whole line; null for a null or empty archive."""
-    line = jtrim(first_line(archive))
-    after = jtrim(line.substr(F.instr(line, ":") + 1, F.length(line)))
-    return F.when(F.length(archive) > 0, F.when(F.contains(line, F.lit(":")), after).otherwise(line))
+    return F.when(F.length(archive) > 0, let(jtrim(first_line(archive)), message_of_line))
+
+
+def type_of_line(line: Column) -> Column:
+    part = let(F.when(F.contains(line, F.lit(":")), F.substring_index(line, ":", 1)), jtrim)
+    return let(part, lambda p: F.when(F.contains(p, F.lit(".")), p))
+
+
+def message_of_line(line: Column) -> Column:
+    return F.when(F.contains(line, F.lit(":")), jtrim(line.substr(F.instr(line, ":") + 1, F.length(line)))).otherwise(line)
 
 
 def issue_title(archive: Column) -> Column:
     """The trimmed first line, cut at 500 characters; null and empty archives have a title of their own."""
-    line = jtrim(first_line(archive))
-    cut = F.when(F.length(line) > 500, F.concat(F.substring(line, 1, 497), F.lit("..."))).otherwise(line)
-    return F.when(F.coalesce(F.length(archive), F.lit(0)) == 0, F.lit("Unknown Error")).otherwise(cut)
+    cut = lambda line: F.when(F.length(line) > 500, F.concat(F.substring(line, 1, 497), F.lit("..."))).otherwise(line)
+    return F.when(F.coalesce(F.length(archive), F.lit(0)) == 0, F.lit("Unknown Error")).otherwise(let(jtrim(first_line(archive)), cut))
 
 
 #: The initial consonants of Hangul syllables, in their order; each begins 588 syllables from U+AC00 on.
