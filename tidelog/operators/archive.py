@@ -23,9 +23,16 @@ def group_summaries(groups: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def versions(documents: DataFrame) -> DataFrame:
-    """Documents with ``place`` in their group, newest version first."""
-    newest = Window.partitionBy("group_id").orderBy(*(F.desc(c) for c in VERSION), "document_id")
-    return documents.withColumn("place", F.row_number().over(newest))
+    """Documents with ``place`` in their group, newest version first.
+
+    Ranked within (group, major, minor), behind the counts of the newer ones, so that a group of any size is dealt over many tasks.
+    """
+    by_minor = documents.groupBy("group_id", "major", "minor").agg(F.count("*").alias("_n"))
+    newer = Window.partitionBy("group_id").orderBy(F.desc("major"), F.desc("minor")).rowsBetween(Window.unboundedPreceding, -1)
+    before = by_minor.select("group_id", "major", "minor", F.coalesce(F.sum("_n").over(newer), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("group_id", "major", "minor").orderBy(F.desc("patch"), "document_id")
+    placed = documents.withColumn("_own", F.row_number().over(own)).join(before, ["group_id", "major", "minor"])
+    return placed.withColumn("place", (F.col("_before") + F.col("_own")).cast("int")).select(*documents.columns, "place")
 
 
 def latest(documents: DataFrame) -> DataFrame:
@@ -65,8 +72,11 @@ def existing(requests: DataFrame, stored: DataFrame, *key: str) -> DataFrame:
     return requests.join(stored.select(*key), list(key), "left_semi")
 
 
-def _first_of(key: list[str]) -> Column:
-    return F.row_number().over(Window.partitionBy(*key).orderBy("seq")) == 1
+def _first_wins(rows: DataFrame, key: list[str], refusal: str) -> DataFrame:
+    """Of the rows without a reason yet, all but the first of each key get one. The first is found by a partial minimum, so a key that very many ask for is no single task's work."""
+    first = rows.where("reason IS NULL").groupBy(*key).agg(F.min("seq").alias("_first"))
+    joined = rows.join(first, key, "left")
+    return joined.withColumn("reason", F.coalesce("reason", F.when(F.col("seq") > F.col("_first"), refusal))).drop("_first")
 
 
 def _marked(requests: DataFrame, stored: DataFrame, key: list[str], flag: str) -> DataFrame:
@@ -98,8 +108,8 @@ def upload_documents(requests: DataFrame, groups: DataFrame, documents: DataFram
     reason = F.when(F.coalesce(F.col("size"), F.lit(0)) <= 0, "no_file").when(F.coalesce(F.length("file_name"), F.lit(0)) == 0, "no_file").when(fields, "bad_fields").when(~F.col("_project"), "no_project").when(F.col("_group"), "group_exists").when(F.col("_same"), "same_content")
     rows = rows.withColumn("reason", reason)
     # Among requests that are fine by themselves, the first of a group and of a content wins.
-    rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & ~F.row_number().over(Window.partitionBy("project_id", "category", "group_name", F.col("reason").isNull()).orderBy("seq")).eqNullSafe(1), "group_exists").otherwise(F.col("reason")))
-    rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & ~F.row_number().over(Window.partitionBy("project_id", "hash", F.col("reason").isNull()).orderBy("seq")).eqNullSafe(1), "same_content").otherwise(F.col("reason")))
+    rows = _first_wins(rows, ["project_id", "category", "group_name"], "group_exists")
+    rows = _first_wins(rows, ["project_id", "hash"], "same_content")
     return _split(_as_document(rows).drop("_project", "_group", "_same"))
 
 
@@ -112,8 +122,8 @@ def upload_versions(requests: DataFrame, groups: DataFrame, documents: DataFrame
     no_file = (F.coalesce(F.col("size"), F.lit(0)) <= 0) | (F.coalesce(F.length("file_name"), F.lit(0)) == 0)
     reason = F.when(no_file, "no_file").when(_bad_fields(), "bad_fields").when(F.col("project_id").isNull(), "no_group").when(F.col("_version"), "version_exists").when(F.col("_same"), "same_content")
     rows = rows.withColumn("reason", reason)
-    rows = rows.withColumn("reason", F.coalesce("reason", F.when(~F.row_number().over(Window.partitionBy("group_id", *VERSION, F.col("reason").isNull()).orderBy("seq")).eqNullSafe(1), "version_exists")))
-    rows = rows.withColumn("reason", F.coalesce("reason", F.when(~F.row_number().over(Window.partitionBy("project_id", "hash", F.col("reason").isNull()).orderBy("seq")).eqNullSafe(1), "same_content")))
+    rows = _first_wins(rows, ["group_id", *VERSION], "version_exists")
+    rows = _first_wins(rows, ["project_id", "hash"], "same_content")
     return _split(_as_document(rows).drop("_version", "_same"))
 
 
@@ -177,8 +187,8 @@ def relabel_groups(groups: DataFrame, changes: DataFrame, column: str) -> tuple[
     key = ["project_id", "category", "group_name"]
     asked = changes.join(groups, "group_id", "left").withColumn(column, F.coalesce("new_value", column))
     asked = _marked(asked, groups, key, "_taken").withColumn("seq", F.col("group_id"))
-    reason = F.when(F.col("project_id").isNull(), "not_found").when(F.col("_taken") | ~_first_of(key), "group_exists")
-    asked = asked.withColumn("reason", reason)
+    asked = asked.withColumn("reason", F.when(F.col("project_id").isNull(), "not_found").when(F.col("_taken"), "group_exists"))
+    asked = _first_wins(asked, key, "group_exists")
     accepted = asked.where("reason IS NULL").select("group_id", "new_value")
     rows = groups.join(accepted, "group_id", "left").withColumn(column, F.coalesce("new_value", column)).select(groups.columns)
     return rows, asked.where("reason IS NOT NULL").select("group_id", "reason")

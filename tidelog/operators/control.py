@@ -161,7 +161,8 @@ def transitions(df: DataFrame, key: str, order: str, state: str) -> DataFrame:
 
 def consumed_once(reads: DataFrame, key: str, order: str) -> DataFrame:
     """Reads of one-time tokens, with ``won``: the first reader of a token gets it."""
-    return reads.withColumn("won", F.row_number().over(Window.partitionBy(key).orderBy(order)) == 1)
+    first = reads.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"))  # partial minima: a token that very many read is no single task's work
+    return reads.join(first, reads[key].eqNullSafe(first["_key"])).withColumn("won", F.col(order) == F.col("_first")).drop("_key", "_first")
 
 
 def alive_at(stored: DataFrame, now: Column, written: str = "written_at", seconds: str = "ttl_seconds") -> DataFrame:
