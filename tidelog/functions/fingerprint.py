@@ -28,7 +28,7 @@ def stack_lines(archive: Column) -> Column:
 
 def _at_lines(archive: Column) -> Column:
     """An empty array for a text that has none; most texts are passed over without being split."""
-    lines = F.filter(F.transform(F.split(archive, r"\r?\n"), jtrim), lambda line: line.startswith("at "))
+    lines = F.filter(F.transform(F.split(archive, "\n"), jtrim), lambda line: line.startswith("at "))
     return F.when(F.contains(archive, F.lit("at ")), lines).otherwise(F.array().cast("array<string>"))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What Java's trim takes away.
+CONTROLS = "".join(map(chr, range(0x21)))
 #: The normaliser's patterns and what stands for a match, in the order of application. A word boundary is spelt out, as
 #: letters, marks, digits and the underscore of any script, so that it does not depend on the regex engine.
 EDGE_L, EDGE_R = r"(?<![\p{L}\p{M}\p{Nd}_])", r"(?![\p{L}\p{M}\p{Nd}_])"
@@ -27,7 +29,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def jtrim(c: Column) -> Column:
     """Both ends without characters up to U+0020: more than SQL's trim, which takes spaces only."""
-    return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.btrim(c, F.lit(CONTROLS))
 
 
 def is_blank(c: Column) -> Column:
@@ -36,7 +38,8 @@ def is_blank(c: Column) -> Column:
 
 
 def first_line(c: Column) -> Column:
-    return F.split(c, r"\r?\n", 2)[0]
+    """Up to the first newline; a carriage return before it stays, and goes with jtrim."""
+    return F.substring_index(c, "\n", 1)
 
 
 def only_newlines(c: Column) -> Column:
