@@ -71,6 +71,18 @@ def test_bpe(spark, docs):
     assert encode_decode(empty(spark), BYTE_BPE).count() == 0
 
 
+def test_spaces_between_other_white_space(spark):
+    runs = [f"a{w} {w}b" for w in ("\u00a0", " \u00a0", "\n", " \n", "\t", "\u2003", " \u3000", "\x85", "\u2028", "\u202f")]
+    runs += ["a \u00a0 \u00a0 b", "x \u00a0 \u00a0 \u00a0 y", "a\u00a0 <|endoftext|>", "a\n <|endoftext|> \n b", "a \n \n b", "a \u00a0b", "a\u00a0 b", "\u00a0 \u00a0", "\u00a0 a \u00a0"]
+    df = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string")
+    model, words = library(BYTE_BPE), library(WORD_BPE)
+    ids = [model.encode(t, add_special_tokens=False).ids for t in runs]
+    assert [r["n_tokens"] for r in count_tokens(df, BYTE_BPE, 1024).orderBy("doc_id").collect()] == [len(x) for x in ids]
+    assert [list(r["ids"]) for r in encode_decode(df, BYTE_BPE).orderBy("doc_id").collect()] == ids
+    packed = {r["doc_id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in pack(df, WORD_BPE).collect()}
+    assert [packed[i] for i in range(len(runs))] == [[*words.encode(t, add_special_tokens=False).ids, 1] for t in runs]
+
+
 def test_packing(spark, docs):
     rows, df = docs
     model = library(WORD_BPE)

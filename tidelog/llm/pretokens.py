@@ -2,7 +2,8 @@
 
 A text is cut at single spaces into chunks (in Arrow), and the distinct chunks of a batch are resolved once. That is exact, since no
 pre-token reaches over a space but as its first character: what a chunk with its leading space yields on its own is what it
-yields in the text. Texts where that is not so (two spaces in a row, or a space at an end) are cut by the pattern as a whole.
+yields in the text. Texts where that may not be so (a space beside any other white space, as NBSP or a line's end, or at an end of the
+text) are cut by the pattern as a whole.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ import regex
 
 #: The pre-token pattern of the byte-level vocabularies, and white space as their library sees it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A space beside white space (Unicode's, and what Python adds to it), or at an end.
+WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+ODD_SPACE = f"^ |{WHITE} | {WHITE}| $"
 #: Bytes of text that are worked on at once; a longer text makes a batch of its own.
 BATCH_BYTES = 4 << 20
 #: Entries kept in a worker's memory before it starts anew.
@@ -78,7 +82,7 @@ class PreTokens:
 
     def chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Ends of the texts in the codes, the codes, and by code the chunk."""
-        odd = pc.match_substring_regex(texts, "^ |  | $").to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts), " ")
         starts = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
