@@ -43,6 +43,20 @@ def test_wording_decides():
     assert [f[0] for f in both] == ["MIT", "CC-BY-4.0"]
 
 
+SIDE_BY_SIDE = ("MIT", "MIT:licensed", "Apache-2.0", "GPL-3.0", "CC-BY-4.0", "CC0-1.0", "MPL-2.0", "MIT:grant", "Apache-2.0:header", "BSD:grant", "GPL-3.0:or-later")
+
+
+@pytest.mark.parametrize("first", SIDE_BY_SIDE)
+def test_notices_side_by_side(first):
+    known, mark = Templates(TEMPLATES), re.compile(MARK)
+    for second in SIDE_BY_SIDE:
+        for third in ("", "BSD-3-Clause", "AGPL-3.0"):
+            names = [n for n in (first, second, third) if n]
+            found = known.scan("Some prose. " + " ".join(TEMPLATES[n] for n in names) + " More prose.", mark)
+            starts = [2 + sum(len(words_of(TEMPLATES[n])) for n in names[:i]) for i in range(len(names))]
+            assert [(f[0], f[1], f[2], f[3]) for f in found] == [(n, s, len(words_of(TEMPLATES[n])), 0) for n, s in zip(names, starts, strict=True)]
+
+
 def test_rows(spark):
     rows = [(1, None), (2, ""), (3, "w " * 200_000 + "RELEASED UNDER THE MIT LICENSE!! " + "w " * 200_000), (None, "Licensed under CC BY 4.0."), (4, "Released under the MIT License."), (4, "Released under the MIT License.")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, license string")

@@ -3,7 +3,8 @@
 A mark (as 'licensed' or 'copyright') in a text begins a candidate block: the words around it, as many as the longest template of a length class has on each side. The block is
 compressed with zstandard plainly and with each template of the class as raw dictionary; templates are ranked by how much that saves. The best ``RANKED`` are then aligned with the block word
 by word (the cheapest place of the whole template inside the block), and the first with few enough differences, none of them in a word with a digit, is the finding. So compression finds the
-template and the wording decides: version 2 is not taken for version 3.
+template and the wording decides: version 2 is not taken for version 3. The words of a block before and behind a finding are searched again as long as they hold a mark and a template is
+confirmed, so notices that stand side by side are all found.
 
 Texts without a mark are passed over in Arrow. Equal blocks are resolved once a batch. Rows keep their partition; nothing is shuffled.
 
@@ -125,6 +126,25 @@ class Templates:
         numbers = lambda ws: [w for w in ws if any(c.isdigit() for c in w)]
         return numbers(template) == numbers(found)
 
+    def _search(self, words: list[str], marks: np.ndarray, low: int, high: int, limit: int, k: int) -> list[tuple]:
+        """Findings of length class k in words[low:high], in their order: the block's finding, and those before it. A part without a mark holds none; what is behind the last finding belongs to
+        the blocks of later marks. A finding with differences that the block's end may have cut is searched for again with all words that it could have, as far as the limit."""
+        found, spans = [], [(low, high)]
+        while spans:
+            low, end = spans.pop()
+            if np.searchsorted(marks, low) == np.searchsorted(marks, end) or not (hit := self.find(words[low:end], k)):
+                continue
+            wide = min(limit, low + hit[1] + 2 * self.reach[k])
+            if end == high and hit[3] and low + hit[2] == end < wide:
+                cost, start, stop = align(self.words[hit[0]], words[low:wide])
+                if cost < hit[3] and self._same_numbers(self.words[hit[0]], words[low + start : low + stop]):
+                    hit = (hit[0], start, stop, cost, hit[4])
+            found.append((hit[0], low + hit[1], hit[2] - hit[1], hit[3], hit[4]))
+            spans.append((low, low + hit[1]))
+            if end != high:
+                spans.append((low + hit[2], end))
+        return sorted(found, key=lambda f: f[1])
+
     def scan(self, text: str, mark: re.Pattern) -> list[tuple]:
         """(name, first word, words, differences, saved) in the order of the text."""
         lowered = text.lower()
@@ -136,13 +156,13 @@ class Templates:
         for k, reach in enumerate(self.reach):
             own: list[tuple[int, int]] = []
             for at in marks.tolist():
-                if at < 0 or (own and at < own[-1][1]) or any(a <= at < b for a, b in taken):
+                if at < 0 or any(a <= at < b for a, b in taken) or (own and at < own[-1][1]):
                     continue
-                low = max(0, at - reach, own[-1][1] if own else 0)
-                hit = self.find(words[low : at + reach], k)
-                if hit and not any(a < low + hit[2] and low + hit[1] < b for a, b in taken):
-                    own.append((low + hit[1], low + hit[2]))
-                    found.append((hit[0], low + hit[1], hit[2] - hit[1], hit[3], hit[4]))
+                low = max([0, at - reach, *(b for _, b in own[-1:]), *(b for _, b in taken if b <= at)])
+                limit = min([len(words), *(a for a, _ in taken if a > at)])
+                for hit in self._search(words, marks, low, min(limit, at + reach), limit, k):
+                    own.append((hit[1], hit[1] + hit[2]))
+                    found.append(hit)
             taken += own
         return sorted(found, key=lambda f: f[1])
 
