@@ -99,6 +99,22 @@ def test_toxicity_on_held_out_rows():
     assert right >= 0.97 and caught >= 0.78 and wrong <= 0.01
 
 
+def test_long_texts_do_not_end_the_sample(spark):
+    from tidelog.llm.labelled import training_sample
+
+    hashed = spark.range(1, 401).select("id", F.xxhash64("id").alias("h"), F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(4)).alias("c")).where("c != 2").orderBy("h").collect()
+    ids = [r["id"] for r in hashed]
+    size = dict.fromkeys(ids, 100) | {ids[0]: 60_000, ids[1]: 60_000, ids[2]: 30_000, ids[3]: 30_000}  # first in hash order: over a class's bytes, and most of them
+    docs = spark.createDataFrame([(i, f"{i} ".ljust(n, "x")) for i, n in size.items()] + [(ids[9], "short")] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, n % 2) for n, i in enumerate(ids)], "doc_id long, quality int")
+    for _ in range(2):
+        rows, counts = training_sample(docs, labels, "quality", 4, 2, sample_bytes=100_000)
+        got = sorted(len(t) for t in rows["text"].to_pylist())
+        assert got == sorted([5] + [100] * (len(ids) - 5) + [30_000] * 2) and sum(counts.values()) == len(ids)
+    rows, _ = training_sample(docs, labels, "quality", 4, 2, sample_bytes=12_800)
+    assert {sum(y == k for y in rows["label"].to_pylist()) for k in (0, 1)} <= {64, 65} and max(len(t) for t in rows["text"].to_pylist()) == 100
+
+
 @pytest.mark.parametrize("score", [score_quality, score_toxicity])
 def test_scores_of_odd_rows(spark, score):
     docs = spark.createDataFrame([(1, None, 9.0), (2, "", 9.0), (None, "plain words", 9.0), (3, "x" * 100_000, 9.0), (3, "x" * 100_000, 9.0), (4, " \n\t ", 9.0)], "doc_id long, text string, score double")
