@@ -11,9 +11,11 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tidelog.llm import packing as packing_module
 from tidelog.llm.bpe import encode_decode
 from tidelog.llm.line_dedup import dedup_lines
+from tidelog.llm.near_copies import first_of_near_copies
 from tidelog.llm.packing import pack
 from tidelog.llm.simhash import fingerprints, first_of_groups, near_duplicates
 from tidelog.llm.token_counts import count_tokens
@@ -199,6 +201,42 @@ def test_one_row_of_equal_ids_stays(spark):
     assert sorted((str(r["doc_id"]), r["fp"]) for r in first_of_groups(rows).collect()) == [("5", "p"), ("None", "q")]
 
 
+def test_near_copies(spark):
+    """Pairs that differ in a few words, with a chain and texts of about half similarity, against all pairs."""
+    rng = random.Random(4)
+    make = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    texts = []
+    for base in (make(rng.randint(60, 300)) for _ in range(25)):
+        texts.append(base)
+        for share in (0.01, 0.01, 0.02, 0.03, 0.08):
+            texts.append([f"v{rng.randrange(5000)}" if rng.random() < share else w for w in base])
+    chain = make(100)
+    for n in range(6):
+        texts.append(chain[8 * n :] + make(8 * n))
+    rows = list(enumerate(" ".join(t) for t in texts)) + [(1000, ""), (1001, None), (1002, " \n "), (1003, "two words"), (1004, "TWO words"), (1005, "two other")]
+    words = {i: (t or "").lower().split() for i, t in rows}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    root = {i: i for i in sets}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    linked = 0
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b]):
+                linked += 1
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert linked > 50
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, row string").repartition(3)
+    kept = first_of_near_copies(df)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({find(i) for i in sets}) and kept.columns == df.columns
+    stage = corpus_pipeline.near_dedup(spark, df, "")
+    assert stage.count() == kept.count() < first_of_groups(df).count()
+    assert first_of_near_copies(empty(spark)).count() == 0
+
+
 def test_sha_of_kept_lines(spark, docs):
     rows, df = docs
     got = dedup_lines(df).select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("s"), "text").collect()

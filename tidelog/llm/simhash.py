@@ -22,7 +22,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -94,6 +94,15 @@ def links_within_two(fps: DataFrame) -> DataFrame:
     return met.select(F.array_min("fps").alias("b"), F.explode("fps").alias("a")).where("a != b")
 
 
+def first_of_components(docs: DataFrame, distinct: DataFrame, roots: DataFrame, tag: Column, scratch: Scratch, id_col: str) -> DataFrame:
+    """The rows of docs that stand first in their component. distinct: node, first (the least struct of unnamed, id, tag); roots: node, root of linked nodes."""
+    linked = scratch.save(distinct.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first"), "linked")
+    first = scratch.save(linked.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_id"), F.col("first.tag").alias("_tag")).distinct(), "first")
+    rows = docs.withColumn("_same", tag)
+    kept = rows.join(first, rows[id_col].eqNullSafe(first["_id"]) & (rows["_same"] == first["_tag"]), "left_semi")
+    return kept.dropDuplicates([id_col, "_same"]).drop("_same")
+
+
 def first_of_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that stand first in their component: of smallest id, null last; of equal ids one row stays."""
     scratch = Scratch(docs.sparkSession, "simhash")
@@ -101,11 +110,7 @@ def first_of_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
     fps = scratch.save(fingerprint_table(docs.select(F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), tag.alias("tag")).alias("row"), text_col), shingle, "row", text_col), "fingerprints")
     distinct = scratch.save(fps.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
     roots = connected_components(links_within_two(distinct.select("fp")), scratch)
-    linked = scratch.save(distinct.join(roots, distinct["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "first"), "linked")
-    first = scratch.save(linked.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_id"), F.col("first.tag").alias("_tag")).distinct(), "first")
-    rows = docs.withColumn("_same", tag)
-    kept = rows.join(first, rows[id_col].eqNullSafe(first["_id"]) & (rows["_same"] == first["_tag"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_same"]).drop("_same")
+    return first_of_components(docs, distinct.withColumnRenamed("fp", "node"), roots, tag, scratch, id_col)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
