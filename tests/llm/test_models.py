@@ -65,6 +65,53 @@ def test_nearest(vectors):
     assert [i for _, i, _ in got[0]] == [300, 301, 302, 303, 304]
 
 
+def test_recall_and_rows_scored(spark):
+    """All queries of the table at 0.1: recall against brute force, and the share of the rows that was scored."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.where("embedding IS NOT NULL").orderBy("vec_id").collect()
+    ids, points = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    found, scored = {}, {}
+    for r in nearest(df, F.col("vec_id") % 50 == 0, 5).collect():
+        found.setdefault(r["query_id"], []).append(r["score"])
+        scored[r["query_id"]] = r["scored"]
+    asked = np.flatnonzero(ids % 50 == 0)
+    close = points[asked] @ points.T
+    close[np.arange(len(asked)), asked] = -2
+    fifth = np.sort(close, axis=1)[:, -5]
+    hits = sum(sum(s >= least - 1e-9 for s in found[i]) for i, least in zip(ids[asked].tolist(), fifth, strict=True))
+    assert hits / (5 * len(asked)) >= 0.9
+    assert np.mean(list(scored.values())) < 0.25 * len(ids) and max(scored.values()) < 0.3 * len(ids)
+
+
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=12 if i % 5 else 9).astype(np.float32).tolist(), "c", 1) for i in range(300)] + [(1000, [1.0] * 40, "c", 1)]
+    df = spark.createDataFrame(rows, VECTORS).repartition(3)
+    for search, score in ((nearest, lambda a, b: a @ b / np.sqrt((a @ a) * (b @ b))), (exact_topk, lambda a, b: int(np.floor(256 * a) @ np.floor(256 * b)))):
+        got = {}
+        for r in search(df, F.col("vec_id") % 50 == 0, 5).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+        vectors = {i: np.array(v, np.float32).astype(float) for i, v, *_ in rows}
+        assert sorted(got) == [0, 50, 100, 150, 200, 250]  # nothing has the length of 1000
+        for q, found in got.items():
+            best = sorted((-score(vectors[q], v), i) for i, v in vectors.items() if i != q and len(v) == len(vectors[q]))[:5]
+            assert [i for _, i in sorted(found)] == [i for _, i in best]
+
+
+def test_repeated_ids_and_huge_values(spark):
+    schema = "vec_id long, embedding array<double>"
+    several = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (1, [0.0, 3.0]), (1, [0.0, 3.0]), (2, [1.0, 1.0])] + [(3, [0.5, 0.25])] * 40, schema)
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in exact_topk(several, F.col("vec_id") == 0, 5, cand_block=3).orderBy("rank").collect()]
+    assert got == [(1, 1, 3 * 65536), (2, 2, 65536), (3, 3, 32768)]
+    huge = spark.createDataFrame([(0, [1e7, 1.0]), (1, [1e9, 0.0]), (2, [1e6, 1.0]), (3, [1e6, 2.0]), (4, [-1e200, 0.0]), (5, [1e200, 0.0])], schema)
+    got = [(r["vec_id"], r["score"]) for r in exact_topk(huge, F.col("vec_id") == 0, 5).orderBy("rank").collect()]
+    whole = lambda x: int(np.floor(256 * x))
+    small = [(i, whole(1e7) * whole(1e6) + 256 * whole(x)) for i, x in ((3, 2.0), (2, 1.0))]
+    assert got == [(1, 2**63 - 1), (5, 2**63 - 1), *small, (4, -(2**63))]
+    assert exact_topk(spark.createDataFrame([(0, []), (1, [])], schema), F.col("vec_id") == 0, 5).collect()[0]["score"] == 0
+
+
 def test_searches_of_small_tables(spark):
     none = spark.createDataFrame([], VECTORS)
     two = spark.createDataFrame([(0, [1.0, 2.0], "c", 1), (50, [2.0, 1.0], "c", 1)], VECTORS)

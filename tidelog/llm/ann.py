@@ -1,18 +1,18 @@
 """Approximate nearest neighbours by cosine: a forest of random-projection trees, searched through one shared priority queue.
 
-The forest is fitted on a bounded sample of the distinct vectors (``sample``); each split is the perpendicular bisector
-direction of two sampled points, cut at the median. Every vector is then routed to its leaf in every tree. A query pops nodes of all trees from
-one queue, best margin first, until its leaves hold ``share`` times the sample
-(a point counts in each tree that reaches it). Vectors and probes meet by leaf (leaves are dealt
-in cells of bounded size), the leaf candidates are reranked by exact cosine in double precision, and k + 1 classes per query
-and cell go on to the final ranking.
+The forest is fitted on a bounded sample of the distinct vectors (``sample``): a split is the direction between two sampled points, cut at the median, and each of ``trees`` trees
+has about ``leaves`` leaves. Every vector is routed to its leaf in every tree. A query pops nodes of all trees from one queue, the least squared distance to the cuts on the wrong side first, until the
+leaves it reached hold ``visits`` times the sample (a point counts in each tree that reaches it). Candidates that enough of these leaves hold are reranked by exact cosine in double precision. How many leaves
+are enough is read off the sample for each query, so that about ``share`` of the rows is scored (``least`` rows where the table is small).
+
+Vectors stay in blocks of bounded size with their leaves; blocks of queries meet them with the list of leaves they reached, and k + 1 classes per query and block go on to the final ranking.
 
 Identical vectors form one class, held as one vector and its k + 1 smallest ids: a class of any size costs one row and no
 member is lost, since a query returns k ids other than its own.
 
-Defined results: vectors null, empty, zero or with null or non-finite components take no part, nor do rows without an id and
-vectors of another length than the longest. Ties go to the smaller id. An id that repeats with one vector counts once; with
-several, its best score counts. Fewer than k candidates: those that there are. Empty tables give empty results.
+Defined results: vectors null, empty, zero or with null or non-finite components take no part, nor do rows without an id. Vectors are compared with those of their own length only; the forest serves
+the length that most vectors have, those of another length are all scored. Ties go to the smaller id. An id that repeats with one vector counts once; with several, its best score counts. Fewer than
+k candidates: those that there are. Empty tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,73 +22,84 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, finite_vector
+from .shared import Scratch, finite_vector, shuffle_partitions, vector_kind
 
-SAMPLE, TREES, LEAF, SHARE, SEED = 32_768, 16, 32, 1.8, 42
-#: Candidates in a cell, about.
-CELL = 8192
+SAMPLE, TREES, LEAVES, VISITS, SHARE, LEAST, SEED = 16_384, 48, 64, 6.0, 0.25, 256, 42
+#: Candidates and queries in a block, and sampled points by which a query's candidates are counted beforehand.
+CAND_BLOCK, QUERY_BLOCK, COUNTED = 8192, 2048, 4096
 
 
 class Forest:
-    """Trees in flat arrays. Node v < 0 is the leaf -v - 1 of its tree."""
+    """Trees in flat arrays. Node v < 0 is the leaf -v - 1; leaves are numbered through all trees."""
 
-    def __init__(self, points: np.ndarray, trees: int, leaf: int, seed: int):
+    def __init__(self, points: np.ndarray, trees: int = TREES, leaves: int = LEAVES, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.normals, self.offsets, self.left, self.right, self.roots, self.sizes = [], [], [], [], [], []
-        for _ in range(trees):
-            self.sizes.append([])
-            self.roots.append(self._grow(points, np.arange(len(points)), leaf, rng))
-        self.normals = np.array(self.normals).reshape(-1, points.shape[1])
-        self.offsets, self.left, self.right = np.array(self.offsets), np.array(self.left, np.int64), np.array(self.right, np.int64)
-
-    def _grow(self, points, rows, leaf, rng) -> int:
-        if len(rows) > leaf:
+        self.points, self.dim = len(points), points.shape[1]
+        self.normals, self.offsets, self.left, self.right, self.sizes = [], [], [], [], []
+        most = max(2, -(-len(points) // leaves))
+        self.roots = [self._grow(points, np.arange(len(points)), most, rng) for _ in range(trees)]
+        self.normals, self.offsets = np.array(self.normals).reshape(-1, points.shape[1]), np.array(self.offsets)
+        self.counted = self.leaves(points[:: max(1, len(points) // COUNTED)])
+
+    def _grow(self, points, rows, most, rng) -> int:
+        if len(rows) > most:
             a, b = points[rng.choice(rows, 2, replace=False)]
-            along = points[rows] @ (a - b)
+            normal = (a - b) / max(np.sqrt(((a - b) ** 2).sum()), 1e-300)
+            along = points[rows] @ normal
             cut = np.median(along)
             below = along <= cut
             if 0 < below.sum() < len(rows):
                 me = len(self.offsets)
-                for column, x in ((self.normals, a - b), (self.offsets, cut), (self.left, 0), (self.right, 0)):
+                for column, x in ((self.normals, normal), (self.offsets, cut), (self.left, 0), (self.right, 0)):
                     column.append(x)
-                self.left[me] = self._grow(points, rows[below], leaf, rng)
-                self.right[me] = self._grow(points, rows[~below], leaf, rng)
+                self.left[me] = self._grow(points, rows[below], most, rng)
+                self.right[me] = self._grow(points, rows[~below], most, rng)
                 return me
-        self.sizes[-1].append(len(rows))
-        return -len(self.sizes[-1])
+        self.sizes.append(len(rows))
+        return -len(self.sizes)
 
     def leaves(self, points: np.ndarray) -> np.ndarray:
         """The leaf of each point in each tree."""
-        out = np.empty((len(points), len(self.roots)), np.int64)
+        left, right = np.array(self.left, np.int64), np.array(self.right, np.int64)
+        out = np.empty((len(points), len(self.roots)), np.int16)
         for t, root in enumerate(self.roots):
             at = np.full(len(points), root)
             while (inner := np.flatnonzero(at >= 0)).size:
                 node = at[inner]
                 below = np.einsum("ij,ij->i", points[inner], self.normals[node]) <= self.offsets[node]
-                at[inner] = np.where(below, self.left[node], self.right[node])
+                at[inner] = np.where(below, left[node], right[node])
             out[:, t] = -at - 1
         return out
 
-    def probe(self, point: np.ndarray, enough: float) -> list[tuple[int, int]]:
-        """(tree, leaf) in the order of the shared queue, until the leaves hold ``enough`` sampled points."""
-        margins = self.normals @ point - self.offsets
-        queue, found, held = [(-np.inf, t, root) for t, root in enumerate(self.roots)], [], 0
+    def probe(self, point: np.ndarray, visits: float) -> list[int]:
+        """Leaves in the order of the shared queue, until they hold ``visits`` times the sample."""
+        margins = (self.normals @ point - self.offsets).tolist()
+        queue, found, held, enough = [(0.0, root) for root in self.roots], [], 0, visits * self.points
+        push, pop, left, right = heapq.heappush, heapq.heappop, self.left, self.right
         while queue and held < enough:
-            worst, t, node = heapq.heappop(queue)
-            if node < 0:
-                found.append((t, -node - 1))
-                held += self.sizes[t][-node - 1]
-            else:
+            far, node = pop(queue)
+            while node >= 0:  # down the near side, which is no farther than the node
                 m = margins[node]
-                heapq.heappush(queue, (max(worst, m), t, int(self.left[node])))
-                heapq.heappush(queue, (max(worst, -m), t, int(self.right[node])))
+                near, other = (left[node], right[node]) if m <= 0 else (right[node], left[node])
+                push(queue, (far + m * m, other))
+                node = near
+            found.append(-node - 1)
+            held += self.sizes[-node - 1]
         return found
 
+    def enough(self, visited: list[int], share: float) -> int:
+        """The least number of visited leaves that no more than that share of the sample lies in."""
+        reached = np.zeros(len(self.sizes), np.uint8)
+        reached[visited] = 1
+        held = np.bincount(reached[self.counted].sum(1), minlength=len(self.roots) + 1)
+        at_least = np.cumsum(held[::-1])[::-1]  # points in that many visited leaves or more
+        fits = np.flatnonzero(at_least[1:] <= max(share * len(self.counted), at_least[1:][at_least[1:] > 0].min(initial=len(self.counted))))
+        return int(fits[0]) + 1 if len(fits) else 1
+
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -111,115 +122,142 @@ def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dot / (np.sqrt(aa) * np.sqrt(bb))
 
 
-def _cells(forest: Forest, cells: int) -> list[np.ndarray]:
-    """The cell of each leaf, by tree; leaves that are close in the tree share one."""
-    return [np.arange(len(s)) * min(cells, len(s)) // len(s) for s in forest.sizes]
+def _of_length(batch: pa.RecordBatch, dim: int) -> np.ndarray:
+    return batch.column("dim").to_numpy(zero_copy_only=False) == dim
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.int16)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(r) for r in rows])), pa.int32()), pa.array(flat, pa.int16()))
+
 
+def _route(forest_in):
+    """Adds the leaves; none for vectors of another length than the forest's."""
 
-def _route(forest_in, cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = forest_in.value
-        of = _cells(forest, cells)
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                leaves = forest.leaves(_unit(_matrix(part.column("vec"))))
-                for t in range(leaves.shape[1]):
-                    yield pa.RecordBatch.from_arrays(
-                        [*(part.column(c) for c in ("h1", "h2", "vec", "ids", "part")), pa.array(np.full(part.num_rows, t), pa.int32()), pa.array(of[t][leaves[:, t]], pa.int32()), pa.array(leaves[:, t], pa.int32())],
-                        ["h1", "h2", "vec", "ids", "part", "tree", "cell", "leaf"],
-                    )
+                leaves = [np.zeros(0, np.int16)] * part.num_rows
+                if len(own := np.flatnonzero(_of_length(part, forest.dim))):
+                    for i, of in zip(own, forest.leaves(_unit(_matrix(part.column("vec").take(pa.array(own))))), strict=True):
+                        leaves[i] = of
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(leaves)], [*part.schema.names, "leaves"])
 
     return run
 
 
-def _probe(forest_in, cells: int, share: float):
+def _probe(forest_in, visits: float, share: float):
+    """Adds the leaves that a query reached and in how many of them a candidate must be."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = forest_in.value
-        of = _cells(forest, cells)
-        enough = share * sum(forest.sizes[0])
         for batch in batches:
-            units = _unit(_matrix(batch.column("vec"))) if batch.num_rows else ()
-            rows, trees, cell, leaves = [], [], [], []
-            for i, unit in enumerate(units):
-                met: dict[tuple[int, int], list[int]] = {}
-                for t, leaf in forest.probe(unit, enough):
-                    met.setdefault((t, int(of[t][leaf])), []).append(leaf)
-                for (t, c), found in met.items():
-                    rows.append(i), trees.append(t), cell.append(c), leaves.append(found)
-            took = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(took) for c in ("q1", "q2", "vec")), pa.array(trees, pa.int32()), pa.array(cell, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], ["q1", "q2", "vec", "tree", "cell", "leaves"])
+            leaves, enough = [np.zeros(0, np.int16)] * batch.num_rows, np.zeros(batch.num_rows, np.int32)
+            if len(own := np.flatnonzero(_of_length(batch, forest.dim))):
+                for i, unit in zip(own, _unit(_matrix(batch.column("vec").take(pa.array(own)))), strict=True):
+                    visited = forest.probe(unit, visits)
+                    leaves[i], enough[i] = np.array(visited, np.int16), forest.enough(visited, share)
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(leaves), pa.array(enough)], [*batch.schema.names, "leaves", "enough"])
 
     return run
 
 
-def _rerank(keep: int):
-    names = ["q1", "q2", "h1", "h2", "ids", "score"]
+def _candidates(forest: Forest, queries: pa.Table, cands: pa.Table) -> Iterator[np.ndarray]:
+    """By query, the rows of the candidates to score."""
+    if len(cands.column("leaves")[0]) == 0:  # another length than the forest's
+        yield from (np.arange(len(cands)) for _ in range(len(queries)))
+        return
+    of = cands.column("leaves").combine_chunks().flatten().to_numpy().reshape(len(cands), -1).astype(np.int64)
+    visited = queries.column("leaves").combine_chunks()
+    enough = queries.column("enough").to_numpy()
+    for at in range(0, len(queries), 64):
+        some = visited.slice(at, 64)
+        reached = np.zeros((len(forest.sizes), len(some)), np.uint8)  # leaves down, queries across
+        reached[some.flatten().to_numpy(), np.repeat(np.arange(len(some)), np.diff(some.offsets.to_numpy()))] = 1
+        votes = np.zeros((len(of), len(some)), np.uint8)
+        for t in range(of.shape[1]):
+            votes += reached[of[:, t]]
+        for i, column in enumerate(np.ascontiguousarray(votes.T)):
+            yield np.flatnonzero(column >= enough[at + i])
+
+
+NEAR = "q1 long, q2 long, h1 long, h2 long, ids array<long>, score double, scored long"
+
+
+def _rerank(forest_in, keep: int):
+    kinds = pa.schema([("q1", pa.int64()), ("q2", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64()), ("scored", pa.int64())])
 
-    def run(queries: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
+    def run(queries: pa.Table, cands: pa.Table) -> pa.Table:
         if not len(queries) or not len(cands):
-            return pd.DataFrame({n: [] for n in names}).astype({n: np.int64 for n in names[:4]} | {"ids": object, "score": float})
-        q, c = (np.stack(f["vec"].to_numpy()).astype(np.float64) for f in (queries, cands))
+            return kinds.empty_table()
+        q, c = _matrix(queries.column("vec")), _matrix(cands.column("vec"))
         qu, cu = _unit(q), _unit(c)
-        asked = queries["leaves"].map(len).to_numpy()
-        pairs = pd.DataFrame({"leaf": np.concatenate(queries["leaves"].to_numpy()), "q": np.repeat(np.arange(len(q)), asked)}).groupby("leaf")["q"]
-        rows_of = {leaf: np.asarray(rows) for leaf, rows in cands.groupby("leaf").indices.items()}
-        some = keep + 4
-        near_q, near_c = [], []
-        for leaf, qs in pairs:
-            rows = rows_of.get(leaf)
-            if rows is None:
-                continue
-            qs = qs.to_numpy()
-            if len(rows) <= some:
-                near_q.append(np.repeat(qs, len(rows))), near_c.append(np.tile(rows, len(qs)))
-                continue
-            close = qu[qs] @ cu[rows].T
-            least = np.partition(close, len(rows) - some, axis=1)[:, len(rows) - some, None] - 1e-12  # ties stay
-            i, j = np.nonzero(close >= least)
-            near_q.append(qs[i]), near_c.append(rows[j])
-        if not near_q:
-            return run(queries[:0], cands)
+        some, near_q, near_c, scored = keep + 4, [], [], np.zeros(len(q), np.int64)
+        for i, rows in enumerate(_candidates(forest_in.value, queries, cands)):
+            scored[i] = len(rows)
+            if len(rows) > some:
+                close = cu[rows] @ qu[i]
+                rows = rows[close >= np.partition(close, len(rows) - some)[len(rows) - some] - 1e-12]  # ties stay
+            near_q.append(np.full(len(rows), i)), near_c.append(rows)
         i, j = np.concatenate(near_q), np.concatenate(near_c)
-        scores = np.concatenate([exact_cosine(q[i[s : s + 65536]], c[j[s : s + 65536]]) for s in range(0, len(i), 65536)])
-        least_id = cands["ids"].map(lambda x: x[0]).to_numpy(np.int64)
-        order = np.lexsort((least_id[j], -scores, i))
+        scores = np.concatenate([exact_cosine(q[i[s : s + 65536]], c[j[s : s + 65536]]) for s in range(0, len(i), 65536)] or [np.zeros(0)])
+        ids = cands.column("ids").combine_chunks()
+        least = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]
+        order = np.lexsort((least[j], -scores, i))
         i, j, scores = i[order], j[order], scores[order]
-        first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+        first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
         place = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
-        i, j, scores = i[place < keep], j[place < keep], scores[place < keep]
-        return pd.DataFrame({"q1": queries["q1"].to_numpy()[i], "q2": queries["q2"].to_numpy()[i], "h1": cands["h1"].to_numpy()[j], "h2": cands["h2"].to_numpy()[j], "ids": cands["ids"].to_numpy()[j], "score": scores})
+        i, j, scores, place = (x[place < keep] for x in (i, j, scores, place))
+        at, of = pa.array(i), pa.array(j)
+        return pa.Table.from_arrays([*(queries.column(n).take(at) for n in ("q1", "q2")), *(cands.column(n).take(of) for n in ("h1", "h2", "ids")), pa.array(scores), pa.array(np.where(place == 0, scored[i], 0))], schema=kinds)
 
     return run
 
 
-def nearest(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, share: float = SHARE, seed: int = SEED) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row that is a query, the k nearest other rows found."""
+def nearest(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, trees: int = TREES, leaves: int = LEAVES, visits: float = VISITS, share: float = SHARE, least: int = LEAST, seed: int = SEED) -> DataFrame:
+    """query_id, rank, vec_id, score, scored: for each row that is a query, the k nearest other rows found, and how many distinct vectors were scored for it."""
+    if not 1 <= trees <= 255 or trees * leaves * 2 >= 1 << 15:
+        raise ValueError("at most 255 trees, and 16,383 leaves in all")
     spark = df.sparkSession
-    keep = k + 1
+    keep, kind = k + 1, vector_kind(df, vec_col)
     ok = F.col(id_col).isNotNull() & finite_vector(F.col(vec_col)) & F.coalesce(F.exists(F.col(vec_col), lambda x: x != 0), F.lit(False))
-    rows = df.where(ok).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    dim = rows.agg(F.max(F.size("vec"))).first()[0]
-    rows = rows.where(F.size("vec") == (dim or 0)).withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(7), "vec")})
+    rows = df.where(ok).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(f"array<{kind}>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = rows.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(7), "vec")})
     # A class per distinct vector with its smallest ids; the row limit is pushed below the shuffle, so copies are cut where they are read.
     by_vector = Window.partitionBy("h1", "h2").orderBy("id")
     scratch = Scratch(spark, "ann")
-    classes = scratch.save(rows.select("h1", "h2", "id", "vec").withColumn("n", F.dense_rank().over(by_vector)).where(F.col("n") <= keep).groupBy("h1", "h2").agg(F.any_value("vec").alias("vec"), F.array_sort(F.collect_set("id")).alias("ids")), "classes")
-    n = classes.count()
-    chosen = classes if n <= sample else classes.where(F.pmod(F.xxhash64("h2"), F.lit(1 << 30)) < int(0.97 * sample / n * (1 << 30)))
-    points = chosen.select("vec").limit(sample).toArrow()["vec"]
-    points = _unit(_matrix(points)) if len(points) else np.zeros((1, 1))
-    forest = Forest(points, trees, leaf, seed)
-    cells = max(1, min(min(len(s) for s in forest.sizes), max(4, math.ceil(n / CELL))))
-    parts = max(1, math.ceil(n / (cells * CELL)))
-    shared = spark.sparkContext.broadcast(forest)  # trees * sample / leaf splits: bounded by the parameters
-    cands = classes.select("h1", "h2", "vec", "ids", F.pmod("h1", F.lit(parts)).cast("int").alias("part")).mapInArrow(_route(shared, cells), "h1 long, h2 long, vec array<double>, ids array<long>, part int, tree int, cell int, leaf int")
+    classes = rows.select("h1", "h2", "id", "vec").withColumn("n", F.dense_rank().over(by_vector)).where(F.col("n") <= keep).groupBy("h1", "h2").agg(F.any_value("vec").alias("vec"), F.array_sort(F.collect_set("id")).alias("ids"))
+    classes = scratch.save(classes.withColumn("dim", F.size("vec")), "classes")
+    lengths = classes.groupBy("dim").agg(F.count("*").alias("n"))
+    n = lengths.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    most = lengths.orderBy(F.desc("n"), "dim").first()
+    own = classes.where(F.col("dim") == (most["dim"] if most else 0))
+    if most and most["n"] > sample:
+        own = own.where(F.pmod(F.xxhash64("h2"), F.lit(1 << 30)) < int(0.97 * sample / most["n"] * (1 << 30)))
+    points = own.select("vec").limit(sample).toArrow()["vec"]
+    shared = spark.sparkContext.broadcast(Forest(_unit(_matrix(points)) if len(points) else np.zeros((1, 1)), trees, leaves, seed))  # trees * leaves splits: bounded by the parameters
     asking = rows.where("asks").select(F.col("id").alias("query_id"), F.col("h1").alias("q1"), F.col("h2").alias("q2"), "vec")
-    probes = asking.select("q1", "q2", "vec").dropDuplicates(["q1", "q2"]).mapInArrow(_probe(shared, cells, share), "q1 long, q2 long, vec array<double>, tree int, cell int, leaves array<int>").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    keys = ["tree", "cell", "part"]
-    near = probes.groupBy(*keys).cogroup(cands.groupBy(*keys)).applyInPandas(_rerank(keep), "q1 long, q2 long, h1 long, h2 long, ids array<long>, score double")
-    order = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), F.col("ids")[0], "h1", "h2")
-    found = scratch.save(near.dropDuplicates(["q1", "q2", "h1", "h2"]).withColumn("n", F.row_number().over(order)).where(F.col("n") <= keep).select("q1", "q2", "ids", "score"), "found")
-    each = asking.select("query_id", "q1", "q2").join(found, ["q1", "q2"]).select("query_id", F.explode("ids").alias("vec_id"), "score").where(F.col("vec_id") != F.col("query_id")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    asked = asking.groupBy("q1", "q2").agg(F.any_value("vec").alias("vec")).withColumn("dim", F.size("vec"))
+    asked = scratch.save(asked.repartition(shuffle_partitions(spark)), "asked")
+    n_q, n_c = (max(1, math.ceil(m / block)) for m, block in ((asked.count(), QUERY_BLOCK), (n, CAND_BLOCK)))
+    n_c = max(n_c, min(shuffle_partitions(spark), math.ceil(n / 512)))
+    dealt = lambda c, m: F.pmod(c, F.lit(m)).cast("int")
+    to_all = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    share = min(1.0, max(share, least / max(1, n)))
+    cands = classes.select("h1", "h2", "vec", "ids", "dim").mapInArrow(_route(shared), f"h1 long, h2 long, vec array<{kind}>, ids array<long>, dim int, leaves array<short>")
+    cands = cands.withColumn("cb", dealt(F.col("h1"), n_c)).withColumn("qb", to_all(n_q))
+    probes = asked.mapInArrow(_probe(shared, visits, share), f"q1 long, q2 long, vec array<{kind}>, dim int, leaves array<short>, enough int")
+    probes = probes.withColumn("qb", dealt(F.col("q1"), n_q)).withColumn("cb", to_all(n_c))
+    keys = ["dim", "qb", "cb"]
+    near = probes.groupBy(*keys).cogroup(cands.groupBy(*keys)).applyInArrow(_rerank(shared, keep), NEAR)
+    by_query = Window.partitionBy("q1", "q2")
+    order = by_query.orderBy(F.desc("score"), F.col("ids")[0], "h1", "h2")
+    found = near.withColumns({"n": F.row_number().over(order), "scored": F.sum("scored").over(by_query)}).where(F.col("n") <= keep).select("q1", "q2", "ids", "score", "scored")
+    found = scratch.save(found, "found")
+    scratch.drop("classes"), scratch.drop("asked")
+    each = asking.select("query_id", "q1", "q2").join(found, ["q1", "q2"]).select("query_id", F.explode("ids").alias("vec_id"), "score", "scored").where(F.col("vec_id") != F.col("query_id"))
+    each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.max("scored").alias("scored"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "scored")

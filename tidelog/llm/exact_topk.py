@@ -5,11 +5,11 @@ groups of about ``query_block``, and each pair of groups is one task-sized piece
 falling energy, a block of them at a time. After a block, a candidate's score lies within |q_rest| * |c_rest| of its partial
 sum (Cauchy-Schwarz); candidates whose upper bound is below the k-th largest lower bound go, and the survivors are compacted
 before the next block. Each pair of groups returns k rows per query, so no more than that is shuffled for the final ranking.
+Rows are dealt by id and vector, so an id that very many rows hold is spread over all groups.
 
-Defined results: rows with a null id, a null vector or null or non-finite components take no part; neither do vectors of
-another length than the longest one. Repeated ids count once (the least vector in lexicographic order stays). Ties go to the smaller
-id. Fewer than k candidates: all of them. Empty tables give empty results. Other columns are ignored. Products that leave the
-exact range of doubles are computed in Python integers and clipped to the range of long.
+Defined results: rows with a null id, a null vector or null or non-finite components take no part. Vectors are compared with those of their own length only. Equal rows of an id and a vector count once; of an id with
+several vectors, the best score counts. Ties go to the smaller id. Fewer than k candidates: all of them. Empty tables give empty results. Other columns are ignored. Products that leave the exact range of doubles are computed in Python integers; scores beyond
+the range of long are brought to its ends, and rank as that.
 """
 
 from __future__ import annotations
@@ -18,30 +18,29 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import finite_vector
+from .shared import finite_vector, shuffle_partitions, vector_kind
 
 RESULT = "query_id long, vec_id long, score long"
 #: Dimensions that are accumulated between two prunings.
 DIM_BLOCK = 16
-
-
-def _unique(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((*rows.T[::-1], ids))
-    ids, rows = ids[order], rows[order]
-    keep = np.concatenate(([True], ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, bool)
-    return ids[keep], rows[keep]
+LIMIT = 2**63
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+    """Places of the k best ids, each with its best score."""
+    order = np.lexsort((ids, -scores))
+    if len(np.unique(ids)) < len(ids):
+        order = order[np.sort(np.unique(ids[order], return_index=True)[1])]
+    return order[:k]
 
 
 def branch_and_bound(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query id, candidate ids, scores) of the k best candidates of each query. Integers in float64, exact below 2**53."""
+    k_rows = k + len(c_ids) - len(np.unique(c_ids))  # rows that are sure to hold k ids
     energy = np.argsort(-(c * c).sum(0), kind="stable")
     columns = np.ascontiguousarray(c.T[energy])  # vertical layout: one row per dimension
     q = q[:, energy]
@@ -58,53 +57,61 @@ def branch_and_bound(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.
                 if b:
                     sums = sums + q[j, s : s + DIM_BLOCK] @ columns[s : s + DIM_BLOCK, alive]
                 slack = q_rest[b][j] * c_rest[b][alive] * (1 + 1e-9)
-                if len(alive) > k and s + DIM_BLOCK < columns.shape[0]:
+                if len(alive) > k_rows and s + DIM_BLOCK < columns.shape[0]:
                     low = sums - slack
-                    kept = sums + slack >= np.partition(low, len(low) - k)[len(low) - k] - 0.5
+                    kept = sums + slack >= np.partition(low, len(low) - k_rows)[len(low) - k_rows] - 0.5
                     alive, sums = alive[kept], sums[kept]
             best = _best(c_ids[alive], sums, k)
             yield int(q_ids[j]), c_ids[alive][best], sums[best]
 
 
-def _in_integers(q_ids, q, c_ids, c, k):
+def in_integers(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """The same for components so large that doubles would round."""
-    whole = lambda m: [[int(x) for x in row] for row in m]
-    c_rows = whole(c)
-    for i, row in zip(q_ids, whole(q), strict=True):
-        scored = sorted((-sum(map(int.__mul__, row, other)), int(j)) for j, other in zip(c_ids, c_rows, strict=True) if j != i)[:k]
-        yield int(i), np.array([j for _, j in scored], np.int64), [min(max(-s, -(2**63)), 2**63 - 1) for s, _ in scored]
+    whole = lambda m: np.array([[int(x) for x in row] for row in m], object).reshape(m.shape)
+    rows = whole(c)
+    for i, row in zip(q_ids.tolist(), whole(q), strict=True):
+        others = np.flatnonzero(c_ids != i)
+        scores = np.array([min(max(int(s), -LIMIT), LIMIT - 1) for s in rows[others] @ row] if len(others) else [], np.int64)
+        # -LIMIT has no negative in a long: ranked by the complement, which falls as the score rises.
+        order = np.lexsort((c_ids[others], ~scores))
+        order = order[np.sort(np.unique(c_ids[others][order], return_index=True)[1])][:k]
+        yield i, c_ids[others][order], scores[order]
 
 
 def _pair_of_blocks(k: int, scale: float):
-    def run(queries: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
+    kinds = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+    def rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        vectors = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return table.column("id").to_numpy(), np.floor(scale * vectors).reshape(len(table), len(vectors) // len(table))
+
+    def run(queries: pa.Table, cands: pa.Table) -> pa.Table:
         if not len(queries) or not len(cands):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
-        rows = lambda f: _unique(f["id"].to_numpy(np.int64), np.floor(scale * np.stack(f["vec"].to_numpy()).astype(np.float64)))
+            return kinds.empty_table()
         (q_ids, q), (c_ids, c) = rows(queries), rows(cands)
         most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
-        found = list((branch_and_bound if most < 2**52 else _in_integers)(q_ids, q, c_ids, c, k))
-        return pd.DataFrame(
-            {
-                "query_id": np.repeat([i for i, _, _ in found], [len(ids) for _, ids, _ in found]).astype(np.int64),
-                "vec_id": np.concatenate([ids for _, ids, _ in found]).astype(np.int64),
-                "score": np.concatenate([np.asarray(s).astype(np.int64) for _, _, s in found]),
-            }
-        )
+        found = list((branch_and_bound if most < 2**52 else in_integers)(q_ids, q, c_ids, c, k))
+        columns = np.repeat([i for i, _, _ in found], [len(ids) for _, ids, _ in found]).astype(np.int64), np.concatenate([ids for _, ids, _ in found]), np.concatenate([s.astype(np.int64) for _, _, s in found])
+        return pa.Table.from_arrays([pa.array(x) for x in columns], schema=kinds)
 
     return run
 
 
-def exact_topk(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0, query_block: int = 1024, cand_block: int = 8192) -> DataFrame:
+def exact_topk(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0, query_block: int = 4096, cand_block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that is a query, the k other rows of largest integer inner product."""
-    rows = df.where(F.col(id_col).isNotNull() & finite_vector(F.col(vec_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    seen = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0)).alias("q"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("dim")).first()
-    rows = rows.where(F.size("vec") == int(seen["dim"]))
+    rows = df.where(F.col(id_col).isNotNull() & finite_vector(F.col(vec_col)))
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(f"array<{vector_kind(df, vec_col)}>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = rows.withColumns({"dim": F.size("vec"), "h": F.xxhash64("id", "vec")})
+    seen = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0)).alias("q")).first()
     n_q = max(1, math.ceil(seen["q"] / query_block))
-    n_c = max(1, math.ceil(seen["n"] / cand_block), min(48, math.ceil(seen["n"] / 256)))
-    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    n_c = max(1, math.ceil(seen["n"] / cand_block), min(shuffle_partitions(df.sparkSession), math.ceil(seen["n"] / 512)))
+    dealt = lambda n: F.pmod("h", F.lit(n)).cast("int")
     to_all = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    queries = rows.where("asks").select("id", "vec", dealt(n_q).alias("qb")).select("id", "vec", "qb", to_all(n_c).alias("cb"))
-    cands = rows.select("id", "vec", dealt(n_c).alias("cb")).select("id", "vec", "cb", to_all(n_q).alias("qb"))
-    near = queries.groupBy("qb", "cb").cogroup(cands.groupBy("qb", "cb")).applyInPandas(_pair_of_blocks(k, scale), RESULT)
+    once = rows.groupBy("dim", "h", "id").agg(F.any_value("vec").alias("vec"), F.max("asks").alias("asks"))
+    queries = once.where("asks").select("dim", "id", "vec", dealt(n_q).alias("qb")).withColumn("cb", to_all(n_c))
+    cands = once.select("dim", "id", "vec", dealt(n_c).alias("cb")).withColumn("qb", to_all(n_q))
+    keys = ["dim", "qb", "cb"]
+    near = queries.groupBy(*keys).cogroup(cands.groupBy(*keys)).applyInArrow(_pair_of_blocks(k, scale), RESULT)
+    best = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

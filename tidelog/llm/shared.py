@@ -52,3 +52,8 @@ def finite_vector(column: Column) -> Column:
     """True for arrays of finite numbers; null, and holding null, NaN or infinity, are false."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     return F.coalesce(column.isNotNull() & ~F.exists(column, bad), F.lit(False))
+
+
+def vector_kind(df: DataFrame, column: str) -> str:
+    """float for arrays of floats, which are shuffled as they are; double for all others."""
+    return "float" if df.schema[column].dataType.simpleString() == "array<float>" else "double"
