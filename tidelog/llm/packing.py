@@ -5,8 +5,8 @@ into parts of at most ``part`` ids, and the parts of a group of documents are de
 partition; the two partitions of largest imbalance are merged, the fullest windows of one onto the emptiest of the other, until one is left. The window count
 starts at the least possible and rises whenever the fullest window exceeds the capacity.
 
-A group is a run of consecutive documents of a partition with about ``group_tokens`` ids, so memory is bounded, nothing is shuffled and a
-retried task packs its input split in the same way. A sequence id is the partition, then a counter.
+A group is a run of consecutive documents of a partition, about ``group_tokens`` ids or ``group_docs`` documents, whatever comes first, so memory is bounded (differencing holds one array of window sums
+and one of places for each part of a document), nothing is shuffled and a retried task packs its input split in the same way. A sequence id is the partition, then a counter.
 
 Defined results: a null or empty text is the end id alone. Repeated rows are packed each. Null ids and other columns do no harm;
 an empty table gives no pieces.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .pretokens import Memo, slices, strings, texts_of
 
-CAPACITY, PART, GROUP_TOKENS = 2048, 512, 1 << 20
+CAPACITY, PART, GROUP_TOKENS, GROUP_DOCS = 2048, 512, 1 << 20, 8192
 
 
 def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +177,7 @@ def place(length: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return sequence, offset
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY, part: int = PART, group_tokens: int = GROUP_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY, part: int = PART, group_tokens: int = GROUP_TOKENS, group_docs: int = GROUP_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids (unsigned 32-bit little-endian), doc_tokens, sequence_id, offset: one row per piece."""
     names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
@@ -195,12 +195,12 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPA
             used += int(sequence.max()) + 1
             return group
 
-        for batch in slices(batches, most=2 << 20):
+        for batch in slices(batches, most=2 << 20, rows=group_docs):
             keys.append(batch.column("id"))
             new = model.of_texts(texts_of(batch.column("text")), end_id)
             ids += new
             held += sum(map(len, new))
-            if held >= group_tokens:
+            if held >= group_tokens or len(ids) >= group_docs:
                 yield packed()
                 keys, ids, held = [], [], 0
         if ids:

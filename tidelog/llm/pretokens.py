@@ -9,6 +9,7 @@ text) are cut by the pattern as a whole.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200A}\x{202
 ODD_SPACE = f"^ |{WHITE} | {WHITE}| $"
 #: Bytes of text that are worked on at once; a longer text makes a batch of its own.
 BATCH_BYTES = 4 << 20
-#: Entries kept in a worker's memory before it starts anew.
-MEMO = 400_000
+#: Rows of a batch at most, bytes of what is kept in a worker's memory, and characters of a key that is kept.
+BATCH_ROWS, MEMO_BYTES, LONG_KEY = 16_384, 96 << 20, 256
 
 
 def texts_of(column: pa.Array) -> pa.Array:
@@ -44,14 +45,14 @@ def strings(array: pa.Array) -> list[str]:
     return array.to_numpy(zero_copy_only=False).tolist()
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of bounded text size."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BATCH_BYTES, rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of bounded text size and row count."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, side="right"))))
             yield batch.slice(at, to - at)
             at = to
 
@@ -102,16 +103,31 @@ class PreTokens:
 
 
 class Memo(dict):
-    """What was found for a key. When full, only the keys in use stay."""
+    """What was found for a key, as far as ``MEMO_BYTES`` go. Keys of over ``LONG_KEY`` characters stay for the batch in work only. When full, only the keys in use stay."""
+
+    def __init__(self):
+        super().__init__()
+        self.bytes, self.passing = 0, []
 
     def add(self, keys: list[str], resolve) -> None:
-        """resolve: the values of a list of distinct new keys."""
+        """resolve: the values of a list of distinct new keys. All keys are here until the next call."""
+        for k in self.passing:
+            del self[k]
+        self.passing = []
+        if self.bytes > MEMO_BYTES:
+            kept = {k: self[k] for k in keys if k in self}
+            self.clear()
+            self.update(kept)
+            self.bytes = sum(map(self._size, kept.items()))
         if new := [k for k in keys if k not in self]:
-            if len(self) + len(new) > MEMO:
-                kept = {k: self[k] for k in keys if k in self}
-                self.clear()
-                self.update(kept)
-            self.update(zip(new, resolve(new), strict=True))
+            found = dict(zip(new, resolve(new), strict=True))
+            self.update(found)
+            self.passing = [k for k in new if len(k) > LONG_KEY]
+            self.bytes += sum(map(self._size, found.items())) - sum(self._size((k, found[k])) for k in self.passing)
+
+    @staticmethod
+    def _size(item: tuple) -> int:
+        return sys.getsizeof(item[0]) + sys.getsizeof(item[1]) + 100
 
 
 def spread(ends: np.ndarray) -> np.ndarray:

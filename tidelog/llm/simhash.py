@@ -7,7 +7,8 @@ without comparing pairs: each is sent to every word within 1 bit of it, among th
 in at most 2 bits just when they meet at such a word. At most 65 distinct fingerprints meet at one word. Links join into connected
 components.
 
-Everything after the fingerprints works on distinct fingerprints, so a group of copies of any size is one row there.
+Everything after the fingerprints works on distinct fingerprints, so a group of copies of any size is one row there. Only the last join, which names the component of each row, meets a fingerprint that very many rows
+share; it is between two written tables, which Spark splits by skew.
 
 Defined results: a null text is an empty one; texts without words have fingerprint zero, which links like any other. Repeated rows are
 returned each. A null id is no component's name unless the component has no other: then its component_id is null. Other columns
@@ -97,10 +98,11 @@ def links_within_two(fps: DataFrame) -> DataFrame:
 def first_of_components(docs: DataFrame, distinct: DataFrame, roots: DataFrame, tag: Column, scratch: Scratch, id_col: str) -> DataFrame:
     """The rows of docs that stand first in their component. distinct: node, first (the least struct of unnamed, id, tag); roots: node, root of linked nodes."""
     linked = scratch.save(distinct.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first"), "linked")
-    first = scratch.save(linked.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_id"), F.col("first.tag").alias("_tag")).distinct(), "first")
-    rows = docs.withColumn("_same", tag)
-    kept = rows.join(first, rows[id_col].eqNullSafe(first["_id"]) & (rows["_same"] == first["_tag"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_same"]).drop("_same")
+    first = scratch.save(linked.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("first_id"), F.col("first.tag").alias("first_tag")).distinct(), "first")
+    scratch.drop("linked", "distinct")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].alias("id"), tag.alias("tag"))
+    kept = rows.join(first, rows["id"].eqNullSafe(first["first_id"]) & (rows["tag"] == first["first_tag"]), "left_semi")
+    return kept.dropDuplicates(["id", "tag"]).select("row.*")
 
 
 def first_of_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,6 +111,7 @@ def first_of_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
     tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     fps = scratch.save(fingerprint_table(docs.select(F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), tag.alias("tag")).alias("row"), text_col), shingle, "row", text_col), "fingerprints")
     distinct = scratch.save(fps.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
+    scratch.drop("fingerprints")
     roots = connected_components(links_within_two(distinct.select("fp")), scratch)
     return first_of_components(docs, distinct.withColumnRenamed("fp", "node"), roots, tag, scratch, id_col)
 
@@ -123,4 +126,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
     least = scratch.save(linked.groupBy("root").agg(F.min("first").alias("least")), "least")
     named = scratch.save(linked.join(least, "root").select("fp", "least"), "named")
     of_fp = scratch.save(distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "of_fp")
+    scratch.drop("distinct", "linked", "least", "named")
     return all_fps.join(of_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
