@@ -158,6 +158,8 @@ def test_long_texts_do_not_end_the_sample(spark):
         rows, counts = training_sample(docs, labels, "quality", 4, 2, sample_bytes=100_000)
         got = sorted(len(t) for t in rows["text"].to_pylist())
         assert got == sorted([5] + [100] * (len(ids) - 5) + [30_000] * 2) and sum(counts.values()) == len(ids)
+    with pytest.raises(ValueError):
+        training_sample(docs, labels, "quality", 4, 2, sample_bytes=8)
     rows, _ = training_sample(docs, labels, "quality", 4, 2, sample_bytes=12_800)
     assert {sum(y == k for y in rows["label"].to_pylist()) for k in (0, 1)} <= {64, 65} and max(len(t) for t in rows["text"].to_pylist()) == 100
 

@@ -27,7 +27,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     The sample is one row of each of the ids with the smallest hashes, class by class, as far as the row and byte bounds go: a row that does not fit is passed over, and the next ones go on. Rows of
     more than a ``LONG``-th of a class's bytes come after all others, so a few long texts do not take the place of many; a text of more than all of a class's bytes is not fitted on. Labels other
     than 0 and 1 and rows without an id are left out; an id with both labels counts as 1, an id with several texts counts with the shortest (of equal ones, the least hash). All but the last step
-    handles ids and sizes only.
+    handles ids and sizes only. An error is raised when a class has texts and none of them fits.
     """
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(id_col), folds, fold))
     known = usable.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label).cast("int")).alias("label"))
@@ -41,6 +41,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         if r["size"] <= left[r["label"]]:
             left[r["label"]] -= r["size"]
             within.append((r["id"], r["label"], r["tag"], r["order"]))
+    for k in {r["label"] for r in listed} - {label for _, label, *_ in within}:
+        raise ValueError(f"no text of class {k} of {label} fits in {sample_bytes // 2} bytes: nothing can be fitted on")
     kept = docs.sparkSession.createDataFrame(within, "id long, label int, tag long, order long")
     texts = rows.withColumn("tag", F.xxhash64("text")).join(F.broadcast(kept), ["id", "tag"]).groupBy("id", "label", "order").agg(F.max("text").alias("text"))
     return texts.orderBy("order", "id").select("text", "label").toArrow(), counts

@@ -7,7 +7,7 @@ into the bias. As all is linear up to the softmax, a trained model gives each di
 weighted sum over its distinct words, in whole Arrow batches, so rows keep their partition and nothing is shuffled.
 
 Defined results: a null or empty text has the zero vector and gets the score of the bias. Repeated rows are scored each. Null ids are
-scored and not held out. Without labels of both classes every score is the smoothed share of label 1, (n1 + 1/2) / (n + 2). Other
+scored and not held out. Without labelled texts of both classes every score is ``unlearnt``, or else the smoothed share of label 1, (n1 + 1/2) / (n + 2). Other
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -181,20 +181,20 @@ class SubwordSoftmax:
 class Constant:
     """For want of two classes."""
 
-    def __init__(self, counts: dict[int, int]):
-        self.score = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 2)
+    def __init__(self, counts: dict[int, int], score: float | None = None):
+        self.score = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 2) if score is None else score
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         return np.full(len(texts), self.score)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD, folds: int = FOLDS, fold: int = HELD_OUT_FOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, with held_out, score and predicted (which replace columns of those names): one row per row of docs."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD, folds: int = FOLDS, fold: int = HELD_OUT_FOLD, id_col: str = "doc_id", text_col: str = "text", unlearnt: float | None = None) -> DataFrame:
+    """All columns of docs, with held_out, score and predicted (which replace columns of those names): one row per row of docs. unlearnt: every row's score where there is nothing to learn from."""
     sample, counts = training_sample(docs, labels, label, folds, fold, id_col=id_col, text_col=text_col)
     if len(set(sample["label"].to_pylist())) == 2:
         model = SubwordSoftmax().fit(texts_of(sample["text"].combine_chunks()), sample["label"].to_numpy(), counts).ready()
     else:
-        model = Constant(counts)
+        model = Constant(counts, unlearnt)
     return score_rows(docs, model, threshold, folds, fold, id_col, text_col)
 
 
