@@ -201,6 +201,36 @@ def test_one_row_of_equal_ids_stays(spark):
     assert sorted((str(r["doc_id"]), r["fp"]) for r in first_of_groups(rows).collect()) == [("5", "p"), ("None", "q")]
 
 
+def test_columns_that_clash_with_names_used_inside(spark):
+    names = "doc_id long, text string, _same string, row string, tag long, id long, node long, first string"
+    rows = spark.createDataFrame([(2, "some words that are here", "p", "r", 1, 9, 8, "f"), (1, "some words that are here", "q", "r", 1, 9, 8, "f")], names)
+    for first in (first_of_groups, first_of_near_copies):
+        kept = first(rows)
+        assert kept.schema.names == rows.schema.names and [tuple(r) for r in kept.collect()] == [(1, "some words that are here", "q", "r", 1, 9, 8, "f")]
+
+
+def test_large_group_of_half_similar_texts(spark):
+    """Texts that share most keys of the bands and are mostly less similar than the threshold: the links are exactly those of all pairs."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    texts = [[f"v{rng.randrange(5000)}" if rng.random() < rng.choice((0.005, 0.03, 0.05)) else w for w in base] for _ in range(300)]
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    root = list(range(len(sets)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    expected = sorted({find(i) for i in range(len(sets))})
+    assert 1 < len(expected) < 300
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in first_of_near_copies(df).collect()) == expected
+
+
 def test_near_copies(spark):
     """Pairs that differ in a few words, with a chain and texts of about half similarity, against all pairs."""
     rng = random.Random(4)
