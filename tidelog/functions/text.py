@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 CONTROLS = "".join(map(chr, range(0x21)))
 #: The normaliser's patterns and what stands for a match, in the order of application. A word boundary is spelt out, as
 #: letters, marks, digits and the underscore of any script, so that it does not depend on the regex engine.
+#: What a match begins with is looked for first and the boundary behind it only then, which spares most places the look back. Folders of a path are taken for good, each only if a name follows: so the engine
+#: keeps no stack of them, and a line of any number of slashes does no harm.
 EDGE_L, EDGE_R = r"(?<![\p{L}\p{M}\p{Nd}_])", r"(?![\p{L}\p{M}\p{Nd}_])"
-UUID = EDGE_L + r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}" + EDGE_R
-IPV4 = EDGE_L + r"(?:\d{1,3}\.){3}\d{1,3}" + EDGE_R
+UUID = r"(?=[0-9a-fA-F]{8}-)" + EDGE_L + r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}" + EDGE_R
+IPV4 = r"(?=\d{1,3}\.)" + EDGE_L + r"(?:\d{1,3}\.){3}\d{1,3}" + EDGE_R
 TIMESTAMP = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?"
-PATH = r"""(?:[A-Za-z]:\\|/)(?:[^\\/:*?"<>|\r\n]+[\\/])*([^\\/:*?"<>|\r\n]+)"""
-PLAYER = EDGE_L + r"player_\d+" + EDGE_R
-ITEM = EDGE_L + r"item_([a-zA-Z]+)_\d+" + EDGE_R
+NAME = r"""[^\\/:*?"<>|\r\n]"""
+PATH = rf"(?:[A-Za-z]:\\|/)(?:{NAME}++[\\/](?={NAME}))*+({NAME}+)"
+PLAYER = r"(?=player_)" + EDGE_L + r"player_\d+" + EDGE_R
+ITEM = r"(?=item_)" + EDGE_L + r"item_([a-zA-Z]+)_\d+" + EDGE_R
 ADDRESS = r"@[0-9a-fA-F]+"
-NUMBER = EDGE_L + r"\d+" + EDGE_R
+NUMBER = r"(?=\d)" + EDGE_L + r"\d+" + EDGE_R
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -44,7 +47,7 @@ def first_line(c: Column) -> Column:
 
 def only_newlines(c: Column) -> Column:
     """Such a text has no first line at all; records with it are set aside."""
-    return F.coalesce(c.rlike(r"^(\r?\n)+$"), F.lit(False))
+    return F.coalesce(c.rlike(r"^(?:\r?\n)++$"), F.lit(False))
 
 
 def mask_uuids(c: Column) -> Column:
@@ -82,15 +85,21 @@ def mask_numbers(c: Column) -> Column:
 
 
 STEPS = (mask_uuids, mask_ips, mask_timestamps, mask_paths, mask_players, mask_items, mask_addresses, mask_numbers)
+#: What a text must hold for a step to change it; the others look at digits, which most messages have.
+NEEDED = {mask_uuids: "-", mask_paths: "[/\\\\]", mask_players: "player_", mask_items: "item_", mask_addresses: "@"}
 
 
 def normalize_message(c: Column) -> Column:
     """What varies between occurrences of one message, masked. Null and empty stay."""
     for step in STEPS:
-        c = step(c)
+        c = let(c, _where_needed(step)) if step in NEEDED else step(c)
     return c
 
 
+def _where_needed(step: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda x: F.when(x.rlike(NEEDED[step]), step(x)).otherwise(x)
+
+
 def exception_type(archive: Column) -> Column:
     """What stands before the first colon of the trimmed first line, if it has a dot; else null."""
     return let(jtrim(first_line(archive)), type_of_line)

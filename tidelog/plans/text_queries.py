@@ -10,6 +10,8 @@ from ..sources.tables import event_logs, table
 from .registry import LOGS, query
 
 _TRIM = r"regexp_replace({}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
+#: The normaliser's patterns and what stands for a match, in the order of application. They are written out a second time, in the form of another regex engine, so that the SQL checks the
+#: library's own patterns and does not share them.
 _STEPS = [
     (r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "UUID"),
     (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "IP"),
