@@ -15,7 +15,7 @@ def now():
 
 def message(spark, **fields):
     base = dict.fromkeys(schemas.RAW_FIELDS) | {"projectId": "550e8400-e29b-41d4-a716-446655440000", "archive": "x", "severity": "INFO", "eventCategory": "SYSTEM", "occurredAt": "2024-03-15T12:00:00Z", "arrival_seq": 1}
-    return spark.createDataFrame([tuple((base | fields)[c] for c in (*schemas.RAW_FIELDS, "arrival_seq"))], schemas.RAW_MESSAGE)
+    return spark.createDataFrame([(*((base | fields)[c] for c in (*schemas.RAW_FIELDS, "arrival_seq")), None)], schemas.RAW_MESSAGE)
 
 
 @pytest.mark.parametrize("fields, reason", [
@@ -76,20 +76,6 @@ def test_containment(spark, body, pattern, holds):
     assert row["h"] is holds
 
 
-def test_batch_size_vectors():
-    limits = {"start": 100, "least": 10, "most": 500, "grow_below": 1000, "shrink_from": 5000}
-    first = control.BatchSize(**limits)
-    first.after(1000)
-    assert first.ema == pytest.approx(300)
-    first.after(5000)
-    assert first.ema == pytest.approx(1710)
-    assert control.BatchSize(**limits).after(6000) == 50
-    low = control.BatchSize(**limits | {"start": 20})
-    assert [low.after(6000) for _ in range(5)][-1] == 10
-    high = control.BatchSize(**limits | {"start": 490})
-    assert [high.after(500) for _ in range(10)][-1] == 500
-
-
 def test_pressure(spark):
     limits = {"warn_ms": 3000, "critical_ms": 5000}
     for latencies, state in (([3500] * 15, "WARN"), ([6000] * 15, "CRITICAL"), ([6000] * 15 + [500] * 50, "NORMAL")):
@@ -116,16 +102,34 @@ def test_tokens_are_conserved():
     assert passed <= 3 + 3 * 10 and passed >= 3 * 10
 
 
-def test_breaker():
-    breaker = control.Breaker()
-    assert [breaker.call(t, True) for t in range(4)] == [("CLOSED", True)] * 3 + [("OPEN", False)]
-    assert breaker.call(11_000_000, False) == ("HALF_OPEN", True)
-    assert breaker.call(11_000_001, False) == ("HALF_OPEN", True)
-    assert breaker.call(11_000_002, False) == ("CLOSED", True)
+@pytest.mark.parametrize("sizes", [{"slice_width": 7, "chunk": 20}, {"slice_width": 1000, "chunk": 10}, {}])
+def test_windows_over_chunks(spark, sizes):
+    """A key that holds most rows, in chunks that overlap, against one window a key."""
+    rows = spark.range(500).select(F.when(F.col("id") % 9 == 0, "b").when(F.col("id") % 50 == 1, None).otherwise("a").alias("k"), (F.col("id") * 3).alias("n"), (F.xxhash64("id") % 3 == 0).alias("bad"))
+    from pyspark.sql import Window
+
+    by_key = Window.partitionBy("k").orderBy("n")
+    recent = by_key.rowsBetween(-9, 0)
+    expected = rows.withColumn("share", F.when(F.count("*").over(recent) >= 3, F.avg(F.col("bad").cast("int")).over(recent)))
+    got = control.failure_share(rows, "k", "n", "bad", **sizes)
+    assert got.columns == expected.columns and got.exceptAll(expected).count() == expected.exceptAll(got).count() == 0
+    moved = rows.select(F.lag("bad").over(by_key).alias("from_state"), F.col("bad").alias("to_state")).where("from_state != to_state").groupBy("from_state", "to_state").agg(F.count("*").alias("times"))
+    found = control.transitions(rows, "k", "n", "bad", **sizes)
+    assert found.exceptAll(moved).count() == moved.exceptAll(found).count() == 0 < found.count()
+
+
+def test_rate_limit_passes_other_columns(spark):
+    rows = spark.createDataFrame([("k", n, 1000 * n, {"a": n}) for n in range(6)] + [(None, 9, 0, None)], "k string, n long, t long, other map<string,long>")
+    got = {(r["k"], r["n"]): (r["passed"], r["other"]) for r in control.rate_limited(rows, "k", "n", "t", 2).collect()}
+    assert got == {("k", n): (n < 2, {"a": n}) for n in range(6)} | {(None, 9): (True, None)}
+
+
+def test_older_rows_weigh_nothing():
+    assert 0.3 * (1 - control.EMA_WEIGHT) ** control.EMA_ROWS == 0.0
 
 
 def test_page_of_a_million_and_three_documents(spark):
-    groups = spark.createDataFrame([(1, "p", "기술", "설계문서")], schemas.DOCUMENT_GROUP)
+    groups = spark.createDataFrame([(1, "p", "안내", "배포 절차")], schemas.DOCUMENT_GROUP)
     rows = spark.range(3).select(F.lit(1).cast("long").alias("group_id"), F.col("id").alias("document_id"), F.when(F.col("id") == 1, 1).otherwise(0).alias("major"), F.lit(0).alias("minor"), F.lit(0).alias("patch"))
     found = archive.group_summaries(groups, rows).first()
     assert (found["latest_version"], found["document_count"]) == ("v1.0.0", 3)
@@ -135,18 +139,31 @@ def test_page_of_a_million_and_three_documents(spark):
 def test_update_refusals(spark):
     groups = spark.createDataFrame([(1, "p", "c", "g")], schemas.DOCUMENT_GROUP)
     documents = spark.createDataFrame([(n, 1, "d", "pdf", 1, 0, n, f"h{n}", 5, "k", False, None, None) for n in (1, 2)], schemas.DOCUMENT_METADATA)
-    change = "document_id long, new_major int, new_minor int, new_patch int, new_hash string, new_size long, new_file_name string, new_is_processed boolean"
+    change = "seq long, document_id long, new_major int, new_minor int, new_patch int, new_hash string, new_size long, new_file_name string, new_is_processed boolean"
     asked = {"unchanged": (1, 1, 0, 1, None, None, None, False), "version_exists": (1, 1, 0, 2, None, None, None, False), "same_content": (1, 1, 0, 1, "h2", 1, "x.png", False), "not_found": (9, 1, 0, 1, None, None, None, False)}
     for reason, row in asked.items():
-        after, refused = archive.update_documents(documents, groups, spark.createDataFrame([row], change), now().cast("timestamp"))
+        after, refused = archive.update_documents(documents, groups, spark.createDataFrame([(1, *row)], change), now().cast("timestamp"))
         assert [r["reason"] for r in refused.collect()] == [reason]
         assert after.exceptAll(documents).count() == 0
-    after, refused = archive.update_documents(documents, groups, spark.createDataFrame([(1, 2, 0, 0, "h9", 7, "x.v1.png", True)], change), now())
+    after, refused = archive.update_documents(documents, groups, spark.createDataFrame([(1, 1, 2, 0, 0, "h9", 7, "x.v1.png", True)], change), now())
     row = after.where("document_id = 1").first()
     assert (row["major"], row["hash"], row["document_name"], row["extension"], row["is_processed"], str(row["reuploaded_at"])) == (2, "h9", "x.v1", "png", True, NOW)
     assert refused.count() == 0
 
 
+def test_competing_updates(spark):
+    """Two changes that ask for one version, one content or one document: the first gets it."""
+    groups = spark.createDataFrame([(1, "p", "c", "g"), (2, "p", "c", "h")], schemas.DOCUMENT_GROUP)
+    documents = spark.createDataFrame([(n, 1 + n // 4, "d", "pdf", 1, 0, n, f"h{n}", 5, "k", False, None, None) for n in range(1, 6)], schemas.DOCUMENT_METADATA)
+    change = "seq long, document_id long, new_major int, new_minor int, new_patch int, new_hash string, new_size long, new_file_name string, new_is_processed boolean"
+    asked = [(5, 1, 9, 0, 0, None, None, None, False), (3, 2, 9, 0, 0, "new", 1, "x.png", False), (7, 3, 1, 0, 3, "new", 1, "y.png", False), (8, 4, 9, 0, 0, None, None, None, False), (9, 4, 9, 0, 1, None, None, None, False), (10, 5, 1, 0, 5, None, None, None, True)]
+    after, refused = archive.update_documents(documents, groups, spark.createDataFrame(asked, change), now())
+    assert sorted((r["seq"], r["reason"]) for r in refused.collect()) == [(5, "version_exists"), (7, "same_content"), (9, "repeated")]
+    assert archive.key_violations(after, "group_id", "major", "minor", "patch").count() == archive.key_violations(after, "hash").count() == 0
+    assert sorted((r["document_id"], r["major"], r["hash"], r["is_processed"]) for r in after.collect()) == [(1, 1, "h1", False), (2, 9, "new", False), (3, 1, "h3", False), (4, 9, "h4", False), (5, 1, "h5", True)]
+    assert [r["patch"] for r in archive.siblings(documents, 2).collect()] == [3, 2, 1]
+
+
 def test_profile_changes_keep_what_is_blank(spark):
     rows = spark.createDataFrame([("m", 1, "GOOGLE", "1", "a@x", "n", "nick", None, "JUNIOR", "CEO", "ACTIVE", None)], schemas.MEMBER)
     change = spark.createDataFrame([("m", "profile", " ", "key", None)], "member_id string, action string, new_nickname string, new_profile_key string, new_position string")

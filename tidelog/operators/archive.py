@@ -42,12 +42,17 @@ def latest(documents: DataFrame) -> DataFrame:
     return best.select(*(F.col(f"best.row.{c}").alias(c) for c in documents.columns))
 
 
+def siblings(documents: DataFrame, document_id: int) -> DataFrame:
+    """All versions of a document, itself included, newest first, one row each."""
+    asked = documents.where(F.col("document_id") == document_id).select("group_id")  # one row
+    return documents.join(F.broadcast(asked), "group_id", "left_semi").orderBy(*(F.desc(c) for c in VERSION), "document_id")
+
+
 def detail(documents: DataFrame, groups: DataFrame, document_id: int) -> DataFrame:
-    """One document with its group and all versions of it, newest first."""
+    """One document with its group and n_versions, the count of its versions; ``siblings`` lists them."""
     asked = documents.where(F.col("document_id") == document_id)
-    siblings = documents.join(F.broadcast(asked.select("group_id")), "group_id", "left_semi")  # one row
-    listed = F.reverse(F.array_sort(F.collect_list(F.struct(*VERSION, "document_id", "document_name"))))
-    return asked.join(groups, "group_id").join(siblings.groupBy("group_id").agg(listed.alias("versions")), "group_id")
+    of_group = documents.join(F.broadcast(asked.select("group_id")), "group_id", "left_semi")  # one row
+    return asked.join(groups, "group_id").join(of_group.groupBy("group_id").agg(F.count("*").alias("n_versions")), "group_id")
 
 
 def hash_copies(documents: DataFrame, groups: DataFrame) -> DataFrame:
@@ -72,11 +77,11 @@ def existing(requests: DataFrame, stored: DataFrame, *key: str) -> DataFrame:
     return requests.join(stored.select(*key), list(key), "left_semi")
 
 
-def _first_wins(rows: DataFrame, key: list[str], refusal: str) -> DataFrame:
-    """Of the rows without a reason yet, all but the first of each key get one. The first is found by a partial minimum, so a key that very many ask for is no single task's work."""
-    first = rows.where("reason IS NULL").groupBy(*key).agg(F.min("seq").alias("_first"))
+def _first_wins(rows: DataFrame, key: list[str], refusal: str, among: str = "true") -> DataFrame:
+    """Of the rows without a reason yet for which ``among`` holds, all but the first of each key get one. The first is found by a partial minimum, so a key that very many ask for is no single task's work."""
+    first = rows.where("reason IS NULL").where(among).groupBy(*key).agg(F.min("seq").alias("_first"))
     joined = rows.join(first, key, "left")
-    return joined.withColumn("reason", F.coalesce("reason", F.when(F.col("seq") > F.col("_first"), refusal))).drop("_first")
+    return joined.withColumn("reason", F.coalesce("reason", F.when(F.expr(among) & (F.col("seq") > F.col("_first")), refusal))).drop("_first")
 
 
 def _marked(requests: DataFrame, stored: DataFrame, key: list[str], flag: str) -> DataFrame:
@@ -141,9 +146,9 @@ def changed_fields(row: str = "", new: str = "new_") -> dict[str, Column]:
 
 
 def update_documents(documents: DataFrame, groups: DataFrame, changes: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """All documents after the changes, and the refused changes. changes: document_id (once), new_major, new_minor, new_patch, new_hash, new_size, new_file_name, new_is_processed.
+    """All documents after the changes, and the refused changes. changes: seq, document_id, new_major, new_minor, new_patch, new_hash, new_size, new_file_name, new_is_processed.
 
-    Refused: not_found, unchanged, version_exists, same_content.
+    Refused: not_found, unchanged, version_exists, same_content, and repeated: a later change of one document. The first change that asks for a version of a group, or for a content of a project, gets it.
     """
     owner = groups.select("group_id", "project_id")
     owned = documents.join(owner, "group_id")
@@ -159,7 +164,10 @@ def update_documents(documents: DataFrame, groups: DataFrame, changes: DataFrame
         .when(F.col("_file") & F.coalesce("_held", F.lit(False)), "same_content")
     )
     asked = asked.withColumn("reason", reason)
-    refused = asked.where("reason IS NOT NULL").select("document_id", "reason")
+    asked = _first_wins(asked, ["document_id"], "repeated")
+    asked = _first_wins(asked, ["group_id", *news], "version_exists", "_version")
+    asked = _first_wins(asked, ["project_id", "new_hash"], "same_content", "_file")
+    refused = asked.where("reason IS NOT NULL").select("seq", "document_id", "reason")
     accepted = asked.where("reason IS NULL").select("document_id", *news, "new_hash", "new_size", "new_file_name", "new_is_processed", F.col("_file").alias("_refile"), F.lit(True).alias("_changed"))
     rows = documents.join(accepted, "document_id", "left")
     changed, refile = F.coalesce("_changed", F.lit(False)), F.coalesce("_refile", F.lit(False))

@@ -1,13 +1,13 @@
-"""Control around ingestion: smoothed latency, adaptive batch size, throttling, token buckets and the circuit breaker.
+"""Control around ingestion: smoothed latency and its state, token buckets, failure shares, changes of state, one-time reads, expiry and retries.
 
-Values that depend on all earlier rows of a key are folds. ``ordered_fold`` deals rows by key, sorts each partition and runs a small step
-function over it, holding one state at a time: a key of any length costs constant memory. The smoothed latency needs no fold: its weights fall off so
-fast that the newest ``EMA_ROWS`` rows decide it in double precision.
+A token bucket is a fold over all earlier requests of a key: what a request finds depends on which ones before it were let through, so it cannot be summed up in parts. Rows are dealt by key and sorted, and
+each task holds one state at a time: a key of any length costs constant memory, but its requests go through one task. All else is split: windows that look some rows back run over chunks of
+a key that overlap by so many rows, and the smoothed latency is a sum of its newest rows, as the others' weight is zero in double precision.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,78 +15,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: The weight of the newest latency, and the default limits.
-EMA_WEIGHT, EMA_ROWS = 0.3, 150
-WARN_MS, CRITICAL_MS, WARN_SLEEP_MS, CRITICAL_SLEEP_MS = 500, 2_000, 200, 1_000
-BATCH_START, BATCH_MIN, BATCH_MAX, GROW_BELOW_MS, SHRINK_FROM_MS = 100, 10, 500, 1_000, 5_000
-BREAKER_WINDOW, BREAKER_MIN_CALLS, BREAKER_FAILURE_SHARE, BREAKER_OPEN_MICROS, BREAKER_TRIALS = 10, 3, 0.5, 10_000_000, 2
+EMA_WEIGHT = 0.3
+WARN_MS, CRITICAL_MS = 500, 2_000
+FAILURE_WINDOW, FAILURE_MIN_CALLS = 10, 3
+#: Rows from which on a weight of 0.7 to the power of the row's number is zero in double precision.
+EMA_ROWS = 2_100
+#: Width of the slices of the order column in which a key's rows are numbered, and rows of a chunk.
+SLICE, CHUNK = 100_000, 10_000
 MICRO = 1_000_000
 
 
-def ordered_fold(df: DataFrame, key: str, order: str, start: Callable[[], object], step: Callable[[object, dict], tuple], outputs: str) -> DataFrame:
-    """Rows with the outputs of ``step(state, row) -> (state, *outputs)``, run over the rows of each key in order."""
-    names = [f.split()[0] for f in outputs.split(", ")]
-    arrow = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
-    kinds = [arrow[f.split()[1]] for f in outputs.split(", ")]
-    rows = df.repartition(key).sortWithinPartitions(key, order)
-    schema = StructType([*rows.schema, *StructType.fromDDL(outputs)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state, begun = None, None, False
-        for batch in batches:
-            made: list[tuple] = []
-            for row in batch.to_pylist():
-                if not begun or row[key] != last:
-                    last, state, begun = row[key], start(), True
-                state, *out = step(state, row)
-                made.append(tuple(out))
-            extra = [pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *names])
-
-    return rows.mapInArrow(run, schema)
-
-
 def smoothed(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """key, ema: the exponential moving average, from 0, after the last row of each key. Rows beyond the newest ``EMA_ROWS`` are cut before the shuffle: together they weigh less than 1e-23."""
+    """key, ema: the exponential moving average, from 0, after the last row of each key. Rows beyond the newest ``EMA_ROWS`` weigh nothing and are cut before the shuffle."""
     newest = Window.partitionBy(key).orderBy(F.desc(order))
     placed = df.select(key, value, F.row_number().over(newest).alias("_n")).where(F.col("_n") <= EMA_ROWS)
     return placed.groupBy(key).agg(F.sum(EMA_WEIGHT * F.pow(F.lit(1 - EMA_WEIGHT), F.col("_n") - 1) * F.col(value)).alias("ema"))
 
 
-def ladder(latency: Column, critical, warn, otherwise, warn_ms: float = WARN_MS, critical_ms: float = CRITICAL_MS) -> Column:
-    return F.when(latency >= critical_ms, critical).when(latency >= warn_ms, warn).otherwise(otherwise)
-
-
-def pressure_state(latency: Column, **limits) -> Column:
-    return ladder(latency, "CRITICAL", "WARN", "NORMAL", **limits)
-
-
-def sleep_millis(latency: Column, warn_sleep: int = WARN_SLEEP_MS, critical_sleep: int = CRITICAL_SLEEP_MS, **limits) -> Column:
-    return ladder(latency, critical_sleep, warn_sleep, 0, **limits)
-
-
-class BatchSize:
-    """The adaptive batch size: also used between triggers on the driver. ``after(latency)`` gives the next size."""
-
-    def __init__(self, start: int = BATCH_START, least: int = BATCH_MIN, most: int = BATCH_MAX, grow_below: float = GROW_BELOW_MS, shrink_from: float = SHRINK_FROM_MS):
-        self.size, self.least, self.most, self.grow_below, self.shrink_from, self.ema = start, least, most, grow_below, shrink_from, 0.0
-
-    def after(self, latency: float) -> int:
-        self.ema = EMA_WEIGHT * latency + (1 - EMA_WEIGHT) * self.ema
-        if latency >= self.shrink_from:
-            self.size = max(self.least, self.size // 2)
-        elif latency < self.grow_below and self.ema < self.grow_below:
-            self.size = min(self.most, self.size + max(10, self.size // 10))
-        return self.size
-
-
-def batch_sizes(df: DataFrame, key: str, order: str, latency: str, **limits) -> DataFrame:
-    """Rows with ema and batch_size after each."""
-
-    def step(state: BatchSize, row: dict) -> tuple:
-        size = state.after(row[latency])
-        return state, state.ema, size
-
-    return ordered_fold(df, key, order, lambda: BatchSize(**limits), step, "ema double, batch_size int")
+def pressure_state(latency: Column, warn_ms: float = WARN_MS, critical_ms: float = CRITICAL_MS) -> Column:
+    return F.when(latency >= critical_ms, "CRITICAL").when(latency >= warn_ms, "WARN").otherwise("NORMAL")
 
 
 def take_token(level: int | None, last: int | None, now: int, capacity: int) -> tuple[int, bool, int, int]:
@@ -102,60 +49,64 @@ def take_token(level: int | None, last: int | None, now: int, capacity: int) ->
 
 
 def rate_limited(df: DataFrame, key: str, order: str, micros: str, capacity: int) -> DataFrame:
-    """Requests with passed, remaining and retry_after; ``micros`` is the time of the request, which ``order`` follows."""
-
-    def step(state: tuple, row: dict) -> tuple:
-        level, passed, left, wait = take_token(*state, row[micros], capacity)
-        return (level, row[micros]), passed, left, wait
+    """Requests with passed, remaining and retry_after; ``micros`` is the time of the request, which ``order`` follows. Only key and time are looked at; the other columns pass as they are."""
+    outputs = "passed boolean, remaining long, retry_after long"
+    rows = df.repartition(key).sortWithinPartitions(key, order)
 
-    return ordered_fold(df, key, order, lambda: (None, None), step, "passed boolean, remaining long, retry_after long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, of, level, last = False, None, None, None
+        for batch in batches:
+            passed, remaining, waits = [], [], []
+            for k, now in zip(batch.column(key).to_pylist(), batch.column(micros).to_pylist(), strict=True):
+                if not begun or k != of:
+                    begun, of, level, last = True, k, None, None
+                level, ok, left, wait = take_token(level, last, now, capacity)
+                last = now
+                passed.append(ok), remaining.append(left), waits.append(wait)
+            more = [pa.array(passed, pa.bool_()), pa.array(remaining, pa.int64()), pa.array(waits, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "passed", "remaining", "retry_after"])
 
+    return rows.mapInArrow(run, StructType([*rows.schema, *StructType.fromDDL(outputs)]))
 
-def failure_share(failed: Column, key: Column, order: Column) -> Column:
-    """Share of failures among the last ``BREAKER_WINDOW`` calls; null before ``BREAKER_MIN_CALLS``."""
-    recent = Window.partitionBy(key).orderBy(order).rowsBetween(1 - BREAKER_WINDOW, 0)
-    return F.when(F.count("*").over(recent) >= BREAKER_MIN_CALLS, F.avg(failed.cast("int")).over(recent))
 
+def chunked(df: DataFrame, key: str, order: str, back: int, slice_width: int = SLICE, chunk: int = CHUNK) -> DataFrame:
+    """Rows with _place (their number among the key's rows, by the whole number ``order``), _chunk, and _own: false for the last ``back`` rows of the chunk before, which are there to be looked back at.
 
-class Breaker:
-    """A circuit breaker over a count window. ``call(time, failed)`` gives the state before the call and whether the call is let through."""
+    Numbers come from the counts of slices of the order column, so a key of any length is dealt over many tasks.
+    """
+    part = F.floor(F.col(order) / slice_width)
+    sizes = df.groupBy(F.col(key).alias("_key"), part.alias("_part")).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_key", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = Window.partitionBy(key, "_slice").orderBy(order)
+    numbered = df.withColumn("_slice", part).withColumn("_rank", F.row_number().over(own))
+    placed = numbered.join(sizes, numbered[key].eqNullSafe(sizes["_key"]) & (numbered["_slice"] == sizes["_part"])).withColumn("_place", F.col("_before") + F.col("_rank") - 1)
+    first = F.floor(F.col("_place") / chunk)
+    chunks = F.when(F.col("_place") % chunk >= chunk - back, F.array(first, first + 1)).otherwise(F.array(first))
+    rows = placed.withColumn("_first", first).withColumn("_chunk", F.explode(chunks)).withColumn("_own", F.col("_chunk") == F.col("_first"))
+    return rows.select(*df.columns, "_place", "_chunk", "_own")
 
-    def __init__(self):
-        self.state, self.window, self.since, self.trials = "CLOSED", [], 0, []
 
-    def call(self, micros: int, failed: bool) -> tuple[str, bool]:
-        if self.state == "OPEN" and micros - self.since >= BREAKER_OPEN_MICROS:
-            self.state, self.trials = "HALF_OPEN", []
-        before = self.state
-        if before == "OPEN":
-            return before, False
-        if before == "HALF_OPEN":
-            self.trials.append(failed)
-            if len(self.trials) >= BREAKER_TRIALS:
-                if sum(self.trials) / len(self.trials) >= BREAKER_FAILURE_SHARE:
-                    self.state, self.since = "OPEN", micros
-                else:
-                    self.state, self.window = "CLOSED", []
-            return before, True
-        self.window = [*self.window[1 - BREAKER_WINDOW :], failed]
-        if len(self.window) >= BREAKER_MIN_CALLS and sum(self.window) / len(self.window) >= BREAKER_FAILURE_SHARE:
-            self.state, self.since, self.window = "OPEN", micros, []
-        return before, True
+def _over_chunks(df: DataFrame, key: str, order: str, back: int, name: str, value, **sizes: int) -> DataFrame:
+    """Rows with the column that ``value`` makes of a window over the key's rows in order."""
+    rows = chunked(df, key, order, back, **sizes)
+    return rows.withColumn(name, value(Window.partitionBy(key, "_chunk").orderBy("_place"))).where("_own").drop("_place", "_chunk", "_own")
 
 
-def breaker_states(df: DataFrame, key: str, order: str, micros: str, failed: str) -> DataFrame:
-    """Calls with the breaker's state at each and whether it is let through."""
+def failure_share(df: DataFrame, key: str, order: str, failed: str, name: str = "share", **sizes: int) -> DataFrame:
+    """Rows with the share of failures (a boolean column) among the last ``FAILURE_WINDOW`` calls of the key; null before ``FAILURE_MIN_CALLS``."""
 
-    def step(state: Breaker, row: dict) -> tuple:
-        return state, *state.call(row[micros], row[failed])
+    def share(window):
+        recent = window.rowsBetween(1 - FAILURE_WINDOW, 0)
+        return F.when(F.count("*").over(recent) >= FAILURE_MIN_CALLS, F.avg(F.col(failed).cast("int")).over(recent))
 
-    return ordered_fold(df, key, order, Breaker, step, "breaker string, let_through boolean")
+    return _over_chunks(df, key, order, FAILURE_WINDOW - 1, name, share, **sizes)
 
 
-def transitions(df: DataFrame, key: str, order: str, state: str) -> DataFrame:
+def transitions(df: DataFrame, key: str, order: str, state: str, **sizes: int) -> DataFrame:
     """from_state, to_state, times: changes of state between neighbouring rows of a key."""
-    before = F.lag(state).over(Window.partitionBy(key).orderBy(order))
-    moved = df.select(before.alias("from_state"), F.col(state).alias("to_state")).where("from_state != to_state")
+    rows = df.select(key, order, F.col(state).alias("to_state"))
+    moved = _over_chunks(rows, key, order, 1, "from_state", lambda window: F.lag("to_state").over(window), **sizes).where("from_state != to_state")
     return moved.groupBy("from_state", "to_state").agg(F.count("*").alias("times"))
 
 

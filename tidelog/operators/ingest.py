@@ -20,8 +20,8 @@ def or_empty(c: Column, default: str) -> Column:
     return F.when(F.coalesce(F.length(c), F.lit(0)) == 0, default).otherwise(c)
 
 
-def decoded(raw: DataFrame, now: Column | None = None) -> DataFrame:
-    """Every message as a log, with ``reason``: null, or why it is rejected. ``now`` stands for times that are missing or unreadable."""
+def decoded(raw: DataFrame, now: Column | None = None, *more: Column) -> DataFrame:
+    """Every message as a log, with ``reason``: null, or why it is rejected. ``now`` stands for times that are missing or unreadable; ``more`` are columns of the message to be kept."""
     now = F.current_timestamp() if now is None else now
     severity, category = parse_severity(F.col("severity")), parse_category(F.col("eventCategory"))
     log = raw.select(
@@ -42,6 +42,7 @@ def decoded(raw: DataFrame, now: Column | None = None) -> DataFrame:
         parse_time(F.col("createdAt"), now).alias("created_at"),
         parse_time(F.col("updatedAt"), now).alias("updated_at"),
         "arrival_seq",
+        *more,
         (F.col("projectId").isNull() | F.col("archive").isNull()).alias("_incomplete"),
     )
     too_long = reduce(Column.__or__, [F.coalesce(F.length(c) > n, F.lit(False)) for c, n in LENGTHS.items()])

@@ -51,17 +51,26 @@ def _now():
 _REASON = "CASE event_id % 11 WHEN 2 THEN 'missing_field' WHEN 1 THEN 'bad_uuid' WHEN 4 THEN 'bad_severity' WHEN 6 THEN 'bad_category' WHEN 10 THEN 'bad_json' WHEN 8 THEN 'empty_lines' WHEN 9 THEN 'too_long' END"
 
 
+_UID = "'550e8400-e29b-41d4-a716-' || lpad(CAST({} AS VARCHAR), 12, '0')"
+_NOW = "TIMESTAMP '2024-02-10 00:00:00'"
+
+
+def _plain_times(rows):
+    """Timestamps without a zone, as DuckDB has them."""
+    return rows.select(*(F.col(c).cast("timestamp_ntz").alias(c) if kind == "timestamp" else F.col(c) for c, kind in rows.dtypes))
+
+
 @query(
     "s05_decode",
-    f"""SELECT '550e8400-e29b-41d4-a716-' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS log_id, '550e8400-e29b-41d4-a716-' || lpad(CAST(user_id % 5 AS VARCHAR), 12, '0') AS project_id,
-  CASE WHEN event_id % 11 = 3 THEN 'unknown-session' ELSE 's-' || user_id END AS session_id, CASE WHEN event_id % 11 = 5 THEN 'INFO' ELSE 'ERROR' END AS severity,
-  CASE WHEN event_id % 11 = 7 THEN 'ERROR' ELSE 'SYSTEM' END AS event_category, date_trunc('second', ts) AS occurred_at, props AS attributes,
-  CASE WHEN event_id % 11 = 0 THEN 'given' ELSE sha256('Timeout after N ms') END AS fingerprint
+    f"""SELECT {_UID.format("event_id")} AS log_id, {_UID.format("user_id % 5")} AS project_id, CASE WHEN event_id % 11 = 3 THEN 'unknown-session' ELSE 's-' || user_id END AS session_id, CAST(user_id AS VARCHAR) AS user_id,
+  CASE WHEN event_id % 11 = 5 THEN 'INFO' ELSE 'ERROR' END AS severity, CASE WHEN event_id % 11 = 7 THEN 'ERROR' ELSE 'SYSTEM' END AS event_category, 'Timeout after ' || event_id || ' ms' AS archive, date_trunc('second', ts) AS occurred_at,
+  {_NOW} AS ingested_at, CAST(NULL AS VARCHAR) AS trace_id, CAST(NULL AS VARCHAR) AS span_id, CASE WHEN event_id % 11 = 0 THEN 'given' ELSE sha256('Timeout after N ms') END AS fingerprint, '{{}}' AS resource, props AS attributes,
+  {_NOW} AS created_at, {_NOW} AS updated_at, event_id AS arrival_seq
   FROM events WHERE ({_REASON}) IS NULL""",
 )
 def s05_decode(spark, folder):
     good, _ = ingest.split_rejected(ingest.decoded(_raw(spark, folder), _now()), _now())
-    return good.select("log_id", "project_id", "session_id", "severity", "event_category", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"), "attributes", "fingerprint")
+    return _plain_times(good)
 
 
 @query("t21_rejected", f"SELECT reason, count(*) AS logs FROM (SELECT {_REASON} AS reason FROM events) WHERE reason IS NOT NULL GROUP BY reason")
@@ -73,10 +82,15 @@ def t21_rejected(spark, folder):
 
 @query(
     "s06_decode_request",
-    """SELECT event_id AS arrival_seq, CASE WHEN event_id % 11 = 3 OR event_id % 11 = 2 THEN 'missing_field' WHEN event_id % 11 = 1 THEN 'bad_uuid' WHEN event_id % 11 = 4 THEN 'bad_severity' WHEN event_id % 11 = 6 THEN 'bad_category' WHEN event_id % 11 = 8 THEN 'missing_field' END AS reason FROM events""",
+    f"""WITH r AS (SELECT *, event_id % 11 AS c FROM events)
+  SELECT CASE WHEN c NOT IN (1, 2) THEN {_UID.format("user_id % 5")} END AS project_id, CASE WHEN c = 3 THEN '' ELSE 's-' || user_id END AS session_id, CAST(user_id AS VARCHAR) AS user_id, CASE c WHEN 4 THEN NULL WHEN 5 THEN 'INFO' ELSE 'ERROR' END AS severity,
+  CASE c WHEN 6 THEN NULL WHEN 7 THEN 'ERROR' ELSE 'SYSTEM' END AS event_category, CASE WHEN c = 8 THEN chr(10) || chr(13) || chr(10) ELSE 'Timeout after ' || event_id || ' ms' END AS archive, date_trunc('second', ts) AS occurred_at, {_NOW} AS ingested_at,
+  CASE WHEN c = 9 THEN repeat('t', 33) END AS trace_id, CAST(NULL AS VARCHAR) AS span_id, CASE WHEN c = 8 THEN sha256('ERROR_SYSTEM') ELSE sha256('Timeout after N ms') END AS fingerprint, '{{}}' AS resource, CASE WHEN c <> 10 THEN props END AS attributes, event_id AS arrival_seq,
+  CASE WHEN c IN (2, 3, 8) THEN 'missing_field' WHEN c = 1 THEN 'bad_uuid' WHEN c = 4 THEN 'bad_severity' WHEN c = 6 THEN 'bad_category' END AS reason FROM r""",
 )
 def s06_decode_request(spark, folder):
-    return ingest.decoded_requests(_raw(spark, folder), _now()).select("arrival_seq", "reason")
+    """All columns but the new random id."""
+    return _plain_times(ingest.decoded_requests(_raw(spark, folder), _now()).drop("log_id"))
 
 
 @query("a06_issues", f"WITH {ISSUES} SELECT * FROM issues")
@@ -193,30 +207,13 @@ def a10_ema(spark, folder):
     return control.smoothed(rows, "user_id", "event_id", "value").select("user_id", F.round("ema", 6).alias("ema"))
 
 
-@query("f49_pressure", f"SELECT user_id, CASE WHEN e >= 60 THEN 'CRITICAL' WHEN e >= 40 THEN 'WARN' ELSE 'NORMAL' END AS state, CASE WHEN e >= 60 THEN 1000 WHEN e >= 40 THEN 200 ELSE 0 END AS sleep_ms FROM ({_EMA})")
+@query("f49_pressure", f"SELECT user_id, CASE WHEN e >= 60 THEN 'CRITICAL' WHEN e >= 40 THEN 'WARN' ELSE 'NORMAL' END AS state FROM ({_EMA})")
 def f49_pressure(spark, folder):
-    """State and throttle sleep (f49, f50, t07)."""
     rows = control.smoothed(table(spark, folder, "events").where("value IS NOT NULL"), "user_id", "event_id", "value")
-    limits = {"warn_ms": 40, "critical_ms": 60}
-    return rows.select("user_id", control.pressure_state(F.col("ema"), **limits).alias("state"), control.sleep_millis(F.col("ema"), **limits).alias("sleep_ms"))
+    return rows.select("user_id", control.pressure_state(F.col("ema"), warn_ms=40, critical_ms=60).alias("state"))
 
 
-_NUMBERED = "n AS (SELECT user_id, event_id, event_id * 1500 AS micros, (event_id * 37) % 7000 AS latency, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)"
-
-
-@query(
-    "t06_batch_size",
-    f"""WITH RECURSIVE {_NUMBERED}, f AS (
-  SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS event_id, CAST(0 AS DOUBLE) AS ema, CAST(100 AS BIGINT) AS size FROM events GROUP BY user_id
-  UNION ALL
-  SELECT f.user_id, n.k, n.event_id, CAST(0.3 AS DOUBLE) * n.latency + 0.7 * f.ema,
-    CASE WHEN n.latency >= 5000 THEN greatest(10, f.size // 2) WHEN n.latency < 1000 AND CAST(0.3 AS DOUBLE) * n.latency + 0.7 * f.ema < 1000 THEN least(500, f.size + greatest(10, f.size // 10)) ELSE f.size END
-  FROM f JOIN n ON n.user_id = f.user_id AND n.k = f.k + 1)
-SELECT event_id, round(ema, 6) AS ema, CAST(size AS INTEGER) AS batch_size FROM f WHERE k > 0""",
-)
-def t06_batch_size(spark, folder):
-    rows = table(spark, folder, "events").select("user_id", "event_id", ((F.col("event_id") * 37) % 7000).cast("double").alias("latency"))
-    return control.batch_sizes(rows, "user_id", "event_id", "latency").select("event_id", F.round("ema", 6).alias("ema"), "batch_size")
+_NUMBERED = "n AS (SELECT user_id, event_id, event_id * 1500 AS micros, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)"
 
 
 @query(
@@ -239,14 +236,8 @@ def t12_rate_limit(spark, folder):
 @query("a14_failure_share", "SELECT event_id, CASE WHEN count(*) OVER w >= 3 THEN avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) OVER w END AS share FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)")
 def a14_failure_share(spark, folder):
     """Over the last ten calls (also w03)."""
-    share = control.failure_share(F.col("event_type") == "error", F.col("user_id"), F.col("event_id"))
-    return table(spark, folder, "events").select("event_id", share.alias("share"))
-
-
-@query("t08_breaker")
-def t08_breaker(spark, folder):
-    rows = table(spark, folder, "events").select("user_id", "event_id", (F.col("event_id") * 1_000_000).alias("micros"), (F.col("event_type") == "error").alias("failed"))
-    return control.breaker_states(rows, "user_id", "event_id", "micros", "failed").select("event_id", "breaker", "let_through")
+    calls = table(spark, folder, "events").select("user_id", "event_id", (F.col("event_type") == "error").alias("failed"))
+    return control.failure_share(calls, "user_id", "event_id", "failed").select("event_id", "share")
 
 
 @query("t14_consume_once", "SELECT event_id, row_number() OVER (PARTITION BY props ORDER BY event_id) = 1 AS won FROM events")
@@ -273,19 +264,6 @@ def t09_backoff(spark, folder):
     return table(spark, folder, "events").select("event_id", control.backoff_seconds(F.col("event_id") % 8 + 1).alias("seconds"))
 
 
-@query("o07_chunks", "SELECT CAST((row_number() OVER (ORDER BY event_id) - 1) // 1000 AS BIGINT) AS chunk, event_id FROM events")
-def o07_chunks(spark, folder):
-    """Insert batches of 1,000. Numbers come from the counts of ranges of ids, so no task sees all rows."""
-    rows = table(spark, folder, "events").select("event_id")
-    from pyspark.sql import Window
-
-    bucket = F.floor(F.col("event_id") / 100_000)
-    sizes = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("bucket", "before")
-    placed = rows.withColumn("bucket", bucket).withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("event_id"))).join(before, "bucket")
-    return placed.select(F.floor((F.col("before") + F.col("k") - 1) / 1000).cast("long").alias("chunk"), "event_id")
-
-
 @query("a11_page_meta", f"WITH {ISSUES} SELECT 2 AS page, 10 AS size, count(*) AS totalElements, CAST(ceil(count(*) / 10.0) AS BIGINT) AS totalPages, false AS first, 3 >= ceil(count(*) / 10.0) AS last, 3 < ceil(count(*) / 10.0) AS hasNext, true AS hasPrevious FROM issues")
 def a11_page_meta(spark, folder):
     """Totals of a page (also o04)."""
@@ -302,11 +280,3 @@ def s08_lookup(spark, folder):
     """By primary key; the filter reaches the scan."""
     return table(spark, folder, "orders").where(F.col("o_orderkey") == 33).select("o_orderkey", "o_custkey", "o_totalprice")
 
-
-@query("t02_flush_batches", "SELECT user_id, CAST((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 10 AS BIGINT) AS flush, event_id FROM events")
-def t02_flush_batches(spark, folder):
-    """Rows of each buffer in flushes of ten (t02, o08)."""
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    return table(spark, folder, "events").select("user_id", F.floor((place - 1) / 10).cast("long").alias("flush"), "event_id")
