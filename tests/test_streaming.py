@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidelog.operators import issues
 from tidelog.plans.log_queries import _raw
 from tidelog.sources import logs
-from tidelog.streaming.ingest import Store, start_ingestion, take_batch
+from tidelog.streaming.ingest import Store, backlog, drop_expired, retry_rejected, start_ingestion, take_batch
 from tidelog.streaming.metrics import Progress, counted
 from tidelog.streaming.state import expiring_store, limit_rate
 
@@ -16,28 +16,89 @@ def now():
     return F.lit("2024-02-10 00:00:00").cast("timestamp")
 
 
+def messages(spark):
+    return _raw(spark, FOLDER).withColumn("retryCount", F.lit(None).cast("int"))
+
+
 def test_stream_equals_batch(spark, tmp_path):
     landing, root = f"file://{tmp_path}/in", f"file://{tmp_path}/store"
-    raw = _raw(spark, FOLDER).cache()
+    raw = messages(spark).cache()
     for k in range(3):
         logs.land(raw.where(F.col("arrival_seq") % 3 == k).coalesce(1), landing)
+    store = Store(spark, root)
+    assert backlog(store, landing)["files"] == 3
     query = start_ingestion(spark, landing, root, now=now())
     assert query.awaitTermination(120)
-    store = Store(spark, root)
     whole = issues.rollup(store.rows().drop("batch"))
     found = store.issues()
     assert store.rows().select("batch").distinct().count() == 3
     assert found.exceptAll(whole.select(found.columns)).count() == 0 and found.count() == whole.count() > 0
     assert store.rows().count() + store.rows("rejected").count() == raw.count()
+    gauges = backlog(store, landing, query)
+    assert gauges["files"] < 3 and gauges["rejected"] == store.rows("rejected").count() > 0 == gauges["dead"] and gauges["batch"] == 2
     raw.unpersist()
 
 
 def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
-    raw = _raw(spark, FOLDER)
+    raw = messages(spark)
     for batch, part in ((0, 0), (1, 1), (1, 1)):
         take_batch(store, raw.where(F.col("arrival_seq") % 2 == part), batch, now())
     assert store.issues().agg(F.sum("occurrence_count")).first()[0] == store.rows().count()
+    assert store.rows("logs", 1).count() == store.rows().where("batch = 1").count() > 0
+
+
+def test_messages_that_come_again_are_not_stored_again(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    raw = messages(spark).where("arrival_seq < 300")
+    take_batch(store, raw, 0, now())
+    rows, occurrences = store.rows().count(), store.issues().agg(F.sum("occurrence_count")).first()[0]
+    assert rows == occurrences == store.rows().select("log_id").distinct().count() > 0
+    take_batch(store, raw.unionAll(raw), 1, now())
+    assert store.rows().count() == rows and store.issues().agg(F.sum("occurrence_count")).first()[0] == occurrences
+
+
+def test_bases_and_parts(spark, tmp_path, monkeypatch):
+    from tidelog.streaming import ingest
+
+    monkeypatch.setattr(ingest, "MERGE_EVERY", 2)
+    store = Store(spark, f"file://{tmp_path}/store")
+    raw = messages(spark)
+    for batch in range(7):
+        take_batch(store, raw.where(F.col("arrival_seq") % 7 == batch), batch, now())
+    assert store._batches("base") == [3, 5] and store._batches("parts") == [4, 5, 6]
+    whole = issues.rollup(store.rows().drop("batch"))
+    found = store.issues()
+    assert found.exceptAll(whole.select(found.columns)).count() == whole.select(found.columns).exceptAll(found).count() == 0
+    earlier, until = store.issues(before=5), issues.rollup(store.rows().where("batch < 5").drop("batch"))
+    assert earlier.exceptAll(until.select(earlier.columns)).count() == 0 and earlier.count() == until.count()
+
+
+def test_rejected_rows_are_tried_again(spark, tmp_path):
+    landing, store = f"file://{tmp_path}/in", Store(spark, f"file://{tmp_path}/store")
+    raw = messages(spark).where("arrival_seq < 200")
+    take_batch(store, raw, 0, F.lit("2023-01-01 00:00:00").cast("timestamp"))  # all months are out of range
+    assert store.rows().count() == 0 and store.rows("rejected").where("reason = 'out_of_range'").count() > 0
+    retry_rejected(store, landing)
+    assert store.rows("rejected").count() == 0
+    take_batch(store, logs.raw_batch(spark, landing), 1, now())  # by now they are in range
+    whole = Store(spark, f"file://{tmp_path}/other")
+    take_batch(whole, raw, 0, now())
+    stored = store.rows().select("log_id", "fingerprint", "occurred_at", "attributes")
+    assert stored.exceptAll(whole.rows().select(*stored.columns)).count() == 0 and stored.count() == whole.rows().count() > 0
+    left = store.rows("rejected").select("retry_count").collect()
+    assert len(left) == whole.rows("rejected").count() > 0 and {r[0] for r in left} == {1}
+    retry_rejected(store, f"{landing}2", most=2)
+    assert store.rows("dead").count() == len(left) and store.rows("rejected").count() == 0
+    assert backlog(store, landing)["dead"] == store.rows("dead").count()
+
+
+def test_retention(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    take_batch(store, messages(spark), 0, now())
+    assert drop_expired(store, F.lit("2024-02-20 00:00:00").cast("timestamp")) == [] and store.rows().count() > 0
+    assert drop_expired(store, F.lit("2024-03-01 00:00:00").cast("timestamp")) == ["2024-01"]
+    assert store.rows().where("occurred_month = '2024-01'").count() == 0
 
 
 def test_log_table(spark, tmp_path):

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from .schemas import GAME_LOG, RAW_MESSAGE
 
 
-def raw_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """Raw messages of a landing folder of JSON lines, as a stream. The checkpoint of the query that reads it is the consumer's offset."""
-    return spark.readStream.schema(RAW_MESSAGE).option("maxFilesPerTrigger", files_per_trigger).json(path)
+def raw_stream(spark: SparkSession, path: str, files_per_trigger: int = 1, archive: str | None = None) -> DataFrame:
+    """Raw messages of a landing folder of JSON lines, as a stream. The checkpoint of the query that reads it is the consumer's offset. Files that were taken move to ``archive``, if it is given."""
+    stream = spark.readStream.schema(RAW_MESSAGE).option("maxFilesPerTrigger", files_per_trigger)
+    if archive is not None:
+        stream = stream.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    return stream.json(path)
 
 
 def raw_batch(spark: SparkSession, path: str) -> DataFrame:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 RAW_FIELDS = ("logId", "projectId", "sessionId", "userId", "severity", "eventCategory", "archive", "occurredAt", "ingestedAt", "traceId", "spanId", "fingerprint", "resource", "attributes", "createdAt", "updatedAt")
-#: A message of the stream: text fields only, any may be missing, with its place in the order of arrival.
-RAW_MESSAGE = ", ".join(f"{f} string" for f in RAW_FIELDS) + ", arrival_seq long"
+#: A message of the stream: text fields only, any may be missing, with its place in the order of arrival, and how often it was tried again.
+RAW_MESSAGE = ", ".join(f"{f} string" for f in RAW_FIELDS) + ", arrival_seq long, retryCount int"
 GAME_LOG = (
     "log_id string, project_id string, session_id string, user_id string, severity string, event_category string, archive string, occurred_at timestamp, ingested_at timestamp, "
     "trace_id string, span_id string, fingerprint string, resource string, attributes string, created_at timestamp, updated_at timestamp, arrival_seq long"

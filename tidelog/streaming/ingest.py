@@ -1,7 +1,8 @@
-"""The ingestion stream: raw messages to logs, rejected rows and issues, batch by batch.
+"""The ingestion stream: raw messages to logs, rejected rows and issues, batch by batch; retries, retention and backlog of what it stores.
 
-Each micro-batch writes folders named by its id, so a batch that is run again replaces what it wrote before. The issues of batch n are made from the snapshot of batch n - 1 and
-the logs of batch n, and lie in a snapshot of their own; readers take the newest complete one.
+Logs and rejected rows lie in folders of month and batch, so a month goes as one folder, and a batch that is run again replaces what it wrote before. A message that was stored by an earlier batch is not stored
+again: the batch's keys are looked up among the stored logs of its own span of time. Each batch adds the issues of its own logs as a part; parts are merged into a base every ``MERGE_EVERY`` batches, so
+no batch reads or writes all issues. Partial issues merge associatively, hence base and parts together are the issues of all logs.
 """
 
 from __future__ import annotations
@@ -12,17 +13,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.control import retried
 from ..operators.ingest import decoded, split_rejected, without_repeats
 from ..operators.issues import merge, rollup
-from ..sources.logs import raw_stream
-from ..sources.schemas import GAME_LOG, ISSUE
+from ..operators.months import expired
+from ..sources.logs import drop_month, land, months_present, raw_stream
+from ..sources.schemas import GAME_LOG, ISSUE, RAW_FIELDS, RAW_MESSAGE
 
-KEPT_SNAPSHOTS = 2
+MERGE_EVERY, KEPT_BASES = 16, 2
+LOG_COLUMNS = [c.split()[0] for c in GAME_LOG.split(", ")]
+REJECTED = GAME_LOG + ", reason string, raw string, retry_count int"
 
 
 @dataclass
 class Store:
-    """Folders of a log store: logs, rejected rows and issue snapshots."""
+    """Folders of a log store: logs, rejected and dead rows, parts and bases of issues."""
 
     spark: SparkSession
     root: str
@@ -31,53 +36,122 @@ class Store:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
         return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder
 
-    def _snapshots(self) -> list[int]:
-        fs, folder = self._folder("issues")
-        if not fs.exists(folder):
-            return []
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        found = [s.getPath() for s in fs.listStatus(folder)]
-        return sorted(int(p.getName().split("=")[1]) for p in found if fs.exists(path(p, "_SUCCESS")))
+    def _listed(self, path: str) -> list[str]:
+        fs, folder = self._folder(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+    def _delete(self, path: str) -> None:
+        fs, folder = self._folder(path)
+        fs.delete(folder, True)
+
+    def _batches(self, kind: str) -> list[int]:
+        """Numbers of the completely written batches of a kind of issues."""
+        names = [n for n in self._listed(f"issues/{kind}") if n.startswith("batch=")]
+        return sorted(int(n.split("=")[1]) for n in names if "_SUCCESS" in self._listed(f"issues/{kind}/{n}"))
 
     def issues(self, before: int | None = None) -> DataFrame:
-        """The newest snapshot, or the newest of a batch before the given one; empty if there is none."""
-        known = [n for n in self._snapshots() if before is None or n < before]
-        if not known:
+        """All issues, or those of the batches before the given one."""
+        within = lambda kind: [n for n in self._batches(kind) if before is None or n < before]
+        base = within("base")[-1:]
+        paths = [f"{self.root}/issues/base/batch={n}" for n in base] + [f"{self.root}/issues/parts/batch={n}" for n in within("parts") if not base or n > base[0]]
+        if not paths:
             return self.spark.createDataFrame([], ISSUE)
-        return self.spark.read.schema(ISSUE).parquet(f"{self.root}/issues/batch={known[-1]}")
-
-    def save_issues(self, issues: DataFrame, batch: int) -> None:
-        issues.select(*(c.split()[0] for c in ISSUE.split(", "))).write.mode("overwrite").parquet(f"{self.root}/issues/batch={batch}")
-        for n in self._snapshots()[:-KEPT_SNAPSHOTS]:
-            fs, folder = self._folder(f"issues/batch={n}")
-            fs.delete(folder, True)
+        stored = self.spark.read.schema(ISSUE).parquet(*paths)
+        return merge(stored, self.spark.createDataFrame([], ISSUE))
+
+    def save_issues(self, issues: DataFrame, batch: int, kind: str = "parts") -> None:
+        issues.select(*(c.split()[0] for c in ISSUE.split(", "))).write.mode("overwrite").parquet(f"{self.root}/issues/{kind}/batch={batch}")
+
+    def merge_issues(self, batch: int) -> None:
+        """A base of all issues up to the batch; parts and bases that no reader needs go."""
+        self.save_issues(self.issues(before=batch + 1), batch, "base")
+        bases = self._batches("base")
+        for n in bases[:-KEPT_BASES]:
+            self._delete(f"issues/base/batch={n}")
+        for n in self._batches("parts"):
+            if len(bases) >= KEPT_BASES and n <= bases[-KEPT_BASES]:
+                self._delete(f"issues/parts/batch={n}")
 
     def save_rows(self, rows: DataFrame, kind: str, batch: int) -> None:
-        rows.withColumn("occurred_month", F.date_format("occurred_at", "yyyy-MM")).write.mode("overwrite").partitionBy("occurred_month").parquet(f"{self.root}/{kind}/batch={batch}")
-
-    def rows(self, kind: str = "logs") -> DataFrame:
-        schema = GAME_LOG + (", reason string" if kind == "rejected" else "") + ", batch long, occurred_month string"
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{kind}")
+        """In place of what the batch has stored before."""
+        for month in self._listed(kind):
+            self._delete(f"{kind}/{month}/batch={batch}")
+        by_month = rows.withColumns({"occurred_month": F.date_format("occurred_at", "yyyy-MM"), "batch": F.lit(batch).cast("long")})
+        by_month.sortWithinPartitions("occurred_month", "occurred_at").write.mode("append").partitionBy("occurred_month", "batch").parquet(f"{self.root}/{kind}")
+
+    def rows(self, kind: str = "logs", batch: int | None = None) -> DataFrame:
+        """All rows of a kind, or those of one batch, of which only the own folders are listed."""
+        schema = (GAME_LOG if kind == "logs" else REJECTED) + ", occurred_month string, batch long"
+        paths = [f"{self.root}/{kind}"] if self._listed(kind) else []
+        if batch is not None:
+            paths = [f"{self.root}/{kind}/{month}/batch={batch}" for month in self._listed(kind) if f"batch={batch}" in self._listed(f"{kind}/{month}")]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{kind}").parquet(*paths)
+
+    def keys_near(self, rows: DataFrame, batch: int) -> DataFrame:
+        """log_id, occurred_at of other batches' logs in the rows' span of time: other months' folders are not read, nor row groups of other times."""
+        month, micros = F.date_format("occurred_at", "yyyy-MM"), F.unix_micros("occurred_at")
+        span = rows.agg(F.min(month).alias("first"), F.max(month).alias("last"), F.min(micros).alias("since"), F.max(micros).alias("until")).first()
+        stored = self.rows("logs").where(F.col("batch") != batch)
+        if span["first"] is not None:
+            stored = stored.where(F.col("occurred_month").between(span["first"], span["last"]) & F.col("occurred_at").between(F.timestamp_micros(F.lit(span["since"])), F.timestamp_micros(F.lit(span["until"]))))
+        return stored.select("log_id", "occurred_at").limit(0) if span["first"] is None else stored.select("log_id", "occurred_at")
 
 
 def take_batch(store: Store, raw: DataFrame, batch: int, now: Column | None = None) -> None:
     """One micro-batch: logs first, then rejected rows, then issues; the checkpoint moves on when all are written."""
-    names = [c.split()[0] for c in GAME_LOG.split(", ")]
-    good, rejected = split_rejected(decoded(raw, now), now)
-    store.save_rows(without_repeats(good).select(*names), "logs", batch)
-    store.save_rows(rejected.select(*names, "reason"), "rejected", batch)
-    logs = store.rows().where(F.col("batch") == batch)  # read again: generated ids must not change
-    store.save_issues(merge(store.issues(before=batch), rollup(logs)), batch)
+    message = F.to_json(F.struct(*RAW_FIELDS, "arrival_seq"))
+    rows = decoded(raw, now, message.alias("raw"), F.coalesce("retryCount", F.lit(0)).alias("retry_count")).persist()
+    try:
+        good, rejected = split_rejected(rows, now)
+        store.save_rows(without_repeats(good.select(*LOG_COLUMNS), store.keys_near(good, batch)), "logs", batch)
+        store.save_rows(rejected.select(*(c.split()[0] for c in REJECTED.split(", "))), "rejected", batch)
+    finally:
+        rows.unpersist()
+    store.save_issues(rollup(store.rows("logs", batch)), batch)  # read again: generated ids must not change
+    if batch % MERGE_EVERY == MERGE_EVERY - 1:
+        store.merge_issues(batch)
 
 
 def start_ingestion(spark: SparkSession, landing: str, root: str, files_per_trigger: int = 1, now: Column | None = None, every: str | None = None) -> StreamingQuery:
-    """Runs until stopped with a trigger interval (``every``, as '5 seconds'), else until the landing folder is used up."""
+    """Runs until stopped with a trigger interval (``every``, as '5 seconds'), else until the landing folder is used up. Files that were taken move to ``taken`` in the store."""
     store = Store(spark, root)
-    writer = raw_stream(spark, landing, files_per_trigger).writeStream.foreachBatch(lambda raw, batch: take_batch(store, raw, batch, now)).option("checkpointLocation", f"{root}/checkpoint")
+    stream = raw_stream(spark, landing, files_per_trigger, archive=f"{root}/taken")
+    writer = stream.writeStream.foreachBatch(lambda raw, batch: take_batch(store, raw, batch, now)).option("checkpointLocation", f"{root}/checkpoint")
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def lag(query: StreamingQuery) -> dict[str, int]:
-    """Rows and batches of the last progress, in place of pending counts and stream length."""
-    last = query.lastProgress
-    return {"batch": last["batchId"], "rows": last["numInputRows"]} if last else {"batch": -1, "rows": 0}
+def retry_rejected(store: Store, landing: str, most: int = 5) -> None:
+    """Lands the messages of rejected rows again, with their tries counted up; those that were tried ``most`` times go to the dead rows instead.
+
+    If it ends half-way, messages land twice; the store takes one of them.
+    """
+    batches = {(month, n) for month in store._listed("rejected") if month.startswith("occurred_month=") for n in store._listed(f"rejected/{month}")}
+    if not batches:
+        return
+    again, dead = retried(store.rows("rejected"), most)
+    number = max(int(n.split("=")[1]) for _, n in batches)
+    store.save_rows(dead.select(*(c.split()[0] for c in REJECTED.split(", "))), "dead", number)
+    land(again.select(F.from_json("raw", RAW_MESSAGE).alias("m"), "retry_count").select("m.*", "retry_count").drop("retryCount").withColumnRenamed("retry_count", "retryCount"), landing)
+    for month, n in batches:
+        store._delete(f"rejected/{month}/{n}")
+
+
+def drop_expired(store: Store, now: Column, older_too: bool = True) -> list[str]:
+    """The retention run: logs and rejected rows of months that are over go, a folder each. The months that went."""
+    gone = set()
+    for kind in ("logs", "rejected", "dead"):
+        if store._listed(kind):
+            months = months_present(store.spark, f"{store.root}/{kind}").where(expired(F.to_date("occurred_month", "yyyy-MM"), now, older_too)).collect()  # a row a month
+            gone |= {r[0] for r in months if drop_month(store.spark, f"{store.root}/{kind}", r[0])}
+    return sorted(gone)
+
+
+def backlog(store: Store, landing: str, query: StreamingQuery | None = None) -> dict[str, int]:
+    """Files and bytes that wait in the landing folder, rows that are rejected or dead, and rows and number of the last batch, in place of pending counts and stream length."""
+    fs, _ = store._folder("")
+    path = store.spark._jvm.org.apache.hadoop.fs.Path(landing)
+    files = [s for s in fs.listStatus(path) if s.isFile() and not s.getPath().getName().startswith(("_", "."))] if fs.exists(path) else []
+    last = query.lastProgress if query is not None else None
+    return {"files": len(files), "bytes": sum(s.getLen() for s in files), "rejected": store.rows("rejected").count(), "dead": store.rows("dead").count(), "batch": last["batchId"] if last else -1, "rows": last["numInputRows"] if last else 0}
