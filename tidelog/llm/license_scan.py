@@ -1,8 +1,9 @@
 """License scans by conditional compression, confirmed by exact wording differences.
 
 A mark (as 'licensed' or 'copyright') in a text begins a candidate block: the words around it, as many as the longest template of a length class has on each side. The block is
-compressed with zstandard plainly and with each template of the class as raw dictionary; templates are ranked by how much that saves. The best ``RANKED`` are then aligned with the block word
-by word (the cheapest place of the whole template inside the block), and the first with few enough differences, none of them in a word with a digit, is the finding. So compression finds the
+compressed with zstandard plainly and with each template of the class as raw dictionary; templates are ranked by how much that saves. Those that could be in the block at all (few enough of their words are
+missing from it) are aligned with it word by word (the cheapest place of the whole template inside the block), and the one with the fewest differences is the finding, of equal ones that which saves most. A
+template of 20 words or more may differ in a tenth of them, a shorter one in one, one of under four words in none, and none may differ in a name (as 'affero' or 'by-nc') or a word with a digit. So compression finds the
 template and the wording decides: version 2 is not taken for version 3. The words of a block before and behind a finding are searched again as long as they hold a mark and a template is
 confirmed, so notices that stand side by side are all found.
 
@@ -15,6 +16,7 @@ an empty result. Words are compared in lower case without punctuation. Findings
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -26,6 +28,17 @@ from pyspark.sql import functions as F
 
 from .pretokens import slices, texts_of
 
+_CLAUSES = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_NO_ENDORSEMENT = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 #: Notices by license. Several wordings of one license are told apart by what follows the colon.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -50,19 +63,36 @@ TEMPLATES = {
     "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
     "CC0-1.0": "Released under CC0 1.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
+    "MPL-2.0:header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "ISC:grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Zlib:grant": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    "BSD-2-Clause:text": _CLAUSES + _DISCLAIMER,
+    "BSD-3-Clause:text": _CLAUSES + _NO_ENDORSEMENT + _DISCLAIMER,
+} | {
+    f"{tag}:tag": f"SPDX-License-Identifier: {tag}"
+    for tag in ("Apache-2.0", "MIT", "ISC", "Zlib", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-3.0-only", "AGPL-3.0-only", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "Unlicense")
+}
+#: Words that tell licenses apart, as do all words with a digit.
+NAMES = frozenset("apache mit isc zlib unlicense bsd gnu general lesser library affero mozilla mpl cc by by-sa by-nc by-nc-sa by-nd by-nc-nd".split())
 #: What marks a candidate block.
 MARK = r"licen[cs]|copyright|redistribut|public\s+domain|permission\s+is|released\s+under"
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
-#: Words up to which a template is short; templates that are confirmed at most; share of a template's words that may differ.
-SHORT, RANKED, TOLERANCE = 16, 6, 0.1
-LEVEL, MEMO = 19, 50_000
+#: Words up to which a template is short or of middle length; words under which none and up to which one may differ, and the share of longer ones.
+LENGTHS, STRICT, LOOSE, TOLERANCE = (16, 90), 4, 20, 0.1
+#: Level of compression, and words of the blocks that are kept in memory.
+LEVEL, MEMO_WORDS = 19, 1_000_000
 
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def allowed(template: list[str]) -> int:
+    """Differences that a template may have."""
+    n = len(template)
+    return 0 if n < STRICT else 1 if n < LOOSE else int(TOLERANCE * n)
+
+
 def align(template: list[str], block: list[str]) -> tuple[int, int, int]:
     """(differences, start, end) of the cheapest place of the whole template inside the block; of equal ones the earliest end. Differences are words left out, put in or changed."""
     codes = {w: n for n, w in enumerate(dict.fromkeys(template + block))}
@@ -89,13 +119,16 @@ def align(template: list[str], block: list[str]) -> tuple[int, int, int]:
 class Templates:
     def __init__(self, templates: Mapping[str, str]):
         self.words = {name: words_of(text) for name, text in templates.items()}
-        self.classes = [names for names in ([n for n, w in self.words.items() if len(w) > SHORT], [n for n, w in self.words.items() if len(w) <= SHORT]) if names]
+        self.counts = {name: Counter(words) for name, words in self.words.items()}
+        of_length = lambda name: sum(len(self.words[name]) > most for most in LENGTHS)
+        self.classes = [names for k in range(len(LENGTHS), -1, -1) if (names := [n for n in self.words if of_length(n) == k])]
         self.reach = [max(len(self.words[n]) for n in names) for names in self.classes]
         options = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
         parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, **options)
         self.plain = zstandard.ZstdCompressor(compression_params=parameters)
         self.given = {n: zstandard.ZstdCompressor(compression_params=parameters, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for n, w in self.words.items()}
         self.memo: dict[tuple, tuple | None] = {}
+        self.memo_words = 0
 
     def ranked(self, block: list[str], names: list[str]) -> list[tuple[float, str]]:
         """(share of the plain size that the template saves, name), the most first."""
@@ -107,24 +140,28 @@ class Templates:
         """(name, start, end, differences, saved) of the block's finding in length class k."""
         key = (k, *block)
         if key not in self.memo:
-            if len(self.memo) >= MEMO:
+            if self.memo_words > MEMO_WORDS:
                 self.memo.clear()
+                self.memo_words = 0
             self.memo[key] = self._find(block, k)
+            self.memo_words += len(key)
         return self.memo[key]
 
     def _find(self, block: list[str], k: int) -> tuple | None:
+        held = Counter(block)
+        possible = [n for n in self.classes[k] if (self.counts[n] - held).total() <= allowed(self.words[n])]  # each word that is missing is a difference
         best = None
-        for place, (saved, name) in enumerate(self.ranked(block, self.classes[k])[:RANKED]):
+        for place, (saved, name) in enumerate(self.ranked(block, possible) if possible else ()):
             template = self.words[name]
             cost, start, end = align(template, block)
-            if cost <= int(TOLERANCE * len(template)) and self._same_numbers(template, block[start:end]) and (best is None or (cost, place) < best[0]):
+            if cost <= allowed(template) and self._same_names(template, block[start:end]) and (best is None or (cost, place) < best[0]):
                 best = (cost, place), (name, start, end, cost, saved)
         return best and best[1]
 
     @staticmethod
-    def _same_numbers(template: list[str], found: list[str]) -> bool:
-        numbers = lambda ws: [w for w in ws if any(c.isdigit() for c in w)]
-        return numbers(template) == numbers(found)
+    def _same_names(template: list[str], found: list[str]) -> bool:
+        names = lambda ws: [w for w in ws if w in NAMES or any(c.isdigit() for c in w)]
+        return names(template) == names(found)
 
     def _search(self, words: list[str], marks: np.ndarray, low: int, high: int, limit: int, k: int) -> list[tuple]:
         """Findings of length class k in words[low:high], in their order: the block's finding, and those before it. A part without a mark holds none; what is behind the last finding belongs to
@@ -137,7 +174,7 @@ class Templates:
             wide = min(limit, low + hit[1] + 2 * self.reach[k])
             if end == high and hit[3] and low + hit[2] == end < wide:
                 cost, start, stop = align(self.words[hit[0]], words[low:wide])
-                if cost < hit[3] and self._same_numbers(self.words[hit[0]], words[low + start : low + stop]):
+                if cost < hit[3] and self._same_names(self.words[hit[0]], words[low + start : low + stop]):
                     hit = (hit[0], start, stop, cost, hit[4])
             found.append((hit[0], low + hit[1], hit[2] - hit[1], hit[3], hit[4]))
             spans.append((low, low + hit[1]))
