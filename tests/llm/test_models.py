@@ -146,6 +146,114 @@ def test_toxicity_on_held_out_rows():
     assert right >= 0.97 and caught >= 0.78 and wrong <= 0.01
 
 
+SOME_TEXTS = ["Plain words, and plain again.", "", "Aa aa AA | x|y #1 99 !!\n\n two\tlines ", "漢字 and É, ß.", "one", "very very very bad WORDS? #$% 12345", " \n\t ", "word " * 300, "end."]
+
+
+def test_features_by_hand():
+    """Each feature of a text, counted character by character and word by word."""
+    from tidelog.llm.quality import CLASSES, features
+
+    for text, row in zip(SOME_TEXTS, features(texts_of(pa.array(SOME_TEXTS))), strict=True):
+        raw = text.encode()
+        of = [sum(b in members for b in raw) for members in CLASSES]
+        counts = [*of, len(raw) - sum(of)]
+        words = text.lower().split()
+        n = max(1, len(words))
+        again = sum(a == b for a, b in zip(words[:-1], words[1:], strict=True))
+        more = [again / n, len(set(words)) / n**0.75, sum(map(len, words)) / n / 10, sum(sum(not c.isalnum() for c in w) > 1 for w in words) / n, counts[0] / max(1, counts[0] + counts[1]), np.log1p(len(words)) / 5, (raw.count(b"\n") + (len(raw) > 0)) / n]
+        assert np.allclose(row, np.sqrt([c / max(1, len(raw)) for c in counts] + more), atol=1e-12), text
+
+
+def test_preference_weights_by_hand():
+    """The slope of the logistic loss on the pairs is zero at the weights, the cut is the quantile, and scores follow from both; in plain Python."""
+    from tidelog.llm import quality
+
+    texts = [f"good text number {n} with some plain words in it" for n in range(30)] + [f"### {n} | | $$ || {n}{n}" for n in range(20)] + ["good text | with a bar #", "### plain words in it"]
+    labels = np.array([1] * 30 + [0] * 20 + [0, 1])
+    counts = {0: 210, 1: 310}
+    model = BradleyTerry().fit(texts_of(pa.array(texts)), labels, counts, 0.7)
+    rows = (quality.features(texts_of(pa.array(texts))) - model.mean) / model.spread
+    rng = np.random.default_rng(42)
+    better, worse = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
+    pairs = list(zip(rng.choice(better, quality.PAIRS).tolist(), rng.choice(worse, quality.PAIRS).tolist(), strict=True))
+    slope = [quality.DECAY * w for w in model.weights]
+    for a, b in pairs:
+        strength = sum(w * (x - y) for w, x, y in zip(model.weights, rows[a], rows[b], strict=True))
+        lost = 1 / (1 + np.exp(strength))
+        for d in range(len(slope)):
+            slope[d] -= lost * (rows[a][d] - rows[b][d]) / len(pairs)
+    assert max(map(abs, slope)) < 1e-6
+    strength = [sum(w * x for w, x in zip(model.weights, row, strict=True)) for row in rows]
+    weight = [counts[int(y)] / (labels == y).sum() for y in labels]
+    below = sum(w for w, s in zip(weight, strength, strict=True) if s < model.cut)
+    assert abs(below - counts[0]) <= max(weight)
+    expected = [1 / (1 + np.exp(-(s - model.cut + np.log(0.7 / 0.3)))) for s in strength]
+    assert np.allclose(model.scores(texts_of(pa.array(texts))), expected, atol=1e-9)
+
+
+def subword_model():
+    from tidelog.llm.toxicity import subwords
+
+    texts = [f"kind words of number {n} and more" for n in range(60)] + [f"you grubwort{'z' * (n % 3)} number {n}" for n in range(40)]
+    return SubwordSoftmax().fit(texts_of(pa.array(texts)), np.array([0] * 60 + [1] * 40), {0: 600, 1: 40}), subwords
+
+
+def test_toxicity_scores_by_hand():
+    """The score of a text from its subwords' numbers, word by word in plain Python; a misspelling that was not seen shares them."""
+    model, subwords = subword_model()
+    model.ready()
+    texts = [*SOME_TEXTS, "you grubwort number 3", "gruwbortz!", "(grubwortzz) kind"]
+    got = model.scores(texts_of(pa.array(texts)))
+    for text, score in zip(texts, got, strict=True):
+        values = []
+        for word in text.lower().split():
+            while word and not word[0].isalnum():
+                word = word[1:]
+            while word and not word[-1].isalnum():
+                word = word[:-1]
+            marked = f"<{word}>"
+            buckets = subwords([word])[1].tolist()
+            assert len(buckets) == sum(max(0, len(marked) - n + 1) for n in range(3, 7))
+            values.append(sum(model.odds[b] for b in buckets) / max(1, len(buckets)))
+        assert abs(score - 1 / (1 + np.exp(-(model.start + sum(values) / max(1, len(values)))))) < 1e-9
+    assert got[-3] > 0.5 > got[4] and got[-2] > got[4]
+
+
+def test_a_step_follows_the_slope_of_the_loss():
+    """Subword vectors, softmax weights and bias move by the numerical gradient of the cross-entropy."""
+    from tidelog.llm import toxicity
+
+    model = SubwordSoftmax(3)
+    rng = np.random.default_rng(4)
+    model.vectors[:6] = rng.normal(size=(6, toxicity.DIM)).astype(np.float32)
+    bucket, weight, ends = np.array([0, 1, 2, 2, 3, 5]), np.array([0.5, 0.2, 0.3, 0.1, 0.7, 0.4], np.float32), np.array([0, 3, 5, 6])
+    labels, rows = np.array([0, 1, 1]), np.array([0, 1, 2])
+    start = [x.astype(np.float64) for x in (model.vectors[:6], model.weights, model.bias)]
+
+    def loss(vectors, weights, bias):
+        total = 0.0
+        for i in rows:
+            mean = sum(float(w) * vectors[b] for b, w in zip(bucket[ends[i] : ends[i + 1]], weight[ends[i] : ends[i + 1]], strict=True))
+            out = mean @ weights + bias
+            total += np.log(np.exp(out).sum()) - out[labels[i]]
+        return total / len(rows)
+
+    slopes = []
+    for k, x in enumerate(start):
+        slope = np.zeros_like(x)
+        for at in np.ndindex(x.shape):
+            moved = [[y.copy() for y in start] for _ in range(2)]
+            moved[0][k][at] += 1e-5
+            moved[1][k][at] -= 1e-5
+            slope[at] = (loss(*moved[0]) - loss(*moved[1])) / 2e-5
+        slopes.append(slope)
+    rate = 0.01
+    model._step(rows, labels, ends, bucket, weight, rate)
+    used = np.array([0, 1, 2, 3, 5])
+    assert np.allclose(model.vectors[used], start[0][used] * (1 - rate * toxicity.DECAY) - rate * slopes[0][used], atol=1e-6)
+    assert np.allclose(model.weights, start[1] - toxicity.WEIGHT_RATE * rate * slopes[1], atol=1e-6) and np.allclose(model.bias, start[2] - rate * slopes[2], atol=1e-6)
+
+
 def test_long_texts_do_not_end_the_sample(spark):
     from tidelog.llm.labelled import training_sample
 
