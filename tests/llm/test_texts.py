@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tidelog.llm import packing as packing_module
 from tidelog.llm.bpe import encode_decode
-from tidelog.llm.line_dedup import dedup_lines
+from tidelog.llm.line_dedup import LineIndex, dedup_batch, dedup_lines, sorted_buckets
 from tidelog.llm.near_copies import first_of_near_copies
 from tidelog.llm.packing import pack
 from tidelog.llm.simhash import fingerprints, first_of_groups, near_duplicates
@@ -138,6 +138,47 @@ def test_line_dedup(spark, docs, batches, fanout):
     assert got == sorted(brute_lines(rows))
 
 
+def test_lines_batch_by_batch(spark, docs, tmp_path):
+    """An index that is opened anew for each batch gives what all batches at once give; an uncommitted batch is forgotten; runs are bounded in number."""
+    rows, df = docs
+    expected = sorted(brute_lines(rows))
+    ids = sorted(i for i, _ in rows)
+    cuts = [ids[len(ids) * k // 7] for k in range(7)] + [ids[-1] + 1]
+    got = []
+    for n, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        index = LineIndex(spark, f"file://{tmp_path}/index", buckets=3, fanout=2)
+        batch = df.where(df["doc_id"].between(low, high - 1))
+        if n == 2:
+            assert dedup_batch(batch, index).count() == batch.count()  # ends before it is committed
+            index.close()
+            index = LineIndex(spark, f"file://{tmp_path}/index", fanout=2)
+        got += [(r["doc_id"], r["n_lines"], r["n_dropped"], r["text"] or "") for r in dedup_batch(batch, index).collect()]
+        index.commit()
+        assert index.buckets == 3 and sum(map(len, index.levels)) <= 3
+        index.close()
+    assert sorted(got) == expected
+
+
+def test_runs_are_neither_shuffled_nor_sorted_again(spark, docs, tmp_path):
+    _, df = docs
+    index = LineIndex(spark, f"file://{tmp_path}/index", fanout=9)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for part in range(3):
+            dedup_batch(df.where(df["doc_id"] % 3 == part), index)
+            index.commit()
+        keys = df.select(F.xxhash64("text").alias("h1"), F.xxhash64("id", "text").alias("h2"), "doc_id").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        with sorted_buckets(spark):
+            plan = index.marked(keys)._jdf.queryExecution().executedPlan().toString()
+            merged = index.merged(index.runs())._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        index.close()
+    assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1  # of the batch's keys only
+    assert "Exchange" not in merged
+
+
 def test_line_dedup_edges(spark):
     assert dedup_lines(empty(spark)).count() == 0
     clash = spark.createDataFrame([(2, "a long enough line", 7, "k"), (None, "a long enough line", 8, "k"), (1, "A LONG ENOUGH LINE\nother", 9, "k"), (1, "a long enough line", 9, "k")], "doc_id long, text string, n_lines int, key string")

@@ -63,8 +63,30 @@ class Scratch:
             Scratch.made.remove(self)
 
     def _delete(self, folder: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, folder)
+
+
+def _at(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    fs, path = _at(spark, folder)
+    fs.delete(path, True)
+
+
+def rename(spark: SparkSession, folder: str, to: str) -> None:
+    fs, path = _at(spark, folder)
+    if not fs.rename(path, _at(spark, to)[1]):
+        raise OSError(f"{folder} could not be renamed to {to}")
+
+
+def folders(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the completely written tables in a folder."""
+    fs, path = _at(spark, folder)
+    found = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return [p.getName() for p in found if fs.exists(_at(spark, f"{folder}/{p.getName()}/_SUCCESS")[1])]
 
 
 def remove_scratch() -> None:
