@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .shared import Scratch, finite_vector, shuffle_partitions, vector_kind
 
 SAMPLE, TREES, LEAVES, VISITS, SHARE, LEAST, SEED = 16_384, 48, 64, 6.0, 0.25, 256, 42
-#: Candidates and queries in a block, and sampled points by which a query's candidates are counted beforehand.
-CAND_BLOCK, QUERY_BLOCK, COUNTED = 8192, 2048, 4096
+#: Bytes of the candidates and the queries of a block, in doubles (each row meets all blocks of the other side, so larger blocks shuffle less), and sampled points by which a query's candidates are counted beforehand.
+CAND_BYTES, QUERY_BYTES, COUNTED = 32 << 20, 8 << 20, 4096
 
 
 class Forest:
@@ -231,7 +231,7 @@ def nearest(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec
     classes = rows.select("h1", "h2", "id", "vec").withColumn("n", F.dense_rank().over(by_vector)).where(F.col("n") <= keep).groupBy("h1", "h2").agg(F.any_value("vec").alias("vec"), F.array_sort(F.collect_set("id")).alias("ids"))
     classes = scratch.save(classes.withColumn("dim", F.size("vec")), "classes")
     lengths = classes.groupBy("dim").agg(F.count("*").alias("n"))
-    n = lengths.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n, dim = lengths.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("dim"), F.lit(1))).first()
     most = lengths.orderBy(F.desc("n"), "dim").first()
     own = classes.where(F.col("dim") == (most["dim"] if most else 0))
     if most and most["n"] > sample:
@@ -241,7 +241,7 @@ def nearest(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec
     asking = rows.where("asks").select(F.col("id").alias("query_id"), F.col("h1").alias("q1"), F.col("h2").alias("q2"), "vec")
     asked = asking.groupBy("q1", "q2").agg(F.any_value("vec").alias("vec")).withColumn("dim", F.size("vec"))
     asked = scratch.save(asked.repartition(shuffle_partitions(spark)), "asked")
-    n_q, n_c = (max(1, math.ceil(m / block)) for m, block in ((asked.count(), QUERY_BLOCK), (n, CAND_BLOCK)))
+    n_q, n_c = (max(1, math.ceil(m * 8 * dim / most_bytes)) for m, most_bytes in ((asked.count(), QUERY_BYTES), (n, CAND_BYTES)))
     n_c = max(n_c, min(shuffle_partitions(spark), math.ceil(n / 512)))
     dealt = lambda c, m: F.pmod(c, F.lit(m)).cast("int")
     to_all = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))

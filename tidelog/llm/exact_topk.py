@@ -1,7 +1,7 @@
 """Exact top-k by inner product: branch-and-bound over dimension blocks of a vertical (dimension-major) layout.
 
 The stated query set meets all rows in blocks: candidates are dealt to groups of about ``cand_block`` rows and queries to
-groups of about ``query_block``, and each pair of groups is one task-sized piece of work. In it, dimensions are visited by
+groups of about ``query_block`` (by default as many as a bound in bytes allows), and each pair of groups is one task-sized piece of work. In it, dimensions are visited by
 falling energy, a block of them at a time. After a block, a candidate's score lies within |q_rest| * |c_rest| of its partial
 sum (Cauchy-Schwarz); candidates whose upper bound is below the k-th largest lower bound go, and the survivors are compacted
 before the next block. Each pair of groups returns k rows per query, so no more than that is shuffled for the final ranking.
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .shared import finite_vector, shuffle_partitions, vector_kind
 
 RESULT = "query_id long, vec_id long, score long"
-#: Dimensions that are accumulated between two prunings.
-DIM_BLOCK = 16
+#: Dimensions that are accumulated between two prunings, and bytes of the candidates and the queries of a block, in doubles (each row meets all blocks of the other side, so larger blocks shuffle less).
+DIM_BLOCK, CAND_BYTES, QUERY_BYTES = 16, 16 << 20, 8 << 20
 LIMIT = 2**63
 
 
@@ -97,14 +97,15 @@ def _pair_of_blocks(k: int, scale: float):
     return run
 
 
-def exact_topk(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0, query_block: int = 4096, cand_block: int = 8192) -> DataFrame:
+def exact_topk(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0, query_block: int | None = None, cand_block: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that is a query, the k other rows of largest integer inner product."""
     rows = df.where(F.col(id_col).isNotNull() & finite_vector(F.col(vec_col)))
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(f"array<{vector_kind(df, vec_col)}>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.withColumns({"dim": F.size("vec"), "h": F.xxhash64("id", "vec")})
-    seen = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0)).alias("q")).first()
-    n_q = max(1, math.ceil(seen["q"] / query_block))
-    n_c = max(1, math.ceil(seen["n"] / cand_block), min(shuffle_partitions(df.sparkSession), math.ceil(seen["n"] / 512)))
+    seen = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0)).alias("q"), F.coalesce(F.max("dim"), F.lit(1)).alias("dim")).first()
+    rows_of = lambda size: max(1, size // (8 * max(1, seen["dim"])))
+    n_q = max(1, math.ceil(seen["q"] / (query_block or rows_of(QUERY_BYTES))))
+    n_c = max(1, math.ceil(seen["n"] / (cand_block or rows_of(CAND_BYTES))), min(shuffle_partitions(df.sparkSession), math.ceil(seen["n"] / 512)))
     dealt = lambda n: F.pmod("h", F.lit(n)).cast("int")
     to_all = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     once = rows.groupBy("dim", "h", "id").agg(F.any_value("vec").alias("vec"), F.max("asks").alias("asks"))
