@@ -96,7 +96,7 @@ def test_unspaced_text_is_not_kept():
     for _ in range(6):
         texts = pa.array(["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(1000)) for _ in range(60)], pa.large_string())
         counter.of_texts(texts)
-    assert len(counter.chunks) <= 120 and len(counter.pieces) <= 120  # with and without a space before them; of the last batch only
+    assert len(counter.chunks) <= 61 and len(counter.pieces) <= 60  # of the last batch only
 
 
 def test_many_empty_documents_in_one_partition(spark):

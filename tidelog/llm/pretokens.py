@@ -89,10 +89,11 @@ class PreTokens:
         coded = lists.flatten().dictionary_encode()
         codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
         ends, firsts = starts[1:] - starts[0], starts[:-1] - starts[0]
-        # A text's first chunk has no leading space: codes of its own, above those of the other chunks.
+        # A text's first chunk has no leading space: codes of its own, above those of the other chunks. What stands first only is resolved as that only.
         heads, own = np.unique(codes[firsts], return_inverse=True)
         codes[firsts] = own + len(distinct)
-        chunks = [" " + c for c in strings(distinct)] + strings(distinct.take(pa.array(heads)))
+        inside = np.bincount(codes, minlength=len(distinct))[: len(distinct)] > 0
+        chunks = [" " + c if u else "" for c, u in zip(strings(distinct), inside.tolist(), strict=True)] + strings(distinct.take(pa.array(heads)))
         if odd.any():
             more = {i: self.split(texts[int(i)].as_py()) for i in np.flatnonzero(odd)}
             new = {p: len(chunks) + n for n, p in enumerate(dict.fromkeys(p for found in more.values() for p in found))}
@@ -119,7 +120,7 @@ class Memo(dict):
             self.clear()
             self.update(kept)
             self.bytes = sum(map(self._size, kept.items()))
-        if new := [k for k in keys if k not in self]:
+        if new := [k for k in dict.fromkeys(keys) if k not in self]:
             found = dict(zip(new, resolve(new), strict=True))
             self.update(found)
             self.passing = [k for k in new if len(k) > LONG_KEY]
