@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import re
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +26,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@functools.cache
+def _local_folder() -> str:
+    """One folder for this process, where all tasks run on this machine; it goes when the process ends."""
+    path = tempfile.mkdtemp(prefix="tidelog-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
+
+
+def work_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder in the one that spark.checkpoint.dir names, which driver and executors share. Where that is unset: in local mode a temporary one, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(base or _local_folder()).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
 def event_logs(spark: SparkSession, folder: str) -> DataFrame:
     """Logs: arrival_seq, project_id, user_id, severity, event_category, archive, occurred_at, attributes (JSON text)."""
     return table(spark, folder, "events").select(
