@@ -26,7 +26,7 @@ from .pretokens import Memo, slices, texts_of
 
 BUCKETS, DIM, NGRAMS = 1 << 17, 8, range(3, 7)
 #: Passes over the sample, the least number of mini-batches in all, their size, the step, its share for the softmax, and the decay of vectors.
-EPOCHS, LEAST_STEPS, BATCH, RATE, WEIGHT_RATE, DECAY = 20, 200, 64, 0.1, 0.1, 1e-2
+EPOCHS, LEAST_STEPS, BATCH, RATE, WEIGHT_RATE, DECAY = 20, 200, 64, 0.1, 0.1, 1e-3
 #: Documents that must share a subword for it to count, documents that its spread is shrunk by, and standard errors.
 LEAST_DOCS, PRIOR_DOCS, LEAST_CONTRAST = 3, 5, 3.0
 #: Documents that are taken apart at once while fitting.
