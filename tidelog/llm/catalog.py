@@ -11,6 +11,7 @@ import public_tokenizers
 
 from .ann import nearest
 from .bpe import encode_decode
+from .conversations import repaired_conversations
 from .exact_topk import exact_topk
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
@@ -72,6 +73,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.drop("text")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 OP3_SQL = """
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT n, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
@@ -98,6 +103,48 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+#: The CRC-32 by bytes, the faults, and a search row by row over the roles that the repaired turns end with.
+OP13_SQL = """
+WITH RECURSIVE
+t AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS tab FROM range(256) r(i)),
+h AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT)),
+      lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1])), 4294967295) % 20 AS hit
+  FROM conversations, t),
+d AS (
+  SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role, CASE WHEN hit = 1 THEN '' WHEN hit = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE WHEN hit = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM h WHERE hit <> 0),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core, left(role, 1) AS initial FROM d),
+f AS (
+  SELECT *, CASE WHEN core = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS clash FROM o),
+m(st, nx, gap, ins) AS (VALUES ('', 's', '', ''), ('', 'u', '', ''), ('', 'a', 'I', 'user:'), ('s', 'u', '', ''), ('s', 'a', 'I', 'user:'), ('u', 'u', 'I', 'assistant:'), ('u', 'a', '', ''), ('a', 'u', '', ''), ('a', 'a', 'I', 'user:')),
+w AS (
+  SELECT conv_id, i, NULL AS nx, 3 AS price, 'D' AS edit, '' AS line FROM f
+  UNION ALL SELECT conv_id, i, initial, (fault IS NOT NULL)::INT, 'K', role || ':' || text FROM f WHERE coalesce(fault, 'truncated') = 'truncated'
+  UNION ALL SELECT conv_id, i, n, 2 + (fault IS NOT NULL)::INT, 'R', r || ':' || text FROM f, (VALUES ('u', 'user'), ('a', 'assistant')) v(n, r) WHERE coalesce(fault, 'truncated') = 'truncated'),
+p AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, '' AS st, {'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]} AS best FROM d
+  UNION ALL
+  SELECT p.conv_id, w.i, coalesce(w.nx, p.st), min({'cost': best.cost + w.price + 2 * length(coalesce(m.gap, '')), 'audit': best.audit || coalesce(m.gap, '') || w.edit,
+    'lines': CASE WHEN w.nx IS NULL THEN best.lines WHEN m.ins = '' THEN list_append(best.lines, w.line) ELSE list_append(list_append(best.lines, m.ins), w.line) END})
+  FROM p JOIN w ON w.conv_id IS NOT DISTINCT FROM p.conv_id AND w.i = p.i + 1 LEFT JOIN m ON m.st = p.st AND m.nx = w.nx
+  WHERE w.nx IS NULL OR m.st IS NOT NULL GROUP BY p.conv_id, w.i, coalesce(w.nx, p.st)),
+c AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE clash) AS illegal FROM f GROUP BY conv_id),
+e AS (
+  SELECT p.conv_id, min({'cost': best.cost + 2 * length(g.gap), 'audit': best.audit || g.gap, 'lines': list_concat(best.lines, g.ins)}) AS best
+  FROM p JOIN c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.n = p.i JOIN (VALUES ('', '', []::VARCHAR[]), ('s', 'II', ['user:', 'assistant:']), ('u', 'I', ['assistant:']), ('a', '', [])) g(st, gap, ins) ON g.st = p.st GROUP BY p.conv_id)
+SELECT a.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
@@ -109,8 +156,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op6_exact_topk": OP6_SQL,
+    "op13_conversation_repair": OP13_SQL,
 }
