@@ -15,6 +15,7 @@ from .conversations import repaired_conversations
 from .exact_topk import exact_topk
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
+from .ngram_join import ngram_components
 from .packing import pack
 from .quality import score_quality
 from .shared import table
@@ -73,6 +74,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.drop("text")
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired_conversations(table(spark, sf_dir, "conversations"))
 
@@ -103,6 +108,18 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+OP12_SQL = r"""
+WITH RECURSIVE
+d AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT n, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS g FROM d),
+t AS (SELECT n, len(g) AS size, unnest(g) AS g FROM s),
+i AS (SELECT a.n AS a, b.n AS b, count(*) AS common, any_value(a.size + b.size) AS sizes FROM t a JOIN t b ON a.g = b.g AND a.n <> b.n GROUP BY a.n, b.n),
+r AS (SELECT n AS a, n AS b FROM d UNION SELECT r.a, i.b FROM r JOIN i ON i.a = r.b WHERE 100 * common >= 85 * (sizes - common)),
+c AS (SELECT r.a AS n, min(d.doc_id) AS component_id FROM r JOIN d ON d.n = r.b GROUP BY r.a)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, c.component_id FROM s JOIN c USING (n)
+"""
+
 #: The CRC-32 by bytes, the faults, and a search row by row over the roles that the repaired turns end with.
 OP13_SQL = """
 WITH RECURSIVE
@@ -156,10 +173,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op12_ngram_join": op12_ngram_join,
     "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op6_exact_topk": OP6_SQL,
+    "op12_ngram_join": OP12_SQL,
     "op13_conversation_repair": OP13_SQL,
 }
