@@ -13,6 +13,7 @@ from .ann import nearest
 from .bpe import encode_decode
 from .conversations import repaired_conversations
 from .exact_topk import exact_topk
+from .lexical_search import search
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_components
@@ -74,6 +75,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.drop("text")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
@@ -108,6 +113,19 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+OP11_SQL = r"""
+WITH
+d AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+a AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+t AS (SELECT n, term, count(*) AS tf FROM (SELECT n, unnest(w) AS term FROM d) GROUP BY n, term),
+v AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM t, a GROUP BY term, docs),
+m AS (SELECT n, doc_id, 75 + (25 * len(w) * docs) // terms AS m FROM d, a),
+s AS (SELECT item_id, n, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN v USING (term) JOIN t USING (term) JOIN m USING (n) GROUP BY item_id, n, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
 OP12_SQL = r"""
 WITH RECURSIVE
 d AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -173,12 +191,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_lexical_search": op11_lexical_search,
     "op12_ngram_join": op12_ngram_join,
     "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op6_exact_topk": OP6_SQL,
+    "op11_lexical_search": OP11_SQL,
     "op12_ngram_join": OP12_SQL,
     "op13_conversation_repair": OP13_SQL,
 }
