@@ -152,15 +152,16 @@ def test_update_refusals(spark):
 
 
 def test_competing_updates(spark):
-    """Two changes that ask for one version, one content or one document: the first gets it."""
+    """Two changes that ask for one version or one content: the first gets it. Those of one document follow one another."""
     groups = spark.createDataFrame([(1, "p", "c", "g"), (2, "p", "c", "h")], schemas.DOCUMENT_GROUP)
     documents = spark.createDataFrame([(n, 1 + n // 4, "d", "pdf", 1, 0, n, f"h{n}", 5, "k", False, None, None) for n in range(1, 6)], schemas.DOCUMENT_METADATA)
     change = "seq long, document_id long, new_major int, new_minor int, new_patch int, new_hash string, new_size long, new_file_name string, new_is_processed boolean"
     asked = [(5, 1, 9, 0, 0, None, None, None, False), (3, 2, 9, 0, 0, "new", 1, "x.png", False), (7, 3, 1, 0, 3, "new", 1, "y.png", False), (8, 4, 9, 0, 0, None, None, None, False), (9, 4, 9, 0, 1, None, None, None, False), (10, 5, 1, 0, 5, None, None, None, True)]
     after, refused = archive.update_documents(documents, groups, spark.createDataFrame(asked, change), now())
-    assert sorted((r["seq"], r["reason"]) for r in refused.collect()) == [(5, "version_exists"), (7, "same_content"), (9, "repeated")]
+    assert sorted((r["seq"], r["reason"]) for r in refused.collect()) == [(5, "version_exists"), (7, "same_content")]
     assert archive.key_violations(after, "group_id", "major", "minor", "patch").count() == archive.key_violations(after, "hash").count() == 0
     assert sorted((r["document_id"], r["major"], r["hash"], r["is_processed"]) for r in after.collect()) == [(1, 1, "h1", False), (2, 9, "new", False), (3, 1, "h3", False), (4, 9, "h4", False), (5, 1, "h5", True)]
+    assert after.where("document_id = 4").first()["patch"] == 1
     assert [r["patch"] for r in archive.siblings(documents, 2).collect()] == [3, 2, 1]
 
 

@@ -2,7 +2,7 @@
 
 Groups are (group_id, project_id, category, group_name); documents are one version each (see sources.schemas). A change takes a table of requests, each with
 a ``seq`` that orders them, and gives the rows to add or the new table, and what was refused, with a reason. Requests of one table see the stored state and, where they compete for one key, the
-earlier ones: the first that asks for a key gets it.
+accepted earlier ones, as if they came one by one (see ``acceptance``).
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import file_extension, file_stem, pack_version, unpack_version, version_text
+from .acceptance import Slot, accept_in_order, key_of
 
 VERSION = ["major", "minor", "patch"]
 
@@ -77,13 +78,6 @@ def existing(requests: DataFrame, stored: DataFrame, *key: str) -> DataFrame:
     return requests.join(stored.select(*key), list(key), "left_semi")
 
 
-def _first_wins(rows: DataFrame, key: list[str], refusal: str, among: str = "true") -> DataFrame:
-    """Of the rows without a reason yet for which ``among`` holds, all but the first of each key get one. The first is found by a partial minimum, so a key that very many ask for is no single task's work."""
-    first = rows.where("reason IS NULL").where(among).groupBy(*key).agg(F.min("seq").alias("_first"))
-    joined = rows.join(first, key, "left")
-    return joined.withColumn("reason", F.coalesce("reason", F.when(F.expr(among) & (F.col("seq") > F.col("_first")), refusal))).drop("_first")
-
-
 def _marked(requests: DataFrame, stored: DataFrame, key: list[str], flag: str) -> DataFrame:
     taken = stored.select(*key).distinct().withColumn(flag, F.lit(True))
     return requests.join(taken, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
@@ -101,35 +95,47 @@ def _bad_fields() -> Column:
 
 
 def upload_documents(requests: DataFrame, groups: DataFrame, documents: DataFrame, projects: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New groups with their first document. requests: seq, project_id, category, group_name, major, minor, patch, file_name, hash, size.
+    """New groups with their first document, in order of seq. requests: seq (unique), project_id, category, group_name, major, minor, patch, file_name, hash, size.
 
-    Refused: no_file, bad_fields, no_project, group_exists, same_content.
+    Refused: no_file, bad_fields, no_project, group_exists, same_content; what is refused takes neither a name nor a content.
     """
-    owned = documents.join(groups.select("group_id", "project_id"), "group_id")
     rows = _marked(requests, projects, ["project_id"], "_project")
-    rows = _marked(rows, groups, ["project_id", "category", "group_name"], "_group")
-    rows = _marked(rows, owned, ["project_id", "hash"], "_same")
     fields = _bad_fields() | ~F.coalesce(F.length("group_name").between(1, 30) & F.length("category").between(1, 10), F.lit(False))
-    reason = F.when(F.coalesce(F.col("size"), F.lit(0)) <= 0, "no_file").when(F.coalesce(F.length("file_name"), F.lit(0)) == 0, "no_file").when(fields, "bad_fields").when(~F.col("_project"), "no_project").when(F.col("_group"), "group_exists").when(F.col("_same"), "same_content")
-    rows = rows.withColumn("reason", reason)
-    # Among requests that are fine by themselves, the first of a group and of a content wins.
-    rows = _first_wins(rows, ["project_id", "category", "group_name"], "group_exists")
-    rows = _first_wins(rows, ["project_id", "hash"], "same_content")
-    return _split(_as_document(rows).drop("_project", "_group", "_same"))
+    rows = rows.withColumn("reason", F.when(_no_file(), "no_file").when(fields, "bad_fields").when(~F.col("_project"), "no_project")).drop("_project")
+    name, content = key_of("project_id", "category", "group_name"), _content("hash")
+    owned = documents.join(groups.select("group_id", "project_id"), "group_id")
+    stored = groups.select(F.concat(F.lit("g"), F.col("group_id").cast("string")).alias("entity"), name.alias("name_key"), F.lit(None).cast("string").alias("content_key"))
+    stored = stored.unionByName(owned.select(F.concat(F.lit("d"), F.col("document_id").cast("string")).alias("entity"), F.lit(None).cast("string").alias("name_key"), content.alias("content_key")))
+    asked = rows.where("reason IS NULL").select("seq", F.lit(None).cast("string").alias("entity"), name.alias("name_key"), content.alias("content_key"))
+    decided, _ = accept_in_order(asked, stored, [Slot("name_key", "group_exists"), Slot("content_key", "same_content")], unchanged=None)
+    return _split(_as_document(_with_reasons(rows, decided)))
 
 
 def upload_versions(requests: DataFrame, groups: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New versions in stored groups. requests: seq, group_id, major, minor, patch, file_name, hash, size. Refused: no_file, bad_fields, no_group, version_exists, same_content."""
-    owned = documents.join(groups.select("group_id", "project_id"), "group_id")
-    rows = requests.join(groups.select("group_id", "project_id"), "group_id", "left")
-    rows = _marked(rows, documents, ["group_id", *VERSION], "_version")
-    rows = _marked(rows, owned, ["project_id", "hash"], "_same")
-    no_file = (F.coalesce(F.col("size"), F.lit(0)) <= 0) | (F.coalesce(F.length("file_name"), F.lit(0)) == 0)
-    reason = F.when(no_file, "no_file").when(_bad_fields(), "bad_fields").when(F.col("project_id").isNull(), "no_group").when(F.col("_version"), "version_exists").when(F.col("_same"), "same_content")
-    rows = rows.withColumn("reason", reason)
-    rows = _first_wins(rows, ["group_id", *VERSION], "version_exists")
-    rows = _first_wins(rows, ["project_id", "hash"], "same_content")
-    return _split(_as_document(rows).drop("_version", "_same"))
+    """New versions in stored groups, in order of seq. requests: seq (unique), group_id, major, minor, patch, file_name, hash, size. Refused: no_file, bad_fields, no_group, version_exists, same_content."""
+    owner = groups.select("group_id", "project_id")
+    rows = requests.join(owner, "group_id", "left")
+    rows = rows.withColumn("reason", F.when(_no_file(), "no_file").when(_bad_fields(), "bad_fields").when(F.col("project_id").isNull(), "no_group"))
+    keys = [key_of("group_id", *VERSION).alias("version_key"), _content("hash").alias("content_key")]
+    stored = documents.join(owner, "group_id").select(F.col("document_id").cast("string").alias("entity"), *keys)
+    asked = rows.where("reason IS NULL").select("seq", F.lit(None).cast("string").alias("entity"), *keys)
+    decided, _ = accept_in_order(asked, stored, [Slot("version_key", "version_exists"), Slot("content_key", "same_content")], unchanged=None)
+    return _split(_as_document(_with_reasons(rows, decided)))
+
+
+def _content(column: str) -> Column:
+    """The key of a content in its project."""
+    return F.when(F.col(column).isNotNull(), key_of("project_id", column))
+
+
+def _no_file() -> Column:
+    return (F.coalesce(F.col("size"), F.lit(0)) <= 0) | (F.coalesce(F.length("file_name"), F.lit(0)) == 0)
+
+
+def _with_reasons(rows: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows with the reasons that the order of requests has added."""
+    more = decided.select(F.col("seq").alias("_seq"), F.col("reason").alias("_reason"))
+    return rows.join(more, F.col("seq") == F.col("_seq"), "left").withColumn("reason", F.coalesce("reason", "_reason")).drop("_seq", "_reason")
 
 
 def _as_document(rows: DataFrame) -> DataFrame:
@@ -146,35 +152,32 @@ def changed_fields(row: str = "", new: str = "new_") -> dict[str, Column]:
 
 
 def update_documents(documents: DataFrame, groups: DataFrame, changes: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """All documents after the changes, and the refused changes. changes: seq, document_id, new_major, new_minor, new_patch, new_hash, new_size, new_file_name, new_is_processed.
+    """All documents after the changes, and the refused changes. changes: seq (unique), document_id, new_major, new_minor, new_patch, new_hash, new_size, new_file_name, new_is_processed.
 
-    Refused: not_found, unchanged, version_exists, same_content, and repeated: a later change of one document. The first change that asks for a version of a group, or for a content of a project, gets it.
+    Changes count in order of seq, each against what those before it have left: a version or content that one frees can be taken by a later one, of the same document too.
+    Refused: not_found, unchanged, version_exists, same_content.
     """
     owner = groups.select("group_id", "project_id")
     owned = documents.join(owner, "group_id")
     news = [f"new_{c}" for c in VERSION]
-    asked = changes.join(owned, "document_id", "left").withColumns({f"_{k}": c for k, c in changed_fields().items()})
-    taken = documents.select("group_id", *(F.col(c).alias(f"new_{c}") for c in VERSION)).distinct().withColumn("_taken", F.lit(True))
-    held = owned.select("project_id", F.col("hash").alias("new_hash")).distinct().withColumn("_held", F.lit(True))
-    asked = asked.join(taken, ["group_id", *news], "left").join(held, ["project_id", "new_hash"], "left")
-    reason = (
-        F.when(F.col("group_id").isNull(), "not_found")
-        .when(~(F.col("_version") | F.col("_file") | F.col("_processed")), "unchanged")
-        .when(F.col("_version") & F.coalesce("_taken", F.lit(False)), "version_exists")
-        .when(F.col("_file") & F.coalesce("_held", F.lit(False)), "same_content")
-    )
-    asked = asked.withColumn("reason", reason)
-    asked = _first_wins(asked, ["document_id"], "repeated")
-    asked = _first_wins(asked, ["group_id", *news], "version_exists", "_version")
-    asked = _first_wins(asked, ["project_id", "new_hash"], "same_content", "_file")
-    refused = asked.where("reason IS NOT NULL").select("seq", "document_id", "reason")
-    accepted = asked.where("reason IS NULL").select("document_id", *news, "new_hash", "new_size", "new_file_name", "new_is_processed", F.col("_file").alias("_refile"), F.lit(True).alias("_changed"))
-    rows = documents.join(accepted, "document_id", "left")
-    changed, refile = F.coalesce("_changed", F.lit(False)), F.coalesce("_refile", F.lit(False))
-    values = {c: F.when(changed, F.col(f"new_{c}")).otherwise(F.col(c)) for c in VERSION}
-    values |= {"hash": F.when(refile, F.col("new_hash")).otherwise(F.col("hash")), "size": F.when(refile, F.col("new_size")).otherwise(F.col("size"))}
-    values |= {"document_name": F.when(refile, file_stem(F.col("new_file_name"))).otherwise(F.col("document_name")), "extension": F.when(refile, file_extension(F.col("new_file_name"))).otherwise(F.col("extension"))}
-    values |= {"is_processed": F.when(changed, F.coalesce("new_is_processed", F.lit(False))).otherwise(F.col("is_processed")), "reuploaded_at": F.when(changed, now).otherwise(F.col("reuploaded_at"))}
+    asked = changes.join(owned.select("document_id", "group_id", "project_id"), "document_id", "left")
+    processed = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("string").alias("processed_key")
+    requests = asked.where("group_id IS NOT NULL").select("seq", F.col("document_id").cast("string").alias("entity"), key_of("group_id", *news).alias("version_key"), _content("new_hash").alias("content_key"), processed("new_is_processed"))
+    stored = owned.select(F.col("document_id").cast("string").alias("entity"), key_of("group_id", *VERSION).alias("version_key"), _content("hash").alias("content_key"), processed("is_processed"))
+    slots = [Slot("version_key", "version_exists"), Slot("content_key", "same_content"), Slot("processed_key")]
+    decided, _ = accept_in_order(requests, stored, slots)
+    judged = asked.join(decided.select(F.col("seq").alias("_seq"), "reason", "did_content_key"), F.col("seq") == F.col("_seq"), "left")
+    reason = F.when(F.col("group_id").isNull(), "not_found").otherwise(F.col("reason"))
+    judged = judged.withColumn("reason", reason)
+    refused = judged.where("reason IS NOT NULL").select("seq", "document_id", "reason")
+    file = F.struct("seq", "new_hash", "new_size", "new_file_name")
+    last = judged.where("reason IS NULL").groupBy("document_id").agg(F.max(F.struct("seq", *news, "new_is_processed")).alias("_last"), F.max(F.when(F.col("did_content_key"), file)).alias("_file"))
+    rows = documents.join(last, "document_id", "left")
+    changed, refile = F.col("_last").isNotNull(), F.col("_file").isNotNull()
+    values = {c: F.when(changed, F.col(f"_last.new_{c}")).otherwise(F.col(c)) for c in VERSION}
+    values |= {c: F.when(refile, F.col(f"_file.new_{c}")).otherwise(F.col(c)) for c in ("hash", "size")}
+    values |= {c: F.when(refile, of(F.col("_file.new_file_name"))).otherwise(F.col(c)) for c, of in (("document_name", file_stem), ("extension", file_extension))}
+    values |= {"is_processed": F.when(changed, F.coalesce("_last.new_is_processed", F.lit(False))).otherwise(F.col("is_processed")), "reuploaded_at": F.when(changed, now).otherwise(F.col("reuploaded_at"))}
     return rows.select(*(values.get(c, F.col(c)).alias(c) for c in documents.columns)), refused
 
 
@@ -191,12 +194,16 @@ def empty_groups(groups: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def relabel_groups(groups: DataFrame, changes: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """Groups with a new group_name or category. changes: group_id (once), new_value. Refused: not_found, group_exists (the unchanged value too)."""
+    """Groups with a new group_name or category. changes: group_id, new_value, and seq (unique, their order; without it a group has one change at most, and they go by group_id). Refused: not_found, group_exists (the unchanged value too).
+
+    A value that a change frees can be taken by a later one.
+    """
     key = ["project_id", "category", "group_name"]
-    asked = changes.join(groups, "group_id", "left").withColumn(column, F.coalesce("new_value", column))
-    asked = _marked(asked, groups, key, "_taken").withColumn("seq", F.col("group_id"))
-    asked = asked.withColumn("reason", F.when(F.col("project_id").isNull(), "not_found").when(F.col("_taken"), "group_exists"))
-    asked = _first_wins(asked, key, "group_exists")
-    accepted = asked.where("reason IS NULL").select("group_id", "new_value")
-    rows = groups.join(accepted, "group_id", "left").withColumn(column, F.coalesce("new_value", column)).select(groups.columns)
-    return rows, asked.where("reason IS NOT NULL").select("group_id", "reason")
+    ordered = changes if "seq" in changes.columns else changes.withColumn("seq", F.col("group_id"))
+    asked = ordered.join(groups, "group_id", "left").withColumn(column, F.coalesce("new_value", column))
+    requests = asked.where("project_id IS NOT NULL").select("seq", F.col("group_id").cast("string").alias("entity"), key_of(*key).alias("name_key"))
+    decided, _ = accept_in_order(requests, groups.select(F.col("group_id").cast("string").alias("entity"), key_of(*key).alias("name_key")), [Slot("name_key", "group_exists", strict=True)])
+    judged = _with_reasons(asked.withColumn("reason", F.when(F.col("project_id").isNull(), "not_found")), decided)
+    last = judged.where("reason IS NULL").groupBy("group_id").agg(F.max_by("new_value", "seq").alias("_value"))
+    rows = groups.join(last, "group_id", "left").withColumn(column, F.coalesce("_value", column)).select(groups.columns)
+    return rows, judged.where("reason IS NOT NULL").select("seq", "group_id", "reason")

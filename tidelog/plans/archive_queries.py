@@ -134,53 +134,68 @@ def _requests(spark, folder):
 
 @query(
     "d01_upload",
-    f"""WITH {ARCHIVE}, {_REQUESTS_SQL}, m AS (SELECT *, CASE WHEN size <= 0 THEN 'no_file' WHEN major > 999 THEN 'bad_fields' WHEN project_id > 2 THEN 'no_project'
-    WHEN EXISTS (SELECT 1 FROM groups g WHERE g.project_id = r.project_id AND g.category = r.category AND g.group_name = r.group_name) THEN 'group_exists' END AS reason FROM requests r),
-  n AS (SELECT *, CASE WHEN reason IS NOT NULL THEN reason WHEN row_number() OVER (PARTITION BY project_id, category, group_name, reason IS NULL ORDER BY seq) > 1 THEN 'group_exists' END AS reason2 FROM m),
-  o AS (SELECT *, CASE WHEN reason2 IS NOT NULL THEN reason2 WHEN row_number() OVER (PARTITION BY project_id, hash, reason2 IS NULL ORDER BY seq) > 1 THEN 'same_content' END AS reason3 FROM n)
-  SELECT coalesce(reason3, 'added') AS fate, count(*) AS requests, min(seq) AS first_seq FROM o GROUP BY 1""",
+    f"""WITH RECURSIVE {ARCHIVE}, {_REQUESTS_SQL}, r AS (SELECT row_number() OVER (ORDER BY seq) AS n, seq, project_id || '/' || category || '/' || group_name AS name, project_id || '/' || hash AS content,
+    CASE WHEN size <= 0 THEN 'no_file' WHEN major > 999 THEN 'bad_fields' WHEN project_id > 2 THEN 'no_project' END AS bad,
+    EXISTS (SELECT 1 FROM groups g WHERE g.project_id = q.project_id AND g.category = q.category AND g.group_name = q.group_name) AS stored FROM requests q),
+  loop AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS seq, []::VARCHAR[] AS names, []::VARCHAR[] AS contents, NULL::VARCHAR AS fate UNION ALL
+    SELECT n, seq, CASE WHEN fate = 'added' THEN list_append(names, name) ELSE names END, CASE WHEN fate = 'added' THEN list_append(contents, content) ELSE contents END, fate
+    FROM (SELECT r.*, names, contents, CASE WHEN bad IS NOT NULL THEN bad WHEN stored OR list_contains(names, name) THEN 'group_exists' WHEN list_contains(contents, content) THEN 'same_content' ELSE 'added' END AS fate FROM loop JOIN r ON r.n = loop.n + 1))
+  SELECT fate, count(*) AS requests, min(seq) AS first_seq, max(seq) AS last_seq, CAST(sum(seq) AS BIGINT) AS seqs FROM loop WHERE n > 0 GROUP BY fate""",
 )
 def d01_upload(spark, folder):
     groups = groups_of(spark, folder)
     added, refused = archive.upload_documents(_requests(spark, folder), groups, documents_of(spark, folder), groups.select("project_id").distinct())
     fates = added.select("seq", F.lit("added").alias("fate")).unionByName(refused.select("seq", F.col("reason").alias("fate")))
-    return fates.groupBy("fate").agg(F.count("*").alias("requests"), F.min("seq").alias("first_seq"))
+    return fates.groupBy("fate").agg(F.count("*").alias("requests"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.sum("seq").alias("seqs"))
 
 
 @query(
     "d02_new_version",
-    f"""WITH {ARCHIVE}, r AS (SELECT doc_id AS seq, doc_id % 25 AS group_id, CAST(doc_id % 7 AS INTEGER) AS major, CAST(doc_id // 7 % 10 AS INTEGER) AS minor, CAST(doc_id % 3 AS INTEGER) AS patch, 'h' || doc_id // 2 AS hash FROM documents),
-  m AS (SELECT r.*, g.project_id, CASE WHEN g.group_id IS NULL THEN 'no_group' WHEN EXISTS (SELECT 1 FROM docs d WHERE d.group_id = r.group_id AND d.major = r.major AND d.minor = r.minor AND d.patch = r.patch) THEN 'version_exists' END AS reason FROM r LEFT JOIN groups g ON g.group_id = r.group_id),
-  n AS (SELECT *, CASE WHEN reason IS NOT NULL THEN reason WHEN row_number() OVER (PARTITION BY group_id, major, minor, patch, reason IS NULL ORDER BY seq) > 1 THEN 'version_exists' END AS reason2 FROM m),
-  o AS (SELECT *, CASE WHEN reason2 IS NOT NULL THEN reason2 WHEN row_number() OVER (PARTITION BY project_id, hash, reason2 IS NULL ORDER BY seq) > 1 THEN 'same_content' END AS reason3 FROM n)
-  SELECT coalesce(reason3, 'added') AS fate, count(*) AS requests FROM o GROUP BY 1""",
+    f"""WITH RECURSIVE {ARCHIVE}, q AS (SELECT doc_id AS seq, doc_id % 25 AS group_id, CAST(doc_id % 7 AS INTEGER) AS major, CAST(doc_id // 7 % 10 AS INTEGER) AS minor, CAST(doc_id % 3 AS INTEGER) AS patch, 'h' || doc_id // 2 % 100 AS hash FROM documents),
+  r AS (SELECT row_number() OVER (ORDER BY seq) AS n, seq, q.group_id || '/' || major || '/' || minor || '/' || patch AS version, project_id || '/' || hash AS content, g.group_id IS NULL AS nowhere,
+    EXISTS (SELECT 1 FROM docs d WHERE d.group_id = q.group_id AND d.major = q.major AND d.minor = q.minor AND d.patch = q.patch) AS stored FROM q LEFT JOIN groups g ON g.group_id = q.group_id),
+  loop AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS seq, []::VARCHAR[] AS versions, []::VARCHAR[] AS contents, NULL::VARCHAR AS fate UNION ALL
+    SELECT n, seq, CASE WHEN fate = 'added' THEN list_append(versions, version) ELSE versions END, CASE WHEN fate = 'added' THEN list_append(contents, content) ELSE contents END, fate
+    FROM (SELECT r.*, versions, contents, CASE WHEN nowhere THEN 'no_group' WHEN stored OR list_contains(versions, version) THEN 'version_exists' WHEN list_contains(contents, content) THEN 'same_content' ELSE 'added' END AS fate FROM loop JOIN r ON r.n = loop.n + 1))
+  SELECT seq, fate FROM loop WHERE n > 0""",
 )
 def d02_new_version(spark, folder):
     n = F.col("doc_id")
-    requests = table(spark, folder, "documents").select(n.alias("seq"), (n % 25).alias("group_id"), (n % 7).cast("int").alias("major"), (F.floor(n / 7) % 10).cast("int").alias("minor"), (n % 3).cast("int").alias("patch"), F.lit("x.pdf").alias("file_name"), F.concat(F.lit("h"), F.floor(n / 2)).alias("hash"), F.lit(1).alias("size"))
+    requests = table(spark, folder, "documents").select(n.alias("seq"), (n % 25).alias("group_id"), (n % 7).cast("int").alias("major"), (F.floor(n / 7) % 10).cast("int").alias("minor"), (n % 3).cast("int").alias("patch"), F.lit("x.pdf").alias("file_name"), F.concat(F.lit("h"), F.floor(n / 2) % 100).alias("hash"), F.lit(1).alias("size"))
     added, refused = archive.upload_versions(requests, groups_of(spark, folder), documents_of(spark, folder))
-    return added.select(F.lit("added").alias("fate")).unionByName(refused.select(F.col("reason").alias("fate"))).groupBy("fate").agg(F.count("*").alias("requests"))
+    return added.select("seq", F.lit("added").alias("fate")).unionByName(refused.select("seq", F.col("reason").alias("fate")))
 
 
-_CHANGES_SQL = """changes AS (SELECT document_id, CASE WHEN document_id % 5 = 0 THEN 900 + document_id % 90 ELSE major END AS new_major, minor AS new_minor, patch AS new_patch, CASE WHEN document_id % 4 = 0 THEN 'new' || document_id WHEN document_id % 4 = 1 THEN hash END AS new_hash, is_processed <> (document_id % 10 = 3) AS new_is_processed FROM docs WHERE document_id % 2 = 0 OR document_id % 3 = 0)"""
+_CHANGES_SQL = """changes AS (
+    SELECT document_id AS seq, document_id, CASE WHEN document_id % 5 = 0 THEN 900 + document_id % 90 ELSE major END AS new_major, minor AS new_minor, patch AS new_patch, CASE WHEN document_id % 4 = 0 THEN 'new' || document_id // 8 WHEN document_id % 4 = 1 THEN hash END AS new_hash, is_processed <> (document_id % 10 = 3) AS new_processed FROM docs WHERE document_id % 2 = 0 OR document_id % 3 = 0
+    UNION ALL SELECT 10000000 + document_id, document_id + CASE WHEN document_id % 3 = 0 THEN 25 ELSE 0 END, major, minor, patch, CASE WHEN document_id % 2 = 0 THEN hash END, true FROM docs WHERE document_id % 5 = 0)"""
 
 
 @query(
     "d03_update",
-    f"""WITH {ARCHIVE}, {_CHANGES_SQL}, a AS (SELECT c.*, d.group_id, d.hash, d.major, d.is_processed, c.new_major <> d.major AS v, c.new_hash IS NOT NULL AND c.new_hash <> d.hash AS f, c.new_is_processed <> d.is_processed AS p FROM changes c JOIN docs d USING (document_id)),
-  w AS (SELECT *, v AND row_number() OVER (PARTITION BY group_id, new_major, new_minor, new_patch, v ORDER BY document_id) > 1 AS late FROM a WHERE v OR f OR p),
-  k AS (SELECT document_id, new_major, new_hash, new_is_processed, f FROM w WHERE NOT late)
-  SELECT d.document_id, coalesce(CAST(k.new_major AS INTEGER), d.major) AS major, CASE WHEN k.f THEN k.new_hash ELSE d.hash END AS hash, coalesce(k.new_is_processed, d.is_processed) AS is_processed, k.document_id IS NOT NULL AS changed FROM docs d LEFT JOIN k USING (document_id)""",
+    f"""WITH RECURSIVE {ARCHIVE}, {_CHANGES_SQL}, o AS (SELECT d.document_id AS doc, d.group_id AS grp, project_id AS proj, major || '.' || minor || '.' || patch AS ver, hash, is_processed FROM docs d JOIN groups USING (group_id)),
+  b AS (SELECT c.*, o.*, new_major || '.' || new_minor || '.' || new_patch AS new_ver FROM changes c LEFT JOIN o ON o.doc = c.document_id),
+  r AS (SELECT row_number() OVER (ORDER BY seq) AS n, *, (SELECT list(h.doc) FROM o h WHERE h.grp = b.grp AND h.ver = b.new_ver) AS vh, (SELECT list(h.doc) FROM o h WHERE h.proj = b.proj AND h.hash = b.new_hash) AS ch FROM b),
+  loop AS (SELECT 0::BIGINT AS n, []::STRUCT(doc BIGINT, grp BIGINT, proj BIGINT, ver VARCHAR, hash VARCHAR, processed BOOLEAN, major INTEGER)[] AS now UNION ALL
+    SELECT n, CASE WHEN doc IS NULL OR NOT (v OR f OR p) OR (v AND vheld) OR (f AND cheld) THEN now
+      ELSE list_append(list_filter(now, lambda x: x.doc <> doc), {{'doc': doc, 'grp': grp, 'proj': proj, 'ver': new_ver, 'hash': CASE WHEN f THEN new_hash ELSE cur.hash END, 'processed': new_processed, 'major': CAST(new_major AS INTEGER)}}) END
+    FROM (SELECT *, new_ver <> cur.ver AS v, new_hash IS NOT NULL AND new_hash <> cur.hash AS f, new_processed <> cur.processed AS p,
+        len(list_filter(now, lambda x: x.grp = grp AND x.ver = new_ver)) > 0 OR len(list_filter(coalesce(vh, []), lambda d: NOT list_contains(moved, d))) > 0 AS vheld,
+        len(list_filter(now, lambda x: x.proj = proj AND x.hash = new_hash)) > 0 OR len(list_filter(coalesce(ch, []), lambda d: NOT list_contains(moved, d))) > 0 AS cheld
+      FROM (SELECT r.*, now, list_transform(now, lambda x: x.doc) AS moved, coalesce(list_filter(now, lambda x: x.doc = r.doc)[1], {{'doc': doc, 'grp': grp, 'proj': proj, 'ver': ver, 'hash': hash, 'processed': is_processed, 'major': CAST(0 AS INTEGER)}}) AS cur FROM loop JOIN r ON r.n = loop.n + 1))),
+  k AS (SELECT unnest(now) AS x FROM loop WHERE n = (SELECT max(n) FROM loop))
+  SELECT d.document_id, coalesce(x.major, d.major) AS major, coalesce(x.hash, d.hash) AS hash, coalesce(x.processed, d.is_processed) AS is_processed, x IS NOT NULL AS changed FROM docs d LEFT JOIN k ON x.doc = d.document_id""",
 )
 def d03_update(spark, folder):
-    """Changed versions, contents and flags (d03, p15)."""
+    """Changed versions, contents and flags; some of what is freed is asked for again, by the same or another document (d03, p15)."""
     documents, groups = documents_of(spark, folder), groups_of(spark, folder)
-    n = F.col("document_id")
-    changes = documents.where((n % 2 == 0) | (n % 3 == 0)).select(
+    n, fixed = F.col("document_id"), [F.lit(9).cast("long").alias("new_size"), F.lit("n.v2.png").alias("new_file_name")]
+    first = documents.where((n % 2 == 0) | (n % 3 == 0)).select(
         n.alias("seq"), "document_id", F.when(n % 5 == 0, 900 + n % 90).otherwise(F.col("major")).cast("int").alias("new_major"), F.col("minor").alias("new_minor"), F.col("patch").alias("new_patch"),
-        F.when(n % 4 == 0, F.concat(F.lit("new"), n)).when(n % 4 == 1, F.col("hash")).alias("new_hash"), F.lit(9).cast("long").alias("new_size"), F.lit("n.v2.png").alias("new_file_name"), (F.col("is_processed") != (n % 10 == 3)).alias("new_is_processed"),
+        F.when(n % 4 == 0, F.concat(F.lit("new"), F.floor(n / 8))).when(n % 4 == 1, F.col("hash")).alias("new_hash"), *fixed, (F.col("is_processed") != (n % 10 == 3)).alias("new_is_processed"),
     )
-    after, _ = archive.update_documents(documents, groups, changes, F.lit("2024-03-01").cast("timestamp_ntz"))
+    then = documents.where(n % 5 == 0).select((n + 10_000_000).alias("seq"), (n + F.when(n % 3 == 0, 25).otherwise(0)).alias("document_id"), *(F.col(c).alias(f"new_{c}") for c in archive.VERSION), F.when(n % 2 == 0, F.col("hash")).alias("new_hash"), *fixed, F.lit(True).alias("new_is_processed"))
+    after, _ = archive.update_documents(documents, groups, first.unionByName(then), F.lit("2024-03-01").cast("timestamp_ntz"))
     return after.select("document_id", "major", "hash", "is_processed", F.col("reuploaded_at").isNotNull().alias("changed"))
 
 

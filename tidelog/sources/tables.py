@@ -54,3 +54,33 @@ def event_logs(spark: SparkSession, folder: str) -> DataFrame:
         F.col("ts").alias("occurred_at"),
         F.col("props").alias("attributes"),
     )
+
+
+class Steps:
+    """Tables between the steps of an operator, in a new work folder: what a lost executor costs is the step that it was in."""
+
+    def __init__(self, spark: SparkSession, purpose: str):
+        self.spark, self.root = spark, work_folder(spark, purpose)
+
+    def save(self, rows: DataFrame, name: str) -> DataFrame:
+        """The same rows, read from a table that is written now."""
+        rows.write.parquet(f"{self.root}/{name}")
+        return self.read(name, rows.schema)
+
+    def append(self, rows: DataFrame, name: str) -> None:
+        rows.write.mode("append").parquet(f"{self.root}/{name}")
+
+    def read(self, name: str, schema) -> DataFrame:
+        """A table's rows; none if it was never written."""
+        folder = self._path(name)
+        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            folder = self._path(name)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
