@@ -102,7 +102,7 @@ def test_tokens_are_conserved():
     assert passed <= 3 + 3 * 10 and passed >= 3 * 10
 
 
-@pytest.mark.parametrize("sizes", [{"slice_width": 7, "chunk": 20}, {"slice_width": 1000, "chunk": 10}, {}])
+@pytest.mark.parametrize("sizes", [{"chunk": 20}, {"chunk": 10}, {}])
 def test_windows_over_chunks(spark, sizes):
     """A key that holds most rows, in chunks that overlap, against one window a key."""
     rows = spark.range(500).select(F.when(F.col("id") % 9 == 0, "b").when(F.col("id") % 50 == 1, None).otherwise("a").alias("k"), (F.col("id") * 3).alias("n"), (F.xxhash64("id") % 3 == 0).alias("bad"))
@@ -124,6 +124,48 @@ def test_rate_limit_passes_other_columns(spark):
     assert got == {("k", n): (n < 2, {"a": n}) for n in range(6)} | {(None, 9): (True, None)}
 
 
+def _by_one_fold(requests, capacity):
+    """What a fold over each key's requests gives. requests: key, order, micros."""
+    out, states = {}, {}
+    for k, n, t in sorted(requests, key=lambda r: r[1]):
+        level, last = states.get(k, (None, None))
+        level, ok, left, wait = control.take_token(level, last, t, capacity)
+        states[k] = level, t
+        out[k, n] = (ok, left, wait)
+    return out
+
+
+@pytest.mark.parametrize("chunk", [5, 64, 10_000])
+def test_segments_of_a_bucket_equal_one_fold(spark, chunk):
+    import random
+
+    rng = random.Random(chunk)
+    requests, t = [], 0
+    for n in range(1500):
+        t += rng.choice([0, 10, 1000, 300_000, 700_000, 999_999, 1_000_000, 2_500_000]) if rng.random() < 0.9 else -rng.randint(0, 500_000)
+        requests.append((rng.choice(["hot", "hot", "hot", "a", None]), n * 1_000_003, t))
+    rows = spark.createDataFrame(requests, "k string, n long, t long").repartition(3)
+    got = {(r["k"], r["n"]): (r["passed"], r["remaining"], r["retry_after"]) for r in control.rate_limited(rows, "k", "n", "t", 3, chunk=chunk).collect()}
+    assert got == _by_one_fold(requests, 3)
+
+
+def test_hot_bucket_is_dealt_over_tasks(spark):
+    """A key with a third of all rows and a gap every hundred: no task has more than a few hundredths of its rows. Without gaps it stays in one, and right."""
+    spark.conf.set("spark.sql.shuffle.partitions", 32)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 997 + 1).alias("k"), F.col("id").alias("n"), (F.col("id") * 10_000 + F.floor(F.col("id") / 300) * 1_000_000).alias("t"))
+        spread = lambda limited: sorted(r["count"] for r in limited.where("k = 0").groupBy(F.spark_partition_id()).count().collect())
+        dealt = spread(control.rate_limited(rows, "k", "n", "t", 5, chunk=1000))
+        assert sum(dealt) == 20_000 and len(dealt) >= 24 and max(dealt) < 20_000 / 8
+        busy = control.rate_limited(rows.withColumn("t", F.col("n") * 10), "k", "n", "t", 5, chunk=1000)
+        expected = _by_one_fold([(0, n, n * 10) for n in range(0, 60_000, 3)], 5)
+        assert spread(busy) == [20_000] and busy.where("k = 0 AND passed").count() == sum(ok for ok, _, _ in expected.values())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_older_rows_weigh_nothing():
     assert 0.3 * (1 - control.EMA_WEIGHT) ** control.EMA_ROWS == 0.0
 

@@ -1,8 +1,9 @@
 """Control around ingestion: smoothed latency and its state, token buckets, failure shares, changes of state, one-time reads, expiry and retries.
 
-A token bucket is a fold over all earlier requests of a key: what a request finds depends on which ones before it were let through, so it cannot be summed up in parts. Rows are dealt by key and sorted, and
-each task holds one state at a time: a key of any length costs constant memory, but its requests go through one task. All else is split: windows that look some rows back run over chunks of
-a key that overlap by so many rows, and the smoothed latency is a sum of its newest rows, as the others' weight is zero in double precision.
+A token bucket is a fold over all earlier requests of a key: what a request finds depends on which ones before it were let through. But a bucket that refills as many tokens a second as it holds is full after any second
+without a request, whatever was before. So a key's requests are cut at such gaps, and the segments are dealt over the tasks, sorted; each task holds one state at a time. What cannot be cut is a stretch of requests
+less than a second apart: it goes through one task, in constant memory. Windows that look some rows back run over chunks of a key that overlap by so many rows, and the smoothed latency is a sum of its newest rows, as the others'
+weight is zero in double precision.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ WARN_MS, CRITICAL_MS = 500, 2_000
 FAILURE_WINDOW, FAILURE_MIN_CALLS = 10, 3
 #: Rows from which on a weight of 0.7 to the power of the row's number is zero in double precision.
 EMA_ROWS = 2_100
-#: Width of the slices of the order column in which a key's rows are numbered, and rows of a chunk.
-SLICE, CHUNK = 100_000, 10_000
+#: Rows of a chunk.
+CHUNK = 10_000
 MICRO = 1_000_000
 
 
@@ -48,38 +49,56 @@ def take_token(level: int | None, last: int | None, now: int, capacity: int) ->
     return level, False, 0, -(-micros // MICRO)
 
 
-def rate_limited(df: DataFrame, key: str, order: str, micros: str, capacity: int) -> DataFrame:
-    """Requests with passed, remaining and retry_after; ``micros`` is the time of the request, which ``order`` follows. Only key and time are looked at; the other columns pass as they are."""
+def segments(df: DataFrame, key: str, order: str, micros: str, gap: int = MICRO, **sizes: int) -> DataFrame:
+    """Rows with _segment: how many gaps of ``gap`` microseconds or more lie before it among the key's rows, in ``order`` (whole numbers, unique in a key; ``micros`` may go back).
+
+    Neighbours are found within chunks of a key, and counts of gaps are summed up over its chunks, so no key is one task's work.
+    """
+    rows = chunked(df, key, order, 1, **sizes)
+    inside = Window.partitionBy(key, "_chunk").orderBy("_place")
+    cut = F.col("_own") & (F.coalesce(F.col(micros) - F.lag(micros).over(inside), F.lit(gap)) >= gap)
+    counted = rows.withColumn("_cut", cut.cast("long")).withColumn("_inside", F.sum("_cut").over(inside)).where("_own")
+    chunks = counted.groupBy(F.col(key).alias("_key"), F.col("_chunk").alias("_of")).agg(F.sum("_cut").alias("_cuts"))
+    earlier = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select("_key", "_of", F.coalesce(F.sum("_cuts").over(earlier), F.lit(0)).alias("_before"))
+    joined = counted.join(chunks, counted[key].eqNullSafe(chunks["_key"]) & (counted["_chunk"] == chunks["_of"]))
+    return joined.select(*df.columns, (F.col("_before") + F.col("_inside")).alias("_segment"))
+
+
+def rate_limited(df: DataFrame, key: str, order: str, micros: str, capacity: int, **sizes: int) -> DataFrame:
+    """Requests with passed, remaining and retry_after; ``micros`` is the time of the request, which ``order`` (whole numbers, unique in a key) follows. Only key, order and time are looked at; the other columns pass as they are."""
     outputs = "passed boolean, remaining long, retry_after long"
-    rows = df.repartition(key).sortWithinPartitions(key, order)
+    rows = segments(df, key, order, micros, **sizes).repartition(key, "_segment").sortWithinPartitions(key, "_segment", order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begun, of, level, last = False, None, None, None
+        of, level, last = None, None, None
         for batch in batches:
             passed, remaining, waits = [], [], []
-            for k, now in zip(batch.column(key).to_pylist(), batch.column(micros).to_pylist(), strict=True):
-                if not begun or k != of:
-                    begun, of, level, last = True, k, None, None
+            for k, segment, now in zip(*(batch.column(c).to_pylist() for c in (key, "_segment", micros)), strict=True):
+                if (k, segment) != of:
+                    of, level, last = (k, segment), None, None
                 level, ok, left, wait = take_token(level, last, now, capacity)
                 last = now
                 passed.append(ok), remaining.append(left), waits.append(wait)
             more = [pa.array(passed, pa.bool_()), pa.array(remaining, pa.int64()), pa.array(waits, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "passed", "remaining", "retry_after"])
+            plain = batch.select([c for c in batch.schema.names if c != "_segment"])
+            yield pa.RecordBatch.from_arrays([*plain.columns, *more], [*plain.schema.names, "passed", "remaining", "retry_after"])
 
-    return rows.mapInArrow(run, StructType([*rows.schema, *StructType.fromDDL(outputs)]))
+    return rows.mapInArrow(run, StructType([*df.schema, *StructType.fromDDL(outputs)]))
 
 
-def chunked(df: DataFrame, key: str, order: str, back: int, slice_width: int = SLICE, chunk: int = CHUNK) -> DataFrame:
+def chunked(df: DataFrame, key: str, order: str, back: int, chunk: int = CHUNK) -> DataFrame:
     """Rows with _place (their number among the key's rows, by the whole number ``order``), _chunk, and _own: false for the last ``back`` rows of the chunk before, which are there to be looked back at.
 
-    Numbers come from the counts of slices of the order column, so a key of any length is dealt over many tasks.
+    Numbers come from the counts of slices of the order column, so a key of any length is dealt over many tasks. A slice is as wide as a chunk would be if the key's rows lay evenly in its range.
     """
-    part = F.floor(F.col(order) / slice_width)
-    sizes = df.groupBy(F.col(key).alias("_key"), part.alias("_part")).agg(F.count("*").alias("_n"))
+    ranges = df.groupBy(F.col(key).alias("_of")).agg(F.min(order).alias("_low"), F.greatest(F.lit(1.0), (F.max(order) - F.min(order) + 1.0) * chunk / F.count("*")).alias("_width"))
+    sliced = df.join(ranges, df[key].eqNullSafe(ranges["_of"])).withColumn("_slice", F.floor((F.col(order) - F.col("_low")) / F.col("_width")))
+    sizes = sliced.groupBy(F.col(key).alias("_key"), F.col("_slice").alias("_part")).agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("_key", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     own = Window.partitionBy(key, "_slice").orderBy(order)
-    numbered = df.withColumn("_slice", part).withColumn("_rank", F.row_number().over(own))
+    numbered = sliced.withColumn("_rank", F.row_number().over(own))
     placed = numbered.join(sizes, numbered[key].eqNullSafe(sizes["_key"]) & (numbered["_slice"] == sizes["_part"])).withColumn("_place", F.col("_before") + F.col("_rank") - 1)
     first = F.floor(F.col("_place") / chunk)
     chunks = F.when(F.col("_place") % chunk >= chunk - back, F.array(first, first + 1)).otherwise(F.array(first))
