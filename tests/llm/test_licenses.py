@@ -6,7 +6,7 @@ import re
 import pytest
 from oracle import FOLDER
 
-from tidelog.llm.license_scan import MARK, TEMPLATES, Templates, align, scan_licenses, words_of
+from tidelog.llm.license_scan import LEAST, LENGTHS, LOOSE, MARK, NAMES, TEMPLATES, Templates, align, allowed, scan_licenses, words_of
 
 
 def distance(a, b):
@@ -65,6 +65,82 @@ def test_small_differences_of_short_notices():
         assert found(text) == [], text
 
 
+PROSE = [f"w{n}" for n in range(60)] + "the of and to in is that for it as with was on be at by this had not are but from or have an they which one you were her all she there would their we him been has when who will more no if out so said what up its about into than them can only other new some could time these two may then do first any my now such like our over man me even most made after also did many before must".split()
+
+
+def altered(rng, words, differences):
+    """The words with so many of them left out, changed or followed by another; names and numbers stay."""
+    words = list(words)
+    free = [i for i, w in enumerate(words) if w not in NAMES and not any(c.isdigit() for c in w)]
+    for i in rng.sample(free, min(differences, len(free))):
+        words[i] = rng.choice(["", rng.choice(PROSE), f"{words[i]} {rng.choice(PROSE)}"])
+    return " ".join(words).split()
+
+
+def test_the_share_that_is_asked_for_loses_nothing():
+    known, rng = Templates(TEMPLATES), random.Random(8)
+    for name, words in known.words.items():
+        if len(words) < LOOSE:
+            continue
+        reach = known.reach[next(k for k, names in enumerate(known.classes) if name in names)]
+        for trial in range(12):
+            other = known.words[rng.choice(sorted(known.words))] if trial % 3 == 0 else []
+            around = [[rng.choice(PROSE) for _ in range(rng.randint(0, reach))] for _ in range(2)]
+            block = (around[0] + other)[-reach:] + altered(rng, words, allowed(words)) + (other + around[1])[:reach]
+            assert known.saving(" ".join(block).encode(), name) >= (LEAST + 0.1) * known.own[name], (name, trial)
+
+
+def everywhere(known, words):
+    """All templates at all places, without any compression: those with few enough differences, the longest first, of equal ones the one with the fewest differences, and no two that overlap."""
+    hits = []
+    for name, template in known.words.items():
+        spans = [(0, len(words))]
+        while spans:
+            low, high = spans.pop()
+            cost, start, end = align(template, words[low:high])
+            if cost <= allowed(template) and known._same_names(template, words[low + start : low + end]):
+                hits.append((-sum(len(template) > n for n in LENGTHS), cost, name, low + start, low + end))
+                spans += [(low, low + start), (low + end, high)]
+    out = []
+    for _, cost, name, start, end in sorted(hits):
+        if all(end <= a or b <= start for _, a, b, _ in out):
+            out.append((name, start, end, cost))
+    return sorted((name, cost) for name, _, _, cost in out)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_equals_all_templates_at_all_places(seed):
+    """Random texts with notices planted in them, as they are or altered, apart or side by side."""
+    known, mark, rng = Templates(TEMPLATES), re.compile(MARK), random.Random(seed)
+    for _ in range(25):
+        text = []
+        for _ in range(rng.randint(0, 4)):
+            name = rng.choice(sorted(TEMPLATES))
+            words = known.words[name]
+            text += [rng.choice(PROSE) for _ in range(rng.choice([0, 3, 40, 300]))]
+            text += altered(rng, words, rng.choice([0, 0, allowed(words) // 2])) if len(words) >= LOOSE else words
+        text += [rng.choice(PROSE) for _ in range(rng.randint(0, 40))]
+        found = [(f[0], f[3]) for f in known.scan(" ".join(text), mark)]
+        assert sorted(found) == everywhere(known, text), " ".join(text)
+
+
+def test_compression_decides(monkeypatch):
+    """With another ranking, another wording that the differences allow is found."""
+    text, mark = "Some prose. Licensed under the MIT License. More prose.", re.compile(MARK)
+    assert [f[0] for f in Templates(TEMPLATES).scan(text, mark)] == ["MIT:licensed"]
+    monkeypatch.setattr(Templates, "saving", lambda self, raw, name, size=None: 100 * (name == "MIT"))
+    assert [(f[0], f[3]) for f in Templates(TEMPLATES).scan(text, mark)] == [("MIT", 1)]
+
+
+def test_many_notices_in_one_text():
+    import time
+
+    known, mark = Templates(TEMPLATES), re.compile(MARK)
+    began = time.time()
+    found = known.scan("Some more prose here. Released under the MIT License. " * 20_000, mark)
+    assert len(found) == 20_000 and {f[0] for f in found} == {"MIT"} and time.time() - began < 60
+
+
 def test_many_templates_that_save_alike():
     """No template is left out of the alignment, however many rank before it."""
     versions = {f"X-{n}": f"This file may be used under the house license in its edition {n} by anyone who keeps this notice." for n in range(40)}

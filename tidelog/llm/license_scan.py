@@ -1,10 +1,12 @@
 """License scans by conditional compression, confirmed by exact wording differences.
 
 A mark (as 'licensed' or 'copyright') in a text begins a candidate block: the words around it, as many as the longest template of a length class has on each side. The block is
-compressed with zstandard plainly and with each template of the class as raw dictionary; templates are ranked by how much that saves. Those that could be in the block at all (few enough of their words are
-missing from it) are aligned with it word by word (the cheapest place of the whole template inside the block), and the one with the fewest differences is the finding, of equal ones that which saves most. A
+compressed with zstandard plainly and with each template of the class as raw dictionary, and the templates are ranked by how many bytes they save. Of those of ``LOOSE`` words and more, only the ones come into question that save the block at
+least ``LEAST`` of what they save their own text. Down the ranking, the first one whose wording is confirmed is the finding (of those that save the same but for ``SLACK`` bytes, the one with the fewest differences): it is
+aligned with the block word by word (the cheapest place of the whole template inside the block). A
 template of 20 words or more may differ in a tenth of them, a shorter one in one, one of under four words in none, and none may differ in a name (as 'affero' or 'by-nc') or a word with a digit. So compression finds the
-template and the wording decides: version 2 is not taken for version 3. The words of a block before and behind a finding are searched again as long as they hold a mark and a template is
+template and the wording confirms it: version 2 is not taken for version 3. That the share loses nothing is measured: every template, altered at random as far as it may be, amid prose and other notices, saves half of its own
+and more (see the tests). The words of a block before and behind a finding are searched again as long as they hold a mark and a template is
 confirmed, so notices that stand side by side are all found.
 
 Texts without a mark are passed over in Arrow. Equal blocks are resolved once a batch. Rows keep their partition; nothing is shuffled.
@@ -16,7 +18,7 @@ an empty result. Words are compared in lower case without punctuation. Findings
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_right
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -39,6 +41,22 @@ _DISCLAIMER = (
     "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
     "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights "
+    "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
+)
+_NO_WARRANTY = (
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_AUTHOR_DISCLAIMS = (
+    " THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES "
+    "OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_ZLIB = (
+    "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, "
+    "including commercial applications, and to alter it and redistribute it freely"
+)
 #: Notices by license. Several wordings of one license are told apart by what follows the colon.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -46,8 +64,8 @@ TEMPLATES = {
     "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "MIT": "Released under the MIT License.",
     "MIT:licensed": "Licensed under the MIT License.",
-    "MIT:grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights "
-    "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
+    "MIT:grant": _MIT,
+    "MIT:text": _MIT + ", subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _NO_WARRANTY,
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0:or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -65,7 +83,21 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "MPL-2.0:header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "ISC:grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "Zlib:grant": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    "ISC:text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies." + _AUTHOR_DISCLAIMS,
+    "0BSD:text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted." + _AUTHOR_DISCLAIMS,
+    "Zlib:grant": _ZLIB,
+    "Zlib:text": _ZLIB + ", subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+    "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "BSL-1.0:text": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, "
+    "and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, "
+    "and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. "
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, "
+    "WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "Unlicense:text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. "
+    "We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+    "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "BSD-2-Clause:text": _CLAUSES + _DISCLAIMER,
     "BSD-3-Clause:text": _CLAUSES + _NO_ENDORSEMENT + _DISCLAIMER,
 } | {
@@ -75,10 +107,12 @@ TEMPLATES = {
 #: Words that tell licenses apart, as do all words with a digit.
 NAMES = frozenset("apache mit isc zlib unlicense bsd gnu general lesser library affero mozilla mpl cc by by-sa by-nc by-nc-sa by-nd by-nc-nd".split())
 #: What marks a candidate block.
-MARK = r"licen[cs]|copyright|redistribut|public\s+domain|permission\s+is|released\s+under"
+MARK = r"licen[cs]|copyright|redistribut|public\s+domain|permission\s+(?:is|to\s+use)|released\s+under"
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 #: Words up to which a template is short or of middle length; words under which none and up to which one may differ, and the share of longer ones.
 LENGTHS, STRICT, LOOSE, TOLERANCE = (16, 90), 4, 20, 0.1
+#: The least share of the bytes that a template saves its own text, for it to come into question; bytes within which savings count as the same.
+LEAST, SLACK = 0.35, 10
 #: Level of compression, and words of the blocks that are kept in memory.
 LEVEL, MEMO_WORDS = 19, 1_000_000
 
@@ -119,7 +153,6 @@ def align(template: list[str], block: list[str]) -> tuple[int, int, int]:
 class Templates:
     def __init__(self, templates: Mapping[str, str]):
         self.words = {name: words_of(text) for name, text in templates.items()}
-        self.counts = {name: Counter(words) for name, words in self.words.items()}
         of_length = lambda name: sum(len(self.words[name]) > most for most in LENGTHS)
         self.classes = [names for k in range(len(LENGTHS), -1, -1) if (names := [n for n in self.words if of_length(n) == k])]
         self.reach = [max(len(self.words[n]) for n in names) for names in self.classes]
@@ -127,14 +160,20 @@ class Templates:
         parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, **options)
         self.plain = zstandard.ZstdCompressor(compression_params=parameters)
         self.given = {n: zstandard.ZstdCompressor(compression_params=parameters, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for n, w in self.words.items()}
+        self.own = {n: self.saving(" ".join(w).encode(), n) for n, w in self.words.items()}
         self.memo: dict[tuple, tuple | None] = {}
         self.memo_words = 0
 
-    def ranked(self, block: list[str], names: list[str]) -> list[tuple[float, str]]:
-        """(share of the plain size that the template saves, name), the most first."""
+    def saving(self, raw: bytes, name: str, size: int | None = None) -> int:
+        """Bytes that the template as dictionary saves. size: of the plain compression, if it is known."""
+        return (len(self.plain.compress(raw)) if size is None else size) - len(self.given[name].compress(raw))
+
+    def ranked(self, block: list[str], names: list[str]) -> list[tuple[int, str]]:
+        """(bytes that the template saves, name) of those that save enough, the most first."""
         raw = " ".join(block).encode()
         size = len(self.plain.compress(raw))
-        return sorted((((size - len(self.given[n].compress(raw))) / size, n) for n in names), key=lambda x: (-x[0], x[1]))
+        saved = ((self.saving(raw, n, size), n) for n in names)
+        return sorted(((s, n) for s, n in saved if len(self.words[n]) < LOOSE or s >= LEAST * self.own[n]), key=lambda x: (-x[0], x[1]))
 
     def find(self, block: list[str], k: int) -> tuple | None:
         """(name, start, end, differences, saved) of the block's finding in length class k."""
@@ -148,15 +187,16 @@ class Templates:
         return self.memo[key]
 
     def _find(self, block: list[str], k: int) -> tuple | None:
-        held = Counter(block)
-        possible = [n for n in self.classes[k] if (self.counts[n] - held).total() <= allowed(self.words[n])]  # each word that is missing is a difference
-        best = None
-        for place, (saved, name) in enumerate(self.ranked(block, possible) if possible else ()):
+        best, size = None, 0
+        for saved, name in self.ranked(block, self.classes[k]):
+            if best and saved < best[5] - SLACK:
+                break
             template = self.words[name]
             cost, start, end = align(template, block)
-            if cost <= allowed(template) and self._same_names(template, block[start:end]) and (best is None or (cost, place) < best[0]):
-                best = (cost, place), (name, start, end, cost, saved)
-        return best and best[1]
+            if cost <= allowed(template) and self._same_names(template, block[start:end]) and (best is None or cost < best[3]):
+                size = size or len(self.plain.compress(" ".join(block).encode()))
+                best = (name, start, end, cost, saved / size, saved if best is None else best[5])
+        return best and best[:5]
 
     @staticmethod
     def _same_names(template: list[str], found: list[str]) -> bool:
@@ -189,18 +229,20 @@ class Templates:
         words, starts = [lowered[a:b] for a, b in spans], np.array([a for a, _ in spans], np.int64)
         marks = np.unique(np.searchsorted(starts, [m.start() for m in mark.finditer(lowered)], side="right") - 1)
         found: list[tuple] = []
-        taken: list[tuple[int, int]] = []
+        taken: list[tuple[int, int]] = []  # in order, and apart
         for k, reach in enumerate(self.reach):
             own: list[tuple[int, int]] = []
             for at in marks.tolist():
-                if at < 0 or any(a <= at < b for a, b in taken) or (own and at < own[-1][1]):
+                n = bisect_right(taken, at, key=lambda span: span[0])  # those that begin before the mark
+                before, after = taken[n - 1 : n], taken[n : n + 1]
+                if at < 0 or any(at < b for _, b in before) or (own and at < own[-1][1]):
                     continue
-                low = max([0, at - reach, *(b for _, b in own[-1:]), *(b for _, b in taken if b <= at)])
-                limit = min([len(words), *(a for a, _ in taken if a > at)])
+                low = max([0, at - reach, *(b for _, b in own[-1:]), *(b for _, b in before)])
+                limit = min([len(words), *(a for a, _ in after)])
                 for hit in self._search(words, marks, low, min(limit, at + reach), limit, k):
                     own.append((hit[1], hit[1] + hit[2]))
                     found.append(hit)
-            taken += own
+            taken = sorted(taken + own)
         return sorted(found, key=lambda f: f[1])
 
 
