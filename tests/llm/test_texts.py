@@ -159,6 +159,26 @@ def test_lines_batch_by_batch(spark, docs, tmp_path):
     assert sorted(got) == expected
 
 
+def test_a_batch_can_be_taken_again_after_its_commit(spark, tmp_path):
+    """The driver is lost before the caller has noted that a batch is done: its documents keep the lines that they own, and so do those of later batches theirs."""
+    first = spark.createDataFrame([(1, "a line of some length\nanother long line"), (2, "A line of some length \nits own long line"), (None, "no id but a long line")], "doc_id long, text string")
+    second = spark.createDataFrame([(0, "another long line\nnew line of some length"), (3, "its own long line\nNEW line of some length")], "doc_id long, text string")
+    folder = f"file://{tmp_path}/index"
+
+    def taken(batch):
+        index = LineIndex(spark, folder, buckets=2, fanout=2)  # the one before it was lost without a close
+        got = sorted(((r["doc_id"], r["text"], r["n_dropped"]) for r in dedup_batch(batch, index).collect()), key=str)
+        index.commit()
+        return got
+
+    once = [taken(first), taken(second)]
+    assert once == [[(1, "a line of some length\nanother long line", 0), (2, "its own long line", 1), (None, "no id but a long line", 0)], [(0, "new line of some length", 1), (3, "", 2)]]
+    assert [taken(first), taken(second), taken(second)] == [*once, once[1]]
+    index = LineIndex(spark, folder)
+    assert len([t for t in spark.catalog.listTables() if t.name.startswith(index.prefix)]) == sum(map(len, index.levels))
+    index.close()
+
+
 def test_runs_are_neither_shuffled_nor_sorted_again(spark, docs, tmp_path):
     _, df = docs
     index = LineIndex(spark, f"file://{tmp_path}/index", fanout=9)

@@ -59,15 +59,18 @@ def sorted_buckets(spark: SparkSession) -> Iterator[None]:
 
 
 class LineIndex:
-    """Levelled sorted runs of the line keys of all batches so far, in a folder. One writer at a time.
+    """Levelled sorted runs of the line keys of all batches so far, each with the document that owns it, in a folder. One writer at a time.
 
-    ``dropped`` finds the lines of a batch that go, and leaves the batch's new keys beside the runs; ``commit`` adds them, once the batch's result is written. A batch that failed before can so be
-    taken again: what was not committed is forgotten.
+    ``dropped`` finds the lines of a batch that go, and leaves the batch's new keys beside the runs; ``commit`` adds them, once the batch's result is written. A batch can be taken again, before its
+    commit (what was not committed is forgotten) and after it (a document keeps the lines that it owns), with the same result.
     """
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None, fanout: int = FANOUT):
         self.spark, self.folder, self.fanout = spark, folder.rstrip("/"), fanout
         found = [(int(m[1]), int(m[2]), int(m[3])) for m in (re.fullmatch(r"level-(\d+)-run-(\d+)-of-(\d+)", name) for name in folders(spark, self.folder)) if m]
+        self.prefix = f"tidelog_{hashlib.sha1(self.folder.encode()).hexdigest()[:16]}"
+        for left in spark.sql(f"SHOW TABLES LIKE '{self.prefix}*'").collect():  # of a writer that was lost
+            spark.sql(f"DROP TABLE IF EXISTS {left['tableName']}")
         self.buckets = found[0][2] if found else buckets or shuffle_partitions(spark)
         self.made = max((n for _, n, _ in found), default=-1) + 1
         self.levels: list[list[tuple[str, str]]] = [[] for _ in range(max((level for level, *_ in found), default=0) + 1)]
@@ -81,15 +84,19 @@ class LineIndex:
 
     def _opened(self, path: str) -> tuple[str, str]:
         """(table, path): a written run, known to the catalog with its buckets."""
-        name = f"tidelog_{uuid.uuid4().hex}"
-        self.spark.sql(f"CREATE TABLE {name} (h1 BIGINT, h2 BIGINT) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        name = self._name(path)
+        self.spark.sql(f"CREATE TABLE {name} (h1 BIGINT, h2 BIGINT, owner BIGINT) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS LOCATION '{path}'")
         return name, path
 
     def _written(self, rows: DataFrame, path: str) -> tuple[str, str]:
-        name = f"tidelog_{uuid.uuid4().hex}"
+        name = self._name(path)
         rows.write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
         return name, path
 
+    def _name(self, path: str) -> str:
+        """A name in the catalog that goes by the folder and the run."""
+        return f"{self.prefix}_{re.sub(r'[^0-9A-Za-z]', '_', path.rsplit('/', 1)[-1])}"
+
     def _forget(self, run: tuple[str, str]) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {run[0]}")
         delete(self.spark, run[1])
@@ -98,12 +105,12 @@ class LineIndex:
         return [self.spark.table(name) for level in self.levels for name, _ in level]
 
     def marked(self, keys: DataFrame) -> DataFrame:
-        """The keys (h1, h2, first, last) of a batch, with ``known``: whether a run has it."""
-        flags = []
+        """The keys (h1, h2, first, last) of a batch, with ``owner``: the document that owns it by a run, null if none has it."""
+        owners = []
         for n, run in enumerate(self.runs()):
-            flags.append(f"run{n}")
-            keys = keys.join(run.withColumn(flags[-1], F.lit(True)), KEY, "left")
-        return keys.select(*KEY, "first", "last", F.coalesce(*flags, F.lit(False)).alias("known"))
+            owners.append(f"run{n}")
+            keys = keys.join(run.withColumnRenamed("owner", owners[-1]), KEY, "left")
+        return keys.select(*KEY, "first", "last", F.coalesce(*owners, F.lit(None).cast("long")).alias("owner"))
 
     def dropped(self, lines: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         """doc, same, pos of the lines (doc, same, pos, h1, h2) of a batch that go."""
@@ -114,9 +121,9 @@ class LineIndex:
             keys = keys.repartition(self.buckets, *KEY)
         with sorted_buckets(self.spark):
             seen = self._written(self.marked(keys), f"{scratch.root}/{name}-seen")
-            self.pending = self._written(self.spark.table(seen[0]).where("NOT known").select(*KEY), f"{self.folder}/pending")
-        again = self.spark.read.schema("h1 long, h2 long, first long, last long, known boolean").parquet(seen[1]).where("known OR last > first")  # not by buckets: a hot key's places may be split
-        gone = scratch.save(lines.join(again, KEY).where(F.col("known") | (F.col("first") < F.col("doc"))).select("doc", "same", "pos"), f"{name}-dropped")
+            self.pending = self._written(self.spark.table(seen[0]).where("owner IS NULL").select(*KEY, F.col("first").alias("owner")), f"{self.folder}/pending")
+        again = self.spark.read.schema("h1 long, h2 long, first long, last long, owner long").parquet(seen[1]).where("owner IS NOT NULL OR last > first")  # not by buckets: a hot key's places may be split
+        gone = scratch.save(lines.join(again, KEY).where(F.coalesce("owner", "first") != F.col("doc")).select("doc", "same", "pos"), f"{name}-dropped")
         self._forget(seen)
         return gone
 
@@ -147,7 +154,7 @@ class LineIndex:
 
     @staticmethod
     def merged(runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionAll, runs).distinct()
+        return reduce(DataFrame.unionAll, runs).groupBy(*KEY).agg(F.min("owner").alias("owner"))
 
     def close(self) -> None:
         """The catalog forgets the runs; they stay in the folder."""
