@@ -20,9 +20,9 @@ replace columns of those names). An empty table gives an empty one.
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import re
 import string
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
