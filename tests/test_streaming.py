@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidelog.operators import issues
@@ -12,6 +13,14 @@ from tidelog.streaming.state import expiring_store, limit_rate
 FOLDER = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(autouse=True)
+def ends_when_the_input_is_used_up(spark):
+    """State with a time to live would go on with batches without data."""
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", False)
+    yield
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
 def now():
     return F.lit("2024-02-10 00:00:00").cast("timestamp")
 
@@ -143,6 +152,51 @@ def test_expiring_store(spark, tmp_path):
     assert got == [("a", 5, "1"), ("a", 10, None), ("b", 1, "2"), ("b", 2, None), ("c", 3, None), ("d", 1, None), ("e", 2, None)]
 
 
+def _in_batches(spark, tmp_path, batches, schema, stage, name):
+    """Each list of rows as a micro-batch of its own, in order."""
+    import time
+
+    (tmp_path / "in").mkdir(exist_ok=True)
+    stream = stage(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)
+    query = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    return spark.table(name).collect(), query
+
+
+def _at(second):
+    return dt.datetime.fromtimestamp(1_700_000_000 + second, dt.UTC).replace(tzinfo=None)
+
+
+def test_late_requests_are_answered_and_counted(spark, tmp_path):
+    """Five requests, of which two come in a second batch with an earlier time, one of them of a new key: none vanishes."""
+    from tidelog.streaming.state import late_calls
+
+    batches = [[("a", _at(100)), ("a", _at(160)), ("a", _at(100))], [("a", _at(20)), ("b", _at(10))]]
+    rows, query = _in_batches(spark, tmp_path, batches, "api_key string, requested_at timestamp_ntz", lambda s: limit_rate(s.withColumn("requested_at", F.col("requested_at").cast("timestamp")), 2), "late_requests")
+    got = sorted((r["api_key"], r["micros"] // 1_000_000 - 1_700_000_000, r["passed"], r["late"]) for r in rows)
+    assert got == [("a", 20, True, True), ("a", 100, True, False), ("a", 100, True, False), ("a", 160, True, False), ("b", 10, True, False)]
+    assert late_calls(spark.table("late_requests")).count() == 1
+    assert sum(p.observedMetrics["limited"]["late"] for p in query.recentProgress) == 1
+
+
+def test_late_calls_of_the_store(spark, tmp_path):
+    schema = "key string, op string, value string, ttl_seconds long, at timestamp_ntz"
+    batches = [[("k", "set", "1", 100, _at(0)), ("k", "get", None, None, _at(50))], [("k", "set", "old", 100, _at(10)), ("k", "get", None, None, _at(60)), ("n", "set", "2", 9, _at(5))], [("n", "get", None, None, _at(6)), ("k", "get", None, None, _at(30))]]
+    rows, _ = _in_batches(spark, tmp_path, batches, schema, lambda s: expiring_store(s.withColumn("at", F.col("at").cast("timestamp"))), "late_calls")
+    got = sorted((r["key"], r["micros"] // 1_000_000 - 1_700_000_000, r["op"], r["answer"], r["late"]) for r in rows)
+    assert got == [("k", 10, "set", None, True), ("k", 30, "get", None, True), ("k", 50, "get", "1", False), ("k", 60, "get", "1", False), ("n", 6, "get", "2", False)]
+
+
+def test_idle_state_is_forgotten(spark, tmp_path):
+    """A time to live of a millisecond: each batch begins anew."""
+    batches = [[("a", _at(0)), ("a", _at(0))], [("a", _at(0))]]
+    rows, _ = _in_batches(spark, tmp_path, batches, "api_key string, requested_at timestamp_ntz", lambda s: limit_rate(s.withColumn("requested_at", F.col("requested_at").cast("timestamp")), 1, idle_ms=1), "idle")
+    assert sorted(r["passed"] for r in rows) == [False, True, True]
+
+
 def test_counters(spark):
     df, seen = counted(spark.createDataFrame([(1, "x"), (2, None)], "i int, reason string"), "rows", "reason")
     df.collect()

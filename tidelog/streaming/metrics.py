@@ -8,11 +8,12 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 
 class Progress(StreamingQueryListener):
-    """Rows and milliseconds of each micro-batch, by query; register it with spark.streams.addListener."""
+    """Rows and milliseconds of each micro-batch, by query, and sums of what streams are observed for, by name; register it with spark.streams.addListener."""
 
     def __init__(self):
         self.batches: dict[str, list[tuple[int, int, int]]] = {}
         self.ended: dict[str, str | None] = {}
+        self.observed: dict[str, dict[str, int]] = {}
 
     def onQueryStarted(self, event) -> None:
         self.batches[str(event.id)] = []
@@ -20,6 +21,10 @@ class Progress(StreamingQueryListener):
     def onQueryProgress(self, event) -> None:
         p = event.progress
         self.batches.setdefault(str(p.id), []).append((p.batchId, p.numInputRows, p.batchDuration))
+        for name, row in p.observedMetrics.items():
+            sums = self.observed.setdefault(name, {})
+            for field, value in row.asDict().items():
+                sums[field] = sums.get(field, 0) + (value or 0)
 
     def onQueryIdle(self, event) -> None:
         pass
