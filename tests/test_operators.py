@@ -76,6 +76,41 @@ def test_containment(spark, body, pattern, holds):
     assert row["h"] is holds
 
 
+@pytest.mark.parametrize("many", [0, 3, 100_000])
+def test_table_of_patterns(spark, many):
+    """Against the whole rule on all pairs; entries above ``many`` go by slices."""
+    import json
+    import random
+
+    rng = random.Random(7)
+
+    def value(depth):
+        kind = rng.random()
+        if depth and kind < 0.35:
+            return {rng.choice(["a", "b", "c c", "é"]): value(depth - 1) for _ in range(rng.randint(0, 3))}
+        if depth and kind < 0.6:
+            return [value(depth - 1) for _ in range(rng.randint(0, 3))]
+        return rng.choice([0, 1, 1.0, 2.5, "1", "x", True, False, None, ""])
+
+    texts = [None, "broken", "NaN", "", "[" * 3000] + [json.dumps(value(3)) for _ in range(150)]
+    patterns = [None, "{", "{}", "[]", "1", "null"] + [json.dumps(value(2)) for _ in range(60)]
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id long, json string, entry string")
+    asked = spark.createDataFrame([(f"p{i}", t) for i, t in enumerate(patterns)], "p string, pattern string")
+    found = containment.containing(rows, asked, "id", "json", "p", "pattern", many=many)
+    expected = {(f"p{j}", i) for i, t in enumerate(texts) for j, p in enumerate(patterns) if containment.parsed(t)[0] and containment.parsed(p)[0] and containment.holds(containment.parsed(t)[1], containment.parsed(p)[1])}
+    got = [(r["p"], r["id"]) for r in found.collect()]
+    assert set(got) == expected and len(got) == len(expected) > 100
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_rule_of_a_table_is_that_of_a_constant(spark):
+    texts = ['{"a": [1, {"b": null}], "c": "x"}', '{"a": [true]}', '{"a": {"b": 1.0}}', "[1, 2]", '"x"']
+    for pattern in ('{"a": [{"b": null}]}', '{"a": [1]}', '{"a": {"b": 1}}', "[2]", "{}", "[]"):
+        rows = spark.createDataFrame([(t,) for t in texts], "v string").select("v", containment.contains_json(F.col("v"), pattern).alias("h")).collect()
+        assert [r["h"] for r in rows] == [containment.holds(containment.parsed(r["v"])[1], containment.parsed(pattern)[1]) for r in rows], pattern
+
+
 def test_pressure(spark):
     limits = {"warn_ms": 3000, "critical_ms": 5000}
     for latencies, state in (([3500] * 15, "WARN"), ([6000] * 15, "CRITICAL"), ([6000] * 15 + [500] * 50, "NORMAL")):

@@ -1,13 +1,28 @@
-"""JSON containment: a constant pattern compiled into a conjunction of path equalities that Catalyst sees as plain predicates."""
+"""JSON containment: of a constant pattern, and of a table of patterns by an index.
+
+A constant pattern is compiled into a conjunction of path equalities that Catalyst sees as plain predicates.
+
+Patterns of a table are looked up in an inverted index of entries. An entry is a path and the value or kind of container there, hashed; places in an array are all one, so whatever holds a pattern has all of its entries. Each pattern is
+looked up by its rarest entry only (an equality join), and what that finds is verified by the whole rule, row by row. Postings of an entry that many rows have lie in slices, and a pattern that has to go by such an entry
+goes to each slice of it.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import Steps
+
+#: Slices of an entry's postings, and postings from which on a pattern goes by slices.
+SLICES, MANY = 64, 100_000
+
 
 def contains_json(c: Column, pattern: str | dict) -> Column:
     """True where the JSON text holds the pattern: objects by their keys, arrays by some element for each of the pattern's, numbers by value. Null and unreadable text: false."""
@@ -36,3 +51,87 @@ def _holds(v: Column, wanted) -> Column:
         return (kind == "STRING") & (F.try_variant_get(v, "$", "string") == wanted)
     numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
     return numeric & (F.try_variant_get(v, "$", "double") == float(wanted))
+
+
+def _refused(constant: str):
+    raise ValueError(constant)
+
+
+def parsed(text: str | None):
+    """(whether it is JSON, the value). Constants beyond JSON (as NaN), and nesting deeper than the parser goes, count as unreadable."""
+    try:
+        return (False, None) if text is None else (True, json.loads(text, parse_constant=_refused))
+    except (ValueError, RecursionError):
+        return False, None
+
+
+def entries(value) -> set[int]:
+    """Hashes of the entries of a JSON value."""
+    found, stack = set(), [("", value)]
+    while stack:
+        path, v = stack.pop()
+        if isinstance(v, dict):
+            kind = "object"
+            stack += [(f"{path}.{json.dumps(k)}", x) for k, x in v.items()]
+        elif isinstance(v, list):
+            kind = "array"
+            stack += [(f"{path}[]", x) for x in v]
+        elif isinstance(v, bool) or v is None:
+            kind = json.dumps(v)
+        elif isinstance(v, str):
+            kind = "text " + v
+        else:
+            kind = f"number {float(v)!r}" if abs(v) < 1e300 else f"number {v}"
+        found.add(int.from_bytes(hashlib.blake2b(f"{path} {kind}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
+    return found
+
+
+def holds(value, pattern) -> bool:
+    """The whole rule: objects by their keys, arrays by some element for each of the pattern's, numbers by value."""
+    if isinstance(pattern, dict):
+        return isinstance(value, dict) and all(k in value and holds(value[k], x) for k, x in pattern.items())
+    if isinstance(pattern, list):
+        return isinstance(value, list) and all(any(holds(v, x) for v in value) for x in pattern)
+    if isinstance(pattern, bool) or isinstance(value, bool) or pattern is None or value is None:
+        return pattern is value
+    return not isinstance(value, (dict, list)) and isinstance(value, str) == isinstance(pattern, str) and value == pattern
+
+
+def _postings(rows: DataFrame) -> DataFrame:
+    """id, entry of rows (id, json)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(entries(v)) if ok else [] for ok, v in map(parsed, batch.column("json").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "entries"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, entries array<long>").select("id", F.explode("entries").alias("entry"))
+
+
+def containing(rows: DataFrame, patterns: DataFrame, id_col: str, json_col: str, pattern_id: str, pattern_col: str, many: int = MANY) -> DataFrame:
+    """pattern_id, id_col: each pattern with the rows whose JSON holds it.
+
+    Ids of both are unique and not null. Null and unreadable texts hold nothing, and null or unreadable patterns are held by nothing.
+    """
+    steps = Steps(rows.sparkSession, "containment")
+    docs = rows.select(F.col(id_col).alias("id"), F.col(json_col).alias("json")).where("id IS NOT NULL")
+    asked = patterns.select(F.col(pattern_id).alias("id"), F.col(pattern_col).alias("json")).where("id IS NOT NULL")
+    index = steps.save(_postings(docs).withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(SLICES)).cast("int")), "index")
+    wanted = steps.save(_postings(asked).withColumnRenamed("id", "pattern"), "wanted")
+    counts = index.join(wanted.select("entry").distinct(), "entry", "left_semi").groupBy("entry").agg(F.count("*").alias("n"))
+    rarest = wanted.join(counts, "entry", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "entry")).alias("r")).select("pattern", "r.n", "r.entry").where("n > 0")
+    rarest = steps.save(rarest, "rarest")
+    few = rarest.where(F.col("n") <= many).join(index, "entry").select("pattern", "id")
+    hot = rarest.where(F.col("n") > many).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))).join(index, ["entry", "slice"]).select("pattern", "id")
+    pairs = steps.save(few.unionByName(hot), "pairs")
+    both = pairs.join(docs, "id").join(asked.select(F.col("id").alias("pattern"), F.col("json").alias("wanted")), "pattern").select("pattern", "id", "json", "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = {text: parsed(text)[1] for text in set(batch.column("wanted").to_pylist())}
+            kept = [holds(parsed(text)[1], known[wanted]) for text, wanted in zip(batch.column("json").to_pylist(), batch.column("wanted").to_pylist(), strict=True)]
+            yield batch.select(["pattern", "id"]).filter(pa.array(kept, pa.bool_()))
+
+    verified = both.mapInArrow(run, f"pattern {asked.schema['id'].dataType.simpleString()}, id {docs.schema['id'].dataType.simpleString()}")
+    return verified.select(F.col("pattern").alias(pattern_id), F.col("id").alias(id_col))

@@ -157,6 +157,28 @@ def p07_contains_both(spark, folder):
     return table(spark, folder, "events").where(both).select("event_id")
 
 
+_BODIES = """bodies AS (SELECT event_id, CAST(to_json({'type': event_type, 'who': {'user': user_id % 40}, 'marks': [{'k': CAST(json_extract(props, '$.k') AS BIGINT) % 10, 'late': event_id % 2 = 0}, {'k': user_id % 3, 'late': user_id % 2 = 0}]}) AS VARCHAR) AS body FROM events)"""
+
+
+@query(
+    "p06_pattern_table",
+    f"""WITH {_BODIES}, patterns AS (SELECT DISTINCT '{{"marks":[{{"k":' || CAST(json_extract(props, '$.k') AS BIGINT) % 10 || ',"late":' || (event_id % 3 = 0) || '}}],"type":"' || event_type || '"}}' AS pattern FROM events
+    UNION SELECT DISTINCT '{{"who":{{"user":' || user_id || '}}}}' FROM events UNION SELECT '{{"marks":[]}}')
+  SELECT pattern, count(*) AS rows, min(event_id) AS first, CAST(sum(event_id) AS BIGINT) AS ids FROM patterns JOIN bodies ON json_contains(body, pattern) GROUP BY pattern""",
+)
+def p06_pattern_table(spark, folder):
+    """Logs that hold the patterns of a table, which are made of the events too (p06, p07)."""
+    events = table(spark, folder, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    mark = lambda k, late: F.struct(k.alias("k"), late.alias("late"))
+    body = F.to_json(F.struct(F.col("event_type").alias("type"), F.struct((F.col("user_id") % 40).alias("user")).alias("who"), F.array(mark(k % 10, F.col("event_id") % 2 == 0), mark(F.col("user_id") % 3, F.col("user_id") % 2 == 0)).alias("marks")))
+    late = F.to_json(F.struct(F.array(mark(k % 10, F.col("event_id") % 3 == 0)).alias("marks"), F.col("event_type").alias("type")))
+    users = F.to_json(F.struct(F.struct(F.col("user_id").alias("user")).alias("who")))
+    patterns = events.select(F.explode(F.array(late, users, F.lit('{"marks":[]}'))).alias("pattern")).distinct().withColumn("of", F.col("pattern"))
+    found = containment.containing(events.select("event_id", body.alias("body")), patterns, "event_id", "body", "pattern", "of")
+    return found.groupBy("pattern").agg(F.count("*").alias("rows"), F.min("event_id").alias("first"), F.sum("event_id").alias("ids"))
+
+
 @query("p08_like", f"WITH {LOGS} SELECT arrival_seq FROM logs WHERE archive LIKE 'com.game.err.%' AND archive LIKE '%(Y.java:1)%'")
 def p08_like(spark, folder):
     return event_logs(spark, folder).where(F.col("archive").like("com.game.err.%") & F.col("archive").like("%(Y.java:1)%")).select("arrival_seq")
