@@ -75,8 +75,24 @@ _MONTHS = f"WITH g AS ({SQL['s05_decode']}), m AS (SELECT log_id, occurred_at +
 
 def _by_month(spark, folder, path: str) -> None:
     good, _ = ingest.split_rejected(ingest.decoded(_raw(spark, folder), _now()), _now())
-    later = F.col("occurred_at") + F.make_interval(months=(F.col("arrival_seq") % 3).cast("int"))
-    logs.append_logs(good.withColumn("occurred_at", later), path)
+    logs.append_logs(_spread(good), path)
+
+
+def _spread(good: DataFrame) -> DataFrame:
+    """Over three months."""
+    return good.withColumn("occurred_at", F.col("occurred_at") + F.make_interval(months=(F.col("arrival_seq") % 3).cast("int")))
+
+
+@query("s08_stored_log", f"{_MONTHS} SELECT log_id, occurred_at FROM m WHERE log_id IN ('550e8400-e29b-41d4-a716-000000000042', '550e8400-e29b-41d4-a716-000000000003')")
+def s08_stored_log(spark, folder):
+    """Logs by their ids out of a store of several batches, one of which was published twice (s07, s08, d11)."""
+    store = Store(spark, work_folder(spark, "look-up"))
+    good, _ = ingest.split_rejected(ingest.decoded(_raw(spark, folder), _now()), _now())
+    spread = _spread(good)
+    for batch in (0, 1, 2, 1):
+        store.save_rows(spread.where(F.col("arrival_seq") % 3 == batch), "logs", batch)
+    found = [store.find_log(f"550e8400-e29b-41d4-a716-{n:012d}") for n in (42, 3)]
+    return _plain_times(reduce(DataFrame.unionAll, found).select("log_id", "occurred_at"))
 
 
 @query("s17_log_table", f"{_MONTHS} SELECT log_id, occurred_at FROM m WHERE occurred_at >= TIMESTAMP '2024-02-05 00:00:00' AND occurred_at < TIMESTAMP '2024-03-10 00:00:00'")
@@ -91,7 +107,8 @@ def s17_log_table(spark, folder):
 def d12_drop_month(spark, folder):
     """The retention run drops the months that are over (d12, t17)."""
     store = Store(spark, work_folder(spark, "retention"))
-    _by_month(spark, folder, f"{store.root}/logs")
+    good, _ = ingest.split_rejected(ingest.decoded(_raw(spark, folder), _now()), _now())
+    store.save_rows(_spread(good), "logs", 0)
     drop_expired(store, F.lit("2024-03-15 00:00:00").cast("timestamp"))
     return store.rows().groupBy(F.date_format("occurred_at", "yyyy-MM").alias("month")).agg(F.count("*").alias("rows"))
 

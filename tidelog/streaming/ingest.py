@@ -1,7 +1,7 @@
 """The ingestion stream: raw messages to logs, rejected rows and issues, batch by batch; retries, retention and backlog of what it stores.
 
-Logs and rejected rows lie in folders of month and batch, so a month goes as one folder, and a batch that is run again replaces what it wrote before. A message that was stored by an earlier batch is not stored
-again: the batch's keys are looked up among the stored logs of its own span of time. Each batch adds the issues of its own logs as a part; parts are merged into a base every ``MERGE_EVERY`` batches, so
+Logs and rejected rows lie in segments (``tidelog.sources.segments``): a batch becomes visible by one rename, one that is run again takes the place of what it was, segments are merged in levels, and a month goes by its folders. A message
+that was stored by an earlier batch is not stored again: the batch's keys are looked up among the stored logs of its own span of time, of which only the months' folders are listed. Each batch adds the issues of its own logs as a part; parts are merged into a base every ``MERGE_EVERY`` batches, so
 no batch reads or writes all issues. Partial issues merge associatively, hence base and parts together are the issues of all logs.
 """
 
@@ -17,8 +17,9 @@ from ..operators.control import retried
 from ..operators.ingest import decoded, split_rejected, without_repeats
 from ..operators.issues import merge, rollup
 from ..operators.months import expired
-from ..sources.logs import drop_month, land, months_present, raw_stream
+from ..sources.logs import land, raw_stream
 from ..sources.schemas import GAME_LOG, ISSUE, RAW_FIELDS, RAW_MESSAGE
+from ..sources.segments import Segments
 
 MERGE_EVERY, KEPT_BASES = 16, 2
 LOG_COLUMNS = [c.split()[0] for c in GAME_LOG.split(", ")]
@@ -72,31 +73,29 @@ class Store:
             if len(bases) >= KEPT_BASES and n <= bases[-KEPT_BASES]:
                 self._delete(f"issues/parts/batch={n}")
 
+    def segments(self, kind: str = "logs") -> Segments:
+        return Segments(self.spark, f"{self.root}/{kind}", GAME_LOG if kind == "logs" else REJECTED, key="log_id")
+
     def save_rows(self, rows: DataFrame, kind: str, batch: int) -> None:
         """In place of what the batch has stored before."""
-        for month in self._listed(kind):
-            self._delete(f"{kind}/{month}/batch={batch}")
-        by_month = rows.withColumns({"occurred_month": F.date_format("occurred_at", "yyyy-MM"), "batch": F.lit(batch).cast("long")})
-        by_month.sortWithinPartitions("occurred_month", "occurred_at").write.mode("append").partitionBy("occurred_month", "batch").parquet(f"{self.root}/{kind}")
-
-    def rows(self, kind: str = "logs", batch: int | None = None) -> DataFrame:
-        """All rows of a kind, or those of one batch, of which only the own folders are listed."""
-        schema = (GAME_LOG if kind == "logs" else REJECTED) + ", occurred_month string, batch long"
-        paths = [f"{self.root}/{kind}"] if self._listed(kind) else []
-        if batch is not None:
-            paths = [f"{self.root}/{kind}/{month}/batch={batch}" for month in self._listed(kind) if f"batch={batch}" in self._listed(f"{kind}/{month}")]
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{kind}").parquet(*paths)
+        self.segments(kind).publish(rows, batch)
+
+    def rows(self, kind: str = "logs", batch: int | None = None, months: list[str] | None = None) -> DataFrame:
+        """All rows of a kind, or those of one batch or of some months, of which only the own folders are listed."""
+        return self.segments(kind).rows(batch, months).drop("segment")
+
+    def find_log(self, log_id: str) -> DataFrame:
+        """The log of that id: of the row groups, only those are read whose Bloom filter may have it."""
+        return self.rows().where(F.col("log_id") == log_id)
 
     def keys_near(self, rows: DataFrame, batch: int) -> DataFrame:
-        """log_id, occurred_at of other batches' logs in the rows' span of time: other months' folders are not read, nor row groups of other times."""
-        month, micros = F.date_format("occurred_at", "yyyy-MM"), F.unix_micros("occurred_at")
-        span = rows.agg(F.min(month).alias("first"), F.max(month).alias("last"), F.min(micros).alias("since"), F.max(micros).alias("until")).first()
-        stored = self.rows("logs").where(F.col("batch") != batch)
-        if span["first"] is not None:
-            stored = stored.where(F.col("occurred_month").between(span["first"], span["last"]) & F.col("occurred_at").between(F.timestamp_micros(F.lit(span["since"])), F.timestamp_micros(F.lit(span["until"]))))
-        return stored.select("log_id", "occurred_at").limit(0) if span["first"] is None else stored.select("log_id", "occurred_at")
+        """log_id, occurred_at of other batches' logs in the rows' span of time: other months' folders are not listed, nor row groups of other times read."""
+        month, micros = F.trunc("occurred_at", "month"), F.unix_micros("occurred_at")
+        span = rows.agg(F.transform(F.sequence(F.min(month), F.max(month), F.expr("INTERVAL 1 MONTH")), lambda m: F.date_format(m, "yyyy-MM")).alias("months"), F.min(micros).alias("since"), F.max(micros).alias("until")).first()
+        stored = self.rows("logs", months=span["months"] or []).where(F.col("batch") != batch)
+        if span["months"]:
+            stored = stored.where(F.col("occurred_at").between(F.timestamp_micros(F.lit(span["since"])), F.timestamp_micros(F.lit(span["until"]))))
+        return stored.select("log_id", "occurred_at")
 
 
 def take_batch(store: Store, raw: DataFrame, batch: int, now: Column | None = None) -> None:
@@ -127,24 +126,25 @@ def retry_rejected(store: Store, landing: str, most: int = 5) -> None:
 
     If it ends half-way, messages land twice; the store takes one of them.
     """
-    batches = {(month, n) for month in store._listed("rejected") if month.startswith("occurred_month=") for n in store._listed(f"rejected/{month}")}
-    if not batches:
+    segments = store.segments("rejected")
+    taken = segments.stored()
+    if not taken:
         return
     again, dead = retried(store.rows("rejected"), most)
-    number = max(int(n.split("=")[1]) for _, n in batches)
-    store.save_rows(dead.select(*(c.split()[0] for c in REJECTED.split(", "))), "dead", number)
+    store.save_rows(dead.select(*(c.split()[0] for c in REJECTED.split(", "))), "dead", max(s.last for s in taken))
     land(again.select(F.from_json("raw", RAW_MESSAGE).alias("m"), "retry_count").select("m.*", "retry_count").drop("retryCount").withColumnRenamed("retry_count", "retryCount"), landing)
-    for month, n in batches:
-        store._delete(f"rejected/{month}/{n}")
+    for segment in taken:
+        segments.remove(segment)
 
 
 def drop_expired(store: Store, now: Column, older_too: bool = True) -> list[str]:
     """The retention run: logs and rejected rows of months that are over go, a folder each. The months that went."""
     gone = set()
     for kind in ("logs", "rejected", "dead"):
-        if store._listed(kind):
-            months = months_present(store.spark, f"{store.root}/{kind}").where(expired(F.to_date("occurred_month", "yyyy-MM"), now, older_too)).collect()  # a row a month
-            gone |= {r[0] for r in months if drop_month(store.spark, f"{store.root}/{kind}", r[0])}
+        segments = store.segments(kind)
+        if months := segments.all_months():
+            over = store.spark.createDataFrame([(m,) for m in months], "month string").where(expired(F.to_date("month", "yyyy-MM"), now, older_too)).collect()  # a row a month
+            gone |= {r[0] for r in over if segments.drop_month(r[0])}
     return sorted(gone)
 
 
