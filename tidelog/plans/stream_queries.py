@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..operators import ingest
 from ..sources import logs
+from ..sources.messages import append_segments
 from ..sources.tables import table, work_folder
-from ..streaming.ingest import Store, backlog, drop_expired, retry_rejected, start_ingestion, take_batch
+from ..streaming.ingest import Store, backlog, drop_expired, retry_rejected, start_ingestion, start_message_ingestion, take_batch
 from ..streaming.state import expiring_store, limit_rate
 from .log_queries import _REASON, _now, _plain_times, _raw
 from .registry import SQL, query
@@ -50,6 +51,21 @@ def s01_stream_logs(spark, folder):
     return _plain_times(_streamed(spark, folder).rows().drop("batch", "occurred_month"))
 
 
+@query("s01_message_log", f"SELECT CAST(NULL AS VARCHAR) AS body, * FROM ({SQL['s05_decode']}) UNION ALL BY NAME SELECT '[' || event_id || ']' AS body FROM events WHERE event_id % 100 = 7")
+def s01_message_log(spark, folder):
+    """Logs out of the message log, whose batches go across its segments, and the elements that are no messages (s01, s02)."""
+    root = work_folder(spark, "messages")
+    raw = _raw(spark, folder)
+    values = raw.select("arrival_seq", F.to_json(F.struct(*raw.columns)).alias("value")).unionAll(raw.where("arrival_seq % 100 = 7").select("arrival_seq", F.format_string("[%d]", "arrival_seq").alias("value")))
+    append_segments(values.repartition(4, "arrival_seq").sortWithinPartitions("arrival_seq"), f"{root}/log")
+    stream = start_message_ingestion(spark, f"{root}/log", f"{root}/store", rows=5_000, now=_now())
+    stream.processAllAvailable()
+    stream.stop()
+    store = Store(spark, f"{root}/store")
+    stored = _plain_times(store.rows().drop("batch", "occurred_month"))
+    return stored.withColumn("body", F.lit(None).cast("string")).unionByName(store.rows("wrong").select("body"), allowMissingColumns=True)
+
+
 @query("t10_stream_issues", f"WITH g AS ({SQL['s05_decode']}) SELECT project_id, sha256('Timeout after N ms') AS fingerprint, count(*) AS occurrence_count, min(arrival_seq) AS first_seq, max(arrival_seq) AS last_seq FROM g GROUP BY project_id")
 def t10_stream_issues(spark, folder):
     """Issues that the stream has rolled up, batch by batch."""

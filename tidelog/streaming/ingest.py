@@ -18,12 +18,15 @@ from ..operators.ingest import decoded, split_rejected, without_repeats
 from ..operators.issues import merge, rollup
 from ..operators.months import expired
 from ..sources.logs import land, raw_stream
+from ..sources.messages import ROWS, message_stream
 from ..sources.schemas import GAME_LOG, ISSUE, RAW_FIELDS, RAW_MESSAGE
 from ..sources.segments import Segments
 
 MERGE_EVERY, KEPT_BASES = 16, 2
 LOG_COLUMNS = [c.split()[0] for c in GAME_LOG.split(", ")]
 REJECTED = GAME_LOG + ", reason string, raw string, retry_count int"
+#: Elements of the message log that are no messages, by their place in it.
+WRONG = "message_segment long, message_record long, body string, occurred_at timestamp"
 
 
 @dataclass
@@ -74,7 +77,7 @@ class Store:
                 self._delete(f"issues/parts/batch={n}")
 
     def segments(self, kind: str = "logs") -> Segments:
-        return Segments(self.spark, f"{self.root}/{kind}", GAME_LOG if kind == "logs" else REJECTED, key="log_id")
+        return Segments(self.spark, f"{self.root}/{kind}", {"logs": GAME_LOG, "wrong": WRONG}.get(kind, REJECTED), key=None if kind == "wrong" else "log_id")
 
     def save_rows(self, rows: DataFrame, kind: str, batch: int) -> None:
         """In place of what the batch has stored before."""
@@ -121,6 +124,21 @@ def start_ingestion(spark: SparkSession, landing: str, root: str, files_per_trig
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def start_message_ingestion(spark: SparkSession, path: str, root: str, rows: int = ROWS, now: Column | None = None, every: str | None = None) -> StreamingQuery:
+    """As ``start_ingestion``, from the message log at ``path``, ``rows`` messages a batch at most. Runs until stopped; ``processAllAvailable`` waits for what is there. Elements of a wrong type are kept aside as rows of kind ``wrong``."""
+    store = Store(spark, root)
+
+    def take(batch: DataFrame, number: int) -> None:
+        wrong = batch.where("wrong IS NOT NULL").select(F.col("segment").alias("message_segment"), F.col("record").alias("message_record"), F.col("wrong").alias("body"), (F.current_timestamp() if now is None else now).alias("occurred_at"))
+        if not wrong.isEmpty():
+            store.save_rows(wrong, "wrong", number)
+        place = F.col("segment") * 2**32 + F.col("record")
+        take_batch(store, batch.where("wrong IS NULL").withColumn("arrival_seq", F.coalesce("arrival_seq", place)).select(*RAW_FIELDS, "arrival_seq", "retryCount"), number, now)
+
+    writer = message_stream(spark, path, f"{root}/checkpoint", rows).writeStream.foreachBatch(take).option("checkpointLocation", f"{root}/checkpoint")
+    return (writer.trigger(processingTime=every) if every else writer).start()
+
+
 def retry_rejected(store: Store, landing: str, most: int = 5) -> None:
     """Lands the messages of rejected rows again, with their tries counted up; those that were tried ``most`` times go to the dead rows instead.
 
