@@ -252,3 +252,46 @@ def test_profile_changes_keep_what_is_blank(spark):
 def test_months(spark):
     found = [r["partition"] for r in months.months_around(spark, now()).orderBy("starts").collect()]
     assert found == ["game_log_2024_02", "game_log_2024_03", "game_log_2024_04", "game_log_2024_05"]
+
+
+@pytest.mark.parametrize("order", [["a"], ["-a"], ["b", "-a"], []])
+def test_pages_however_far_down(spark, order, monkeypatch):
+    """Against all rows in order, with nulls and ties; ranges are narrowed several times."""
+    monkeypatch.setattr(paging, "CUTS", 6)
+    monkeypatch.setattr(paging, "KEYS", 4)
+    monkeypatch.setattr(paging, "FEW", 24)
+    rows = spark.range(3000).select(F.when(F.col("id") % 11 != 0, F.xxhash64("id") % 40).alias("a"), F.when(F.col("id") % 5 != 0, F.concat(F.lit("t"), F.col("id") % 3)).alias("b"), F.col("id").alias("k")).cache()
+    keys = [(c.removeprefix("-"), c.startswith("-")) for c in (*order, "k")]
+    everything = rows.orderBy(*(F.desc_nulls_last(c) if falls else F.asc_nulls_first(c) for c, falls in keys)).collect()
+    for number in (0, 1, 57, 298, 299, 300, 1000):
+        page = paging.deep_page(rows, number, 10, order, "k")
+        assert page.collect() == everything[number * 10 : number * 10 + 10], number
+        plan = page._jdf.queryExecution().executedPlan().toString()
+        assert ("TakeOrderedAndProject" in plan) == (number < 300)
+        if number < 300:
+            assert int(plan.split("TakeOrderedAndProject(limit=")[1].split(",")[0]) <= 50
+    row = everything[1499]
+    after = paging.page_after(rows, [row[c] for c, _ in keys], 10, order, "k")
+    assert after.collect() == everything[1500:1510] and paging.page_after(rows, None, 10, order, "k").collect() == everything[:10]
+
+
+def test_layouts_of_several_ages(spark, tmp_path):
+    from tidelog.plans.archive_queries import _LAYOUTS, _TODAY
+    from tidelog.sources.layouts import read_layouts, write_layout
+
+    root = f"file://{tmp_path}/logs"
+    assert read_layouts(spark, root, _LAYOUTS, _TODAY).count() == 0
+    write_layout(spark.sql("SELECT id AS log_id, TIMESTAMP_NTZ '2024-01-05' AS occurred_at, concat('m', id) AS body FROM range(20)"), root, _LAYOUTS[0])
+    write_layout(spark.sql("SELECT CAST(id + 20 AS STRING) AS log_id, TIMESTAMP_NTZ '2024-02-05' AS occurred_at, concat('m', id + 20) AS archive, 's' AS session_id, TIMESTAMP_NTZ '2024-02-05' AS created_at FROM range(20)"), root, _LAYOUTS[1])
+    whole = read_layouts(spark, root, _LAYOUTS, _TODAY)
+    assert [f.simpleString() for f in whole.schema] == [f.simpleString() for f in spark.createDataFrame([], _TODAY).schema] and whole.count() == 40
+    for where in ([("log_id", "=", "7")], [("log_id", "in", ["7", "27", "007"])], [("archive", ">=", "m3")], [("session_id", "=", "unknown-session"), ("log_id", "<", "15")]):
+        some = read_layouts(spark, root, _LAYOUTS, _TODAY, where, ["log_id", "archive"])
+        plain = whole
+        for name, op, value in where:
+            plain = plain.where(F.col(name).isin(value) if op == "in" else F.expr(f"{name} {op} '{value}'"))
+        assert sorted(map(tuple, some.collect())) == sorted(map(tuple, plain.select("log_id", "archive").collect())), where
+    plan = read_layouts(spark, root, _LAYOUTS, _TODAY, [("log_id", "in", ["7", "27"]), ("archive", ">=", "m")], ["log_id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PushedFilters: [") == plan.count("In(log_id, [") == 2
+    assert "GreaterThanOrEqual(body,m)" in plan and "GreaterThanOrEqual(archive,m)" in plan
+    assert "ReadSchema: struct<log_id:bigint,body:string>" in plan and "ReadSchema: struct<log_id:string,archive:string>" in plan

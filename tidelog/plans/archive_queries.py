@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..functions import accounts, names
-from ..operators import archive, members, paging
-from ..sources.tables import table
+from ..operators import archive, members, paging, retrieval
+from ..sources.layouts import From, Layout, read_layouts, write_layout
+from ..sources.tables import table, work_folder
 from .registry import query
 
 GROUPS_SQL = """groups AS (SELECT DISTINCT CAST(substr(source, 4) AS BIGINT) AS group_id, CAST(substr(source, 4) AS BIGINT) % 3 AS project_id,
@@ -224,11 +227,38 @@ def d06_category(spark, folder):
     return rows.select("group_id", "category")
 
 
-@query("d13_evolve", "SELECT CAST(event_id AS VARCHAR) AS log_id, event_type AS archive, 'unknown-session' AS session_id FROM events")
+#: Months before February are in the first layout: numbers for ids, another name of the text, no time of creation.
+_TODAY = "log_id string, occurred_at timestamp_ntz, archive string, session_id string, created_at timestamp_ntz"
+_LAYOUTS = [
+    Layout(1, "log_id long, occurred_at timestamp_ntz, body string", {"log_id": From("log_id", stored=lambda text: int(text) if text.isdecimal() and str(int(text)) == text else None), "archive": From("body"), "session_id": From(default="unknown-session"), "created_at": From(default=dt.datetime(2024, 2, 1))}),
+    Layout(2, _TODAY),
+]
+
+
+def _layouts(spark, folder, **more):
+    root = work_folder(spark, "layouts")
+    days = F.make_dt_interval(days=(F.col("event_id") % 60).cast("int"))
+    events = table(spark, folder, "events").select("event_id", "event_type", "user_id", (F.col("ts") + days).alias("occurred_at"))
+    old, new = events.where("occurred_at < TIMESTAMP_NTZ '2024-02-01'"), events.where("occurred_at >= TIMESTAMP_NTZ '2024-02-01'")
+    write_layout(old.select(F.col("event_id").alias("log_id"), "occurred_at", F.col("event_type").alias("body")), root, _LAYOUTS[0])
+    write_layout(new.select(F.col("event_id").cast("string").alias("log_id"), "occurred_at", F.col("event_type").alias("archive"), F.concat(F.lit("s"), "user_id").alias("session_id"), F.col("occurred_at").alias("created_at")), root, _LAYOUTS[1])
+    return read_layouts(spark, root, _LAYOUTS, _TODAY, **more)
+
+
+_LAYOUT_ROWS = """e AS (SELECT event_id, event_type, user_id, ts + INTERVAL 1 DAY * (event_id % 60) AS at FROM events),
+  t AS (SELECT CAST(event_id AS VARCHAR) AS log_id, at AS occurred_at, event_type AS archive, CASE WHEN at < TIMESTAMP '2024-02-01' THEN 'unknown-session' ELSE 's' || user_id END AS session_id, CASE WHEN at < TIMESTAMP '2024-02-01' THEN TIMESTAMP '2024-02-01' ELSE at END AS created_at FROM e)"""
+
+
+@query("d13_evolve", f"WITH {_LAYOUT_ROWS} SELECT * FROM t")
 def d13_evolve(spark, folder):
-    """A cast, a new name and a column with a default."""
-    old = table(spark, folder, "events").select(F.col("event_id").alias("log_id"), F.col("event_type").alias("body"))
-    return old.withColumn("log_id", F.col("log_id").cast("string")).withColumnRenamed("body", "archive").withColumn("session_id", F.lit("unknown-session"))
+    """Logs that were stored in an old and a new layout, as one table."""
+    return _layouts(spark, folder)
+
+
+@query("d13_evolved_lookup", f"WITH {_LAYOUT_ROWS} SELECT log_id, archive, session_id FROM t WHERE log_id IN ('7', '77', '0077', '777', 'x') AND archive >= 'c' AND occurred_at >= TIMESTAMP '2024-01-03'")
+def d13_evolved_lookup(spark, folder):
+    """Filters that reach the scans of both layouts, in their own names and types."""
+    return _layouts(spark, folder, where=[("log_id", "in", ["7", "77", "0077", "777", "x"]), ("archive", ">=", "c"), ("occurred_at", ">=", dt.datetime(2024, 1, 3))], columns=["log_id", "archive", "session_id"])
 
 
 MEMBERS_SQL = """members AS (SELECT CAST(c_custkey AS VARCHAR) AS member_id, CAST(CASE WHEN c_custkey % 9 <> 0 THEN c_nationkey END AS BIGINT) AS company_id, CASE WHEN c_custkey % 2 = 0 THEN 'GOOGLE' ELSE 'GITHUB' END AS provider, CAST(c_custkey // 2 AS VARCHAR) AS provider_id,
@@ -423,3 +453,20 @@ def x01_cosine(spark, folder):
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     scored = vectors.join(F.broadcast(asked)).where("vec_id != q_id").select("vec_id", F.round(dot(F.col("v"), F.col("q")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("q"), F.col("q"))), 6).alias("score"))
     return scored.orderBy(F.desc("score"), "vec_id").limit(10)
+
+
+@query(
+    "x03_passages",
+    r"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+  p AS (SELECT doc_id, passage, w[passage * 100 + 1 : passage * 100 + 100] AS terms FROM (SELECT doc_id, w, unnest(range((len(w) + 99) // 100)) AS passage FROM d)),
+  a AS (SELECT count(*) AS docs, sum(len(terms)) AS terms FROM p),
+  t AS (SELECT doc_id, passage, n, term, count(*) AS tf FROM (SELECT doc_id, passage, len(terms) AS n, unnest(terms) AS term FROM p) GROUP BY ALL),
+  i AS (SELECT t.*, floor(1000 * ln(1 + (docs - df + 0.5) / (df + 0.5)) * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * n / (a.terms / a.docs))))::BIGINT AS impact FROM t JOIN (SELECT term, count(*) AS df FROM t GROUP BY term) USING (term), a),
+  q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark),
+  s AS (SELECT item_id, doc_id, passage, sum(impact)::BIGINT AS score FROM q JOIN i USING (term) GROUP BY ALL)
+  SELECT item_id, rank, doc_id, passage::INTEGER AS passage, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, passage)::INTEGER AS rank FROM s WHERE score > 0) WHERE rank <= 5""",
+)
+def x03_passages(spark, folder):
+    """The five passages that answer each question best, for the declared document search."""
+    found = retrieval.passages(table(spark, folder, "documents"), "doc_id", "text")
+    return retrieval.retrieve(found, table(spark, folder, "benchmark"), 5, "doc_id", "item_id", "text")

@@ -297,6 +297,17 @@ def t23_transitions(spark, folder):
     return control.transitions(table(spark, folder, "events"), "user_id", "event_id", "event_type")
 
 
+@query(
+    "o03_deep_page",
+    """WITH p AS (SELECT *, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS place, count(*) OVER () AS n FROM orders)
+  SELECT o_orderkey, o_orderpriority, o_totalprice FROM p WHERE place > n // 50 * 40 AND place <= n // 50 * 40 + 40""",
+)
+def o03_deep_page(spark, folder):
+    """A page of forty, after four fifths of all orders (o02, o03)."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return paging.deep_page(orders, orders.count() // 50, 40, ["o_orderpriority", "-o_totalprice"], "o_orderkey")
+
+
 @query("s08_lookup", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 33")
 def s08_lookup(spark, folder):
     """By primary key; the filter reaches the scan."""
