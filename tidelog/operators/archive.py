@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import file_extension, file_stem, pack_version, unpack_version, version_text
+from ..functions.text import choseong
 from .acceptance import Slot, accept_in_order, key_of
 
 VERSION = ["major", "minor", "patch"]
@@ -73,6 +74,14 @@ def key_violations(rows: DataFrame, *key: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("rows")).where("rows > 1")
 
 
+def by_initials(documents: DataFrame, wanted: DataFrame, longest: int = 8) -> DataFrame:
+    """wanted (key) with the documents (document_id, document_name) whose names' initial consonants begin with it: an equality join on the beginnings of ``longest`` characters at most. Longer keys find nothing."""
+    initials = documents.select("document_id", "document_name", choseong(F.col("document_name")).alias("_key"))
+    begins = F.transform(F.sequence(F.lit(1), F.least(F.length("_key"), F.lit(longest))), lambda n: F.col("_key").substr(F.lit(1), n))
+    keyed = initials.where(F.length("_key") > 0).select("document_id", "document_name", F.explode(begins).alias("key"))
+    return keyed.join(wanted.select("key").distinct(), "key")
+
+
 def existing(requests: DataFrame, stored: DataFrame, *key: str) -> DataFrame:
     """Requests whose key is taken."""
     return requests.join(stored.select(*key), list(key), "left_semi")

@@ -29,7 +29,7 @@ def same_email_elsewhere(members: DataFrame, email: str, provider: str) -> DataF
 def email_conflicts(signing_in: DataFrame, members: DataFrame) -> DataFrame:
     """signing_in (email, provider) that another provider's member has already: email, provider, conflicting (the least name)."""
     real = signing_in.where(F.col("email").isNotNull() & ~is_placeholder(F.col("email")))
-    others = members.where(F.col("status") != "DELETED").select("email", F.col("provider").alias("_other"))
+    others = members.where(F.col("status") != "DELETED").select("email", F.col("provider").alias("_other")).distinct()
     met = real.join(others, "email").where(F.col("_other") != F.col("provider"))
     return met.groupBy("email", "provider").agg(F.min("_other").alias("conflicting"))
 

@@ -203,9 +203,15 @@ def t17_retention(spark, folder):
     return months.stored_months(table(spark, folder, "orders").where(gone), "o_orderdate").withColumnRenamed("rows", "orders")
 
 
-@query("t16_months", "SELECT 'game_log_' || strftime(d, '%Y_%m') AS partition, CAST(d AS DATE) AS starts, CAST(d + INTERVAL 1 MONTH AS DATE) AS ends FROM (SELECT unnest([DATE '2024-12-01', DATE '2025-01-01', DATE '2025-02-01', DATE '2025-03-01']) AS d)")
+@query(
+    "t16_months",
+    """WITH n AS (SELECT date_trunc('month', max(o_orderdate)) AS m FROM orders), d AS (SELECT CAST(m + INTERVAL 1 MONTH * i AS DATE) AS starts FROM n, (SELECT unnest(range(-1, 3)) AS i)),
+  s AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS rows FROM orders GROUP BY 1)
+  SELECT 'game_log_' || strftime(starts, '%Y_%m') AS partition, starts, CAST(starts + INTERVAL 1 MONTH AS DATE) AS ends, coalesce(rows, 0) AS stored, rows IS NOT NULL AS exists FROM d LEFT JOIN s ON month = starts""",
+)
 def t16_months(spark, folder):
-    return months.months_around(spark, F.lit("2025-01-31").cast("timestamp_ntz"))
+    """The months that must exist when the newest order comes in, and what is stored of them."""
+    return months.accepted_months(table(spark, folder, "orders"), "o_orderdate")
 
 
 @query("f43_month", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, 'game_log_' || strftime(o_orderdate, '%Y_%m') AS partition FROM orders")

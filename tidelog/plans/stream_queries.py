@@ -72,6 +72,20 @@ def t10_stream_issues(spark, folder):
     return _streamed(spark, folder).issues().select("project_id", "fingerprint", "occurrence_count", "first_seq", "last_seq")
 
 
+@query("d10_stream_status", f"WITH g AS ({SQL['s05_decode']}) SELECT project_id, CASE WHEN right(project_id, 1) IN ('1', '3') THEN 'RESOLVED' ELSE 'UNRESOLVED' END AS status, count(*) AS occurrences FROM g GROUP BY ALL")
+def d10_stream_status(spark, folder):
+    """States set by hand between two batches of the stream's store, one of which runs again (d10)."""
+    store = Store(spark, work_folder(spark, "statuses"))
+    raw = _raw(spark, folder).withColumn("retryCount", F.lit(None).cast("int"))
+    take_batch(store, raw.where("arrival_seq % 2 = 0"), 0, _now())
+    found = store.issues().select("project_id", "fingerprint")
+    store.set_statuses(found.select("*", F.lit("UNRESOLVED").alias("new_status")))
+    store.set_statuses(found.where(F.right("project_id", F.lit(1)).isin("1", "3")).select("*", F.lit("RESOLVED").alias("new_status")))
+    for batch in (1, 0):
+        take_batch(store, raw.where(F.col("arrival_seq") % 2 == batch), batch, _now())
+    return store.issues().groupBy("project_id", "status").agg(F.sum("occurrence_count").alias("occurrences"))
+
+
 @query("t04_retry", f"SELECT coalesce({_REASON}, 'stored') AS fate, count(*) AS rows, CASE WHEN ({_REASON}) IS NOT NULL THEN 1 END AS tries FROM events GROUP BY ALL")
 def t04_retry(spark, folder):
     """Messages that are out of range at first, rejected and landed again: what is stored then, and what is rejected once more."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fingerprint as fp
 from ..functions import parsing, text
+from ..operators import archive
 from ..sources.tables import event_logs, table
 from .registry import LOGS, query
 
@@ -46,8 +47,8 @@ parts AS (SELECT *,
   CASE WHEN contains(line, ':') AND contains({trim_sql("split_part(line, ':', 1)")}, '.') THEN {trim_sql("split_part(line, ':', 1)")} END AS kind,
   CASE WHEN length(archive) > 0 THEN CASE WHEN contains(line, ':') THEN {trim_sql("substr(line, instr(line, ':') + 1)")} ELSE line END END AS said FROM lined)"""
 _FRAME = r"at\s+([a-zA-Z0-9_.]+)\.([a-zA-Z0-9_<>$]+)\(([^:)]+):?(\d+)?\)"
-_LIBRARY = " OR ".join(f"starts_with(regexp_extract(l, '{_FRAME}', 1), '{p}')" for p in fp.LIBRARY_PREFIXES)
-_APP = " OR ".join(f"starts_with(regexp_extract(l, '{_FRAME}', 1), '{p}')" for p in fp.APP_PREFIXES)
+_LIBRARY = " OR ".join(f"starts_with(regexp_extract(l, '{_FRAME}', 1), '{p}')" for p in ("java.", "javax.", "jdk.", "sun.", "org.springframework.", "org.hibernate.", "org.apache.", "com.fasterxml.", "io.netty.", "reactor.", "kotlin."))
+_APP = " OR ".join(f"starts_with(regexp_extract(l, '{_FRAME}', 1), '{p}')" for p in ("com.game", "com.studio", "com.gameco"))
 _SPLIT = r"regexp_split_to_array(archive, '\r?\n')"
 _METHOD = rf"regexp_replace(regexp_extract(l, '{_FRAME}', 2), '\$lambda\$\d+', '$lambda', 'g')"
 _BUCKET = f"coalesce(':' || CAST((TRY_CAST(nullif(regexp_extract(l, '{_FRAME}', 4), '') AS INTEGER) // 10) * 10 AS VARCHAR), '')"
@@ -151,8 +152,9 @@ def f24_severity(spark, folder):
     return table(spark, folder, "events").select("event_id", parsing.parse_severity(raw).alias("severity"))
 
 
-_CODES = ", ".join(f"'{c}'" for c in parsing.CATEGORIES)
-_LABELS = " ".join(f"WHEN '{label}' THEN '{code}'" for code, label in parsing.CATEGORIES.items())
+#: Fixed values, written out a second time.
+_CODES = "'SYSTEM', 'ERROR', 'PERFORMANCE', 'NETWORK', 'GAMEPLAY', 'COMBAT', 'SKILL', 'ITEM', 'QUEST', 'STAGE', 'MATCH', 'SOCIAL', 'ECONOMY', 'PAYMENT', 'AUTH', 'ADMIN', 'CHEAT'"
+_LABELS = "WHEN '시스템' THEN 'SYSTEM' WHEN '에러' THEN 'ERROR' WHEN '성능' THEN 'PERFORMANCE' WHEN '네트워크' THEN 'NETWORK' WHEN '게임플레이' THEN 'GAMEPLAY' WHEN '전투' THEN 'COMBAT' WHEN '스킬' THEN 'SKILL' WHEN '아이템' THEN 'ITEM' WHEN '퀘스트' THEN 'QUEST' WHEN '스테이지' THEN 'STAGE' WHEN '매치' THEN 'MATCH' WHEN '소셜' THEN 'SOCIAL' WHEN '재화' THEN 'ECONOMY' WHEN '결제' THEN 'PAYMENT' WHEN '인증' THEN 'AUTH' WHEN '관리' THEN 'ADMIN' WHEN '치트' THEN 'CHEAT'"
 
 
 @query(
@@ -203,12 +205,17 @@ def f30_to_json(spark, folder):
     return table(spark, folder, "events").select("event_id", parsing.to_json_text(F.struct("event_type", "user_id")).alias("body"))
 
 
-_CHOSEONG = "list_transform(string_split(label, ''), lambda c: CASE WHEN c BETWEEN '가' AND '힣' THEN substr('ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ', CAST((ord(c) - 44032) // 588 + 1 AS INTEGER), 1) ELSE c END)"
-_LABEL_ROWS = ", ".join(f"('{label}')" for label in parsing.CATEGORIES.values())
+_CHOSEONG = "array_to_string(list_transform(string_split({}, ''), lambda c: CASE WHEN c BETWEEN '가' AND '힣' THEN substr('ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ', CAST((ord(c) - 44032) // 588 + 1 AS INTEGER), 1) ELSE c END), '')"
+_NAMES = "n AS (SELECT doc_id, chr(CAST(44032 + doc_id * 7919 % 11172 AS INTEGER)) || chr(CAST(44032 + coalesce(length(text), 0) * 31 % 11172 AS INTEGER)) || ' ' || source AS name FROM documents)"
 
 
-@query("x02_choseong", f"SELECT label, array_to_string({_CHOSEONG}, '') AS initials FROM (VALUES {_LABEL_ROWS}) AS t(label)")
+@query("x02_choseong", f"WITH {_NAMES}, k AS (SELECT doc_id, name, {_CHOSEONG.format('name')} AS key FROM n), w AS (SELECT DISTINCT left(key, 2) AS key FROM k UNION SELECT DISTINCT left(key, 1) FROM k) SELECT w.key, count(*) AS documents, min(doc_id) AS first, min(name) AS name FROM w JOIN k ON starts_with(k.key, w.key) GROUP BY w.key")
 def x02_choseong(spark, folder):
-    """Initial consonants of the category labels (declared search key)."""
-    labels = spark.createDataFrame([(label,) for label in parsing.CATEGORIES.values()], "label string")
-    return labels.select("label", text.choseong(F.col("label")).alias("initials"))
+    """Documents with names in Hangul, searched by one and two initial consonants."""
+    syllable = lambda n: F.decode(F.unhex(F.lpad(F.hex(44032 + n % 11172), 4, "0")), "UTF-16BE")
+    name = F.concat(syllable(F.col("doc_id") * 7919), syllable(F.coalesce(F.length("text"), F.lit(0)).cast("long") * 31), F.lit(" "), F.col("source"))
+    documents = table(spark, folder, "documents").select(F.col("doc_id").alias("document_id"), name.alias("document_name"))
+    keys = documents.select("document_id", text.choseong(F.col("document_name")).alias("key"))
+    wanted = keys.select(F.substring("key", 1, 2).alias("key")).unionAll(keys.select(F.substring("key", 1, 1).alias("key"))).distinct()
+    found = archive.by_initials(documents, wanted)
+    return found.groupBy("key").agg(F.count("*").alias("documents"), F.min("document_id").alias("first"), F.min("document_name").alias("name"))

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.control import retried
 from ..operators.ingest import decoded, split_rejected, without_repeats
-from ..operators.issues import merge, rollup
+from ..operators.issues import KEYS, merge, rollup, with_status
 from ..operators.months import expired
 from ..sources.logs import land, raw_stream
 from ..sources.messages import ROWS, message_stream
@@ -61,13 +61,24 @@ class Store:
         if not paths:
             return self.spark.createDataFrame([], ISSUE)
         stored = self.spark.read.schema(ISSUE).parquet(*paths)
-        return merge(stored, self.spark.createDataFrame([], ISSUE))
+        merged = merge(stored, self.spark.createDataFrame([], ISSUE))
+        return with_status(merged, self.statuses()) if self._listed("issues/statuses") else merged
+
+    def set_statuses(self, changes: DataFrame) -> None:
+        """States that were set by hand (project_id, fingerprint, new_status; once a key): a part of the store that wins over what a log begins with, and stays whatever batches come or are run again."""
+        numbers = [int(n.split("=")[1]) for n in self._listed("issues/statuses") if n.startswith("number=")]
+        changes.select(*KEYS, "new_status").write.parquet(f"{self.root}/issues/statuses/number={max(numbers, default=-1) + 1}")
+
+    def statuses(self) -> DataFrame:
+        """The last state that was set of each issue."""
+        rows = self.spark.read.schema("project_id string, fingerprint string, new_status string, number long").parquet(f"{self.root}/issues/statuses")
+        return rows.groupBy(*KEYS).agg(F.max_by("new_status", "number").alias("new_status"))
 
     def save_issues(self, issues: DataFrame, batch: int, kind: str = "parts") -> None:
         issues.select(*(c.split()[0] for c in ISSUE.split(", "))).write.mode("overwrite").parquet(f"{self.root}/issues/{kind}/batch={batch}")
 
     def merge_issues(self, batch: int) -> None:
-        """A base of all issues up to the batch; parts and bases that no reader needs go."""
+        """A base of all issues up to the batch (with the states that were set by hand); parts and bases that no reader needs go."""
         self.save_issues(self.issues(before=batch + 1), batch, "base")
         bases = self._batches("base")
         for n in bases[:-KEPT_BASES]:
