@@ -73,6 +73,25 @@ def test_bpe(spark, docs):
     assert encode_decode(empty(spark), BYTE_BPE).count() == 0
 
 
+@pytest.mark.parametrize("vocabulary", [BYTE_BPE])
+def test_long_words(vocabulary):
+    """Words without a break, up to a megabyte, as the library has them, within seconds."""
+    import base64
+    import time
+
+    from tidelog.llm.bpe import LONG, Bpe
+
+    rng, ours, theirs = random.Random(3), Bpe(vocabulary), library(vocabulary)
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    began = time.time()
+    assert ours.merge([letters.encode()])[0].tolist() == theirs.encode(letters, add_special_tokens=False).ids
+    assert time.time() - began < 60
+    words = ["a" * 30_000, "ab" * 5000, "é漢" * 2000, "".join(rng.choices("aab", k=20_000)), "".join(rng.choices("etaoin", k=20_000)), "thequickbrownfox" * 700, "x" * LONG, "x" * (LONG - 1)]
+    words += ["".join(c for c in base64.b64encode(rng.randbytes(30_000)).decode() if c.isalpha())]
+    for word, ids in zip(words, ours.merge([w.encode() for w in words]), strict=True):
+        assert ids.tolist() == theirs.encode(word, add_special_tokens=False).ids == ours._in_rounds([word.encode()])[0].tolist(), word[:20]
+
+
 def test_spaces_between_other_white_space(spark):
     runs = [f"a{w} {w}b" for w in ("\u00a0", " \u00a0", "\n", " \n", "\t", "\u2003", " \u3000", "\x85", "\u2028", "\u202f")]
     runs += ["a \u00a0 \u00a0 b", "x \u00a0 \u00a0 \u00a0 y", "a\u00a0 <|endoftext|>", "a\n <|endoftext|> \n b", "a \n \n b", "a \u00a0b", "a\u00a0 b", "\u00a0 \u00a0", "\u00a0 a \u00a0"]

@@ -13,7 +13,9 @@ null ids and other columns do no harm.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from .pretokens import Memo, PreTokens, slices, texts_of
 
 NONE = np.iinfo(np.int64).max
+#: Bytes from which on a word goes by itself.
+LONG = 1024
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -47,6 +51,7 @@ class Bpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.rank_of: dict[int, int] = {}
         texts = [b""] * self.size
         for token, i in vocab.items():
             texts[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
@@ -56,15 +61,68 @@ class Bpe:
         self.chunks, self.words = Memo(), Memo()
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word, by merge rounds over one flat array."""
+        """The ids of each word."""
+        short = iter(self._in_rounds([w for w in words if len(w) < LONG]))
+        return [next(short) if len(w) < LONG else self._by_queue(w) for w in words]
+
+    def _ranks(self, symbols: np.ndarray) -> np.ndarray:
+        """The rank of each adjacent pair."""
+        keys = symbols[:-1] * self.size + symbols[1:]
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[place] == keys, self.ranks[place], NONE)
+
+    def _by_queue(self, word: bytes) -> np.ndarray:
+        """The ids of one long word: the lowest rank first, its places from left to right, as far as they are still there. Links to the neighbours stand in for the array."""
+        if not self.rank_of:
+            self.rank_of = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        start = self.of_byte[np.frombuffer(word, np.uint8)]
+        ranks, end, size, rank_of = self._ranks(start), len(start), self.size, self.rank_of
+        symbols, rank = array("q", start.tobytes()), array("q", np.append(ranks, NONE).tobytes())
+        after, before = array("q", np.arange(1, end + 1).tobytes()), array("q", np.arange(-1, end - 1).tobytes())
+        order = np.argsort(ranks, kind="stable")[: int((ranks != NONE).sum())]
+        values, firsts = np.unique(ranks[order], return_index=True)
+        places = {v: p.tolist() for v, p in zip(values.tolist(), np.split(order, firsts[1:]), strict=True)} if len(values) else {}
+        queue = list(places)
+        while queue:
+            now = heappop(queue)
+            waiting = sorted(places.pop(now))
+            for n, p in enumerate(waiting):
+                if rank[p] != now:
+                    continue
+                gone, lowest = after[p], now
+                symbols[p] = self.merged[now]
+                after[p] = after[gone]
+                rank[gone] = NONE
+                if after[gone] < end:
+                    before[after[gone]] = p
+                for q in (before[p], p):
+                    if q >= 0:
+                        rank[q] = r = rank_of.get(symbols[q] * size + symbols[after[q]], NONE) if after[q] < end else NONE
+                        if r != NONE:
+                            lowest = min(lowest, r)
+                            if r not in places:
+                                places[r] = []
+                                heappush(queue, r)
+                            places[r].append(q)
+                if lowest < now:  # the rest waits for what has become possible before it
+                    if now not in places:
+                        places[now] = []
+                        heappush(queue, now)
+                    places[now] += waiting[n + 1 :]
+                    break
+        links, at, out = after, 0, []
+        while at < end:
+            out.append(symbols[at])
+            at = links[at]
+        return np.array(out, np.int32)
+
+    def _in_rounds(self, words: list[bytes]) -> list[np.ndarray]:
+        """By merge rounds over one flat array."""
         lengths = np.array([len(w) for w in words], np.int64)
         symbols, word = self.of_byte[np.frombuffer(b"".join(words), np.uint8)], np.repeat(np.arange(len(words)), lengths)
         done_symbols, done_words = [], []
         while len(symbols):
-            keys = symbols[:-1] * self.size + symbols[1:]
-            place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            known = (self.keys[place] == keys) & (word[:-1] == word[1:])
-            rank = np.append(np.where(known, self.ranks[place], NONE), NONE)
+            rank = np.append(np.where(word[:-1] == word[1:], self._ranks(symbols), NONE), NONE)
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             per_word = np.diff(np.append(first, len(word)))
             lowest = np.repeat(np.minimum.reduceat(rank, first), per_word)
