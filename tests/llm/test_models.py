@@ -311,3 +311,24 @@ def test_pipeline(spark):
     assert sorted(r[0] for r in packed.select("doc_id").distinct().collect()) == ids("near_dedup")
     whole = corpus_pipeline.run(spark, FOLDER)
     assert whole.agg(F.sum("length")).first() == packed.agg(F.sum("length")).first()
+
+
+def test_toxicity_of_a_long_word(monkeypatch):
+    """A word of many pieces has the mean of all its subwords, as in one go; memory stays that of a piece."""
+    import tracemalloc
+
+    from tidelog.llm import toxicity
+
+    model = toxicity.SubwordSoftmax()
+    model.odds, model.start = np.random.default_rng(1).normal(size=toxicity.BUCKETS), 0.0
+    word = "".join(np.random.default_rng(2).choice(list("abcdefgé"), 5000))
+    words = ["", "ab", word, "x", "--" + word[:700] + "--", "word"]
+    whole = model._of_words(words)
+    for piece in (7, 64, 699, 5002):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        assert np.allclose(model._of_words(words), whole, rtol=1e-12, atol=1e-15)
+    monkeypatch.setattr(toxicity, "PIECE", 1 << 18)
+    tracemalloc.start()
+    model._of_words([word * 3200])  # 16 million characters
+    assert tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()

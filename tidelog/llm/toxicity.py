@@ -31,17 +31,24 @@ EPOCHS, LEAST_STEPS, BATCH, RATE, WEIGHT_RATE, DECAY = 20, 200, 64, 0.1, 0.1, 1e
 LEAST_DOCS, PRIOR_DOCS, LEAST_CONTRAST = 3, 5, 3.0
 #: Documents that are taken apart at once while fitting.
 PASS_DOCS = 128
+#: Characters of words that are taken apart at once when scoring (a longer word goes piece by piece), and of the longest word that anything is learnt from.
+PIECE, LONGEST_LEARNT = 1 << 18, 10_000
 FOLDS, HELD_OUT_FOLD, THRESHOLD = 5, 0, 0.5
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def subwords(distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The word number and bucket of every subword; words lose what is no letter or digit at their ends."""
-    bare = ["<" + _bare(w) + ">" for w in distinct]
-    size = np.array([len(w) for w in bare], np.int64)
-    chars = np.frombuffer("".join(bare).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    word = np.repeat(np.arange(len(bare)), size)
+    return _grams(["<" + _bare(w) + ">" for w in distinct])
+
+
+def _grams(marked: list[str], starts: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of words with their boundary marks; starts: only those that begin among so many first characters."""
+    size = np.array([len(w) for w in marked], np.int64)
+    chars = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    word = np.repeat(np.arange(len(marked)), size)
     left = np.repeat(np.cumsum(size), size) - np.arange(len(chars))  # characters from here to the word's end
+    left[len(chars) if starts is None else starts :] = 0
     with np.errstate(over="ignore"):
         numbers, hashes, running = [], [], chars * MIX
         for n in range(2, NGRAMS[-1] + 1):
@@ -73,7 +80,7 @@ def document_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key, counts = np.unique(of_text * len(distinct) + codes, return_counts=True)
     doc, word = key // len(distinct), key % len(distinct)
     share = counts / np.bincount(of_text, minlength=len(texts))[doc]
-    number, bucket = subwords(distinct)
+    number, bucket = subwords([w if len(w) <= LONGEST_LEARNT else "" for w in distinct])
     bucket = bucket[np.argsort(number, kind="stable")]
     per_word = np.bincount(number, minlength=len(distinct))
     first = np.cumsum(per_word) - per_word
@@ -165,9 +172,27 @@ class SubwordSoftmax:
         return self
 
     def _of_words(self, distinct: list[str]) -> list[float]:
-        number, bucket = subwords(distinct)
-        total = np.bincount(number, weights=self.odds[bucket], minlength=len(distinct))
-        return (total / np.maximum(1, np.bincount(number, minlength=len(distinct)))).tolist()
+        """The mean of each word's subwords, words of about ``PIECE`` characters at a time."""
+        out: list[float] = []
+        ends = np.cumsum([len(w) for w in distinct])
+        at = 0
+        while at < len(distinct):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, side="right")))
+            if len(distinct[at]) > PIECE:
+                out.append(self._of_long_word(distinct[at]))
+            else:
+                number, bucket = subwords(distinct[at:to])
+                total = np.bincount(number, weights=self.odds[bucket], minlength=to - at)
+                out += (total / np.maximum(1, np.bincount(number, minlength=to - at))).tolist()
+            at = to
+        return out
+
+    def _of_long_word(self, word: str) -> float:
+        marked, total, n = "<" + _bare(word) + ">", 0.0, 0
+        for at in range(0, len(marked), PIECE):
+            _, bucket = _grams([marked[at : at + PIECE + NGRAMS[-1] - 1]], PIECE)
+            total, n = total + float(self.odds[bucket].sum()), n + len(bucket)
+        return total / max(1, n)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         of_text, codes, distinct = words(texts)
