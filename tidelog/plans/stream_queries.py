@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from ..operators import ingest
 from ..sources import logs
 from ..sources.messages import append_segments
-from ..sources.tables import table, work_folder
+from ..sources.schemas import RAW_FIELDS
+from ..sources.tables import event_logs, table, work_folder
 from ..streaming.ingest import Store, backlog, drop_expired, retry_rejected, start_ingestion, start_message_ingestion, take_batch
 from ..streaming.state import expiring_store, limit_rate
-from .log_queries import _REASON, _now, _plain_times, _raw
+from .log_queries import _REASON, ISSUES, _now, _plain_times, _raw
 from .registry import SQL, query
 
 PARTS = 3
@@ -72,6 +73,23 @@ def t10_stream_issues(spark, folder):
     return _streamed(spark, folder).issues().select("project_id", "fingerprint", "occurrence_count", "first_seq", "last_seq")
 
 
+@query("t10_stream_tiers", f"WITH {ISSUES} SELECT project_id, fingerprint, title, status, severity, fingerprint_quality, occurrence_count, first_seq, last_seq FROM issues")
+def t10_stream_tiers(spark, folder):
+    """Issues of all five tiers of the fingerprint, through the stream in three batches (t10, t11, j04)."""
+    root = work_folder(spark, "tiers")
+    uid = lambda c: F.concat(F.lit("550e8400-e29b-41d4-a716-"), F.lpad(c.cast("string"), 12, "0"))
+    fields = {
+        "logId": uid(F.col("arrival_seq")), "projectId": uid(F.col("project_id")), "sessionId": F.lit("s"), "userId": F.col("user_id").cast("string"), "severity": F.lower("severity"), "eventCategory": F.lower("event_category"), "archive": F.col("archive"),
+        "occurredAt": F.concat(F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")), "attributes": F.col("attributes"),
+    }
+    raw = event_logs(spark, folder).select(*(fields.get(f, F.lit(None).cast("string")).alias(f) for f in RAW_FIELDS), "arrival_seq", F.lit(None).cast("int").alias("retryCount"))
+    for k in range(PARTS):
+        logs.land(raw.where(F.col("arrival_seq") % PARTS == k).coalesce(1), f"{root}/in")
+    start_ingestion(spark, f"{root}/in", f"{root}/store", now=_now()).awaitTermination()
+    found = Store(spark, f"{root}/store").issues()
+    return found.select(F.right("project_id", F.lit(1)).cast("long").alias("project_id"), "fingerprint", "title", "status", "severity", "fingerprint_quality", "occurrence_count", "first_seq", "last_seq")
+
+
 @query("d10_stream_status", f"WITH g AS ({SQL['s05_decode']}) SELECT project_id, CASE WHEN right(project_id, 1) IN ('1', '3') THEN 'RESOLVED' ELSE 'UNRESOLVED' END AS status, count(*) AS occurrences FROM g GROUP BY ALL")
 def d10_stream_status(spark, folder):
     """States set by hand between two batches of the stream's store, one of which runs again (d10)."""
