@@ -50,7 +50,7 @@ def found_by(result):
     return sorted(((r["item_id"], r["rank"], r["doc_id"], r["score"]) for r in result.collect()), key=str)
 
 
-@pytest.mark.parametrize(("shard_docs", "block_bytes"), [(2048, 1 << 20), (8, 400)])
+@pytest.mark.parametrize(("shard_docs", "block_bytes"), [(256, 1 << 20), (8, 400)])
 def test_equals_scoring_all(spark, shard_docs, block_bytes):
     docs, items = rows_of(3)
     frame = spark.createDataFrame([(i, t, "x", 1.5) for i, t in docs], "doc_id long, text string, item string, score double").repartition(3)

@@ -34,7 +34,7 @@ TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <=
 #: Documents of the sample that the bisection is fitted on, hashed terms of each, hash values of terms, and levels at most (so the tree has 16 MB at most).
 SAMPLE, SAMPLE_TERMS, TERM_IDS, LEVELS = 4096, 256, 1 << 14, 9
 #: Documents of a shard at most; bytes of the queries of a block; bytes of a text that are split at once; queries' bounds in a row at most.
-SHARD, BLOCK_BYTES, PIECE, BLOCK_ITEMS = 2048, 2 << 20, 1 << 20, 2048
+SHARD, BLOCK_BYTES, PIECE, BLOCK_ITEMS = 256, 2 << 20, 1 << 20, 2048
 LAST = 2**63 - 1
 
 
