@@ -245,8 +245,8 @@ def _layouts(spark, folder, **more):
     return read_layouts(spark, root, _LAYOUTS, _TODAY, **more)
 
 
-_LAYOUT_ROWS = """e AS (SELECT event_id, event_type, user_id, ts + INTERVAL 1 DAY * (event_id % 60) AS at FROM events),
-  t AS (SELECT CAST(event_id AS VARCHAR) AS log_id, at AS occurred_at, event_type AS archive, CASE WHEN at < TIMESTAMP '2024-02-01' THEN 'unknown-session' ELSE 's' || user_id END AS session_id, CASE WHEN at < TIMESTAMP '2024-02-01' THEN TIMESTAMP '2024-02-01' ELSE at END AS created_at FROM e)"""
+_LAYOUT_ROWS = """e AS (SELECT event_id, event_type, user_id, ts + INTERVAL 1 DAY * (event_id % 60) AS happened FROM events),
+  t AS (SELECT CAST(event_id AS VARCHAR) AS log_id, happened AS occurred_at, event_type AS archive, CASE WHEN happened < TIMESTAMP '2024-02-01' THEN 'unknown-session' ELSE 's' || user_id END AS session_id, CASE WHEN happened < TIMESTAMP '2024-02-01' THEN TIMESTAMP '2024-02-01' ELSE happened END AS created_at FROM e)"""
 
 
 @query("d13_evolve", f"WITH {_LAYOUT_ROWS} SELECT * FROM t")
