@@ -2,6 +2,8 @@
 
 import json
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +65,36 @@ def test_elements_of_a_wrong_type_are_set_aside(spark, tmp_path):
     (_, ids), = run(spark, path, tmp_path, 100)
     assert ids == ["[1]", '"text"', "broken", "", '{"logId": {"a": 1}}', '{"arrival_seq": "x"}', "good", None]
     assert fields_of('{"logId": "good", "userId": 7}') == ({"logId": "good", "userId": "7"}, None)
+
+
+def test_a_backlog_is_taken_in_few_batches(spark, tmp_path):
+    """Equal batches across segments while a backlog lasts, each message once; then batches of rows again."""
+    path = f"file://{tmp_path}/log"
+    for low, high in ((0, 70), (70, 71), (71, 203)):
+        append_segments(sent(spark, range(low, high)).coalesce(1), path)
+    reader, at, sizes, got = MessageReader({"path": path, "rows": "5", "catch_up": "4"}), {"segment": 0, "record": 0}, [], []
+
+    def take():
+        nonlocal at
+        end = reader.latestOffset()
+        rows = [n for r in reader.partitions(at, end) for batch in reader.read(r) for n in batch.column("arrival_seq").to_pylist()]
+        at, sizes[len(sizes) :], got[len(got) :] = end, [len(rows)], rows
+
+    for _ in range(4):
+        take()
+    assert sizes == [51, 51, 51, 50] and got == list(range(203))
+    append_segments(sent(spark, range(203, 220)).coalesce(1), path)
+    for _ in range(4):
+        take()
+    assert sizes[4:] == [5, 5, 5, 2] and got == list(range(220))
+
+
+def test_long_segments_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    """Several tasks read a segment, and each only the row groups that it needs."""
+    monkeypatch.setattr("tidelog.sources.messages.RANGE", 30)
+    table = pa.table({"value": [json.dumps({"arrival_seq": n}) for n in range(100)]})
+    pq.write_table(table, tmp_path / "segment-000000000000.parquet", row_group_size=16)
+    reader = MessageReader({"path": f"file://{tmp_path}", "rows": "100"})
+    ranges = reader.partitions({"segment": 0, "record": 3}, {"segment": 0, "record": 97})
+    assert [(r.first, r.end) for r in ranges] == [(3, 33), (33, 63), (63, 93), (93, 97)]
+    assert [n for r in ranges for batch in reader.read(r) for n in batch.column("arrival_seq").to_pylist()] == list(range(3, 97))

@@ -1,8 +1,9 @@
 """A message log of numbered segments as a streaming source with offsets.
 
 A segment is a Parquet file of messages (one text column, ``value``), named by its number; its footer tells how many there are, so no segment is opened to plan a batch. An offset is (segment, record): so many records of that
-segment, and all before it, are taken. A batch takes ``rows`` messages at most, across the borders of segments, and any range can be read again. A message is a JSON object whose values are texts, numbers or null; anything else is
-set aside: it comes with its own text in ``wrong`` and no fields.
+segment, and all before it, are taken. A batch takes ``rows`` messages at most, across the borders of segments, and any range can be read again. With ``catch_up``, a backlog that would take more batches than that is taken in so many
+equal ones, as a batch has a fixed cost; once it is used up, ``rows`` is the bound again. A batch is read in ranges of at most ``RANGE`` records. A message is a JSON object whose values are texts, numbers or null; anything else is set
+aside: it comes with its own text in ``wrong`` and no fields.
 
 Spark tells a source of this kind where a batch begins only after it has asked where the batch shall end, so the source looks the last planned offset up in the query's checkpoint, which is therefore an option of it.
 """
@@ -13,6 +14,7 @@ import json
 import re
 import uuid
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -23,6 +25,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from .schemas import RAW_FIELDS
 
 ROWS = 500
+#: Records of a task.
+RANGE = 50_000
 SCHEMA = ", ".join(f"{f} string" for f in RAW_FIELDS) + ", arrival_seq long, retryCount int, segment long, record long, wrong string"
 NAME = re.compile(r"segment-(\d+)\.parquet")
 COUNTERS = ("arrival_seq", "retryCount")
@@ -66,6 +70,7 @@ class Range(InputPartition):
 class MessageReader(DataSourceStreamReader):
     def __init__(self, options):
         self.path, self.rows, self.checkpoint = options["path"].rstrip("/"), int(options.get("rows", ROWS)), options.get("checkpoint")
+        self.catch_up, self.size, self.used_up = int(options.get("catch_up", 0)), 0, False
         self.counts: dict[int, int] = {}
         self.at: tuple[int, int] | None = None
 
@@ -103,8 +108,13 @@ class MessageReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         segment, record = self.at if self.at is not None else self._planned()
-        left = self.rows
-        for n in self._listed():
+        listed = self._listed()
+        waiting = sum(self.counts[n] for n in listed if n >= segment) - (record if segment in listed else 0)
+        if self.catch_up:
+            self.size = max(self.size, -(-waiting // self.catch_up))
+        left = max(self.rows, self.size)
+        self.used_up = waiting <= left
+        for n in listed:
             if n < segment or left <= 0:
                 continue
             begin = record if n == segment else 0
@@ -115,21 +125,26 @@ class MessageReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
         self.at = end["segment"], end["record"]
+        if self.used_up:
+            self.size = 0
         ranges = []
         for n in self._listed():
             if start["segment"] <= n <= end["segment"]:
                 first = start["record"] if n == start["segment"] else 0
                 last = end["record"] if n == end["segment"] else self.counts[n]
-                if first < last:
-                    ranges.append(Range(n, first, last))
+                ranges += [Range(n, at, min(at + RANGE, last)) for at in range(first, last, RANGE)]
         return ranges
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         names, kinds = [*RAW_FIELDS, *COUNTERS, "segment", "record", "wrong"], [pa.string()] * len(RAW_FIELDS) + [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
         fs, file = self._opened(self._name(partition.segment))
         with fs.open_input_file(file) as opened:
-            at = 0
-            for batch in pq.ParquetFile(opened).iter_batches(batch_size=4096, columns=["value"]):
+            file = pq.ParquetFile(opened)
+            sizes = [file.metadata.row_group(g).num_rows for g in range(file.num_row_groups)]
+            ends = list(accumulate(sizes))
+            groups = [g for g, (size, end) in enumerate(zip(sizes, ends, strict=True)) if end > partition.first and end - size < partition.end]
+            at = ends[groups[0]] - sizes[groups[0]]
+            for batch in file.iter_batches(batch_size=4096, row_groups=groups, columns=["value"]):
                 begin, end = max(0, partition.first - at), min(len(batch), partition.end - at)
                 if begin < end:
                     made = [fields_of(text) for text in batch.column("value").slice(begin, end - begin).to_pylist()]
@@ -158,7 +173,7 @@ class MessageLog(DataSource):
         return MessageReader(self.options)
 
 
-def message_stream(spark: SparkSession, path: str, checkpoint: str, rows: int = ROWS) -> DataFrame:
-    """The messages as a stream of batches of ``rows`` at most; checkpoint: the folder that the query is started with."""
+def message_stream(spark: SparkSession, path: str, checkpoint: str, rows: int = ROWS, catch_up: int = 0) -> DataFrame:
+    """The messages as a stream of batches of ``rows`` at most, but for a backlog of more than ``catch_up`` batches (0: always); checkpoint: the folder that the query is started with."""
     spark.dataSource.register(MessageLog)
-    return spark.readStream.format("tidelog_messages").option("rows", rows).option("checkpoint", checkpoint).load(path)
+    return spark.readStream.format("tidelog_messages").option("rows", rows).option("catch_up", catch_up).option("checkpoint", checkpoint).load(path)

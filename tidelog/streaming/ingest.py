@@ -23,6 +23,8 @@ from ..sources.schemas import GAME_LOG, ISSUE, RAW_FIELDS, RAW_MESSAGE
 from ..sources.segments import Segments
 
 MERGE_EVERY, KEPT_BASES = 16, 2
+#: Batches that a backlog of the message log is taken in at most.
+CATCH_UP = 8
 LOG_COLUMNS = [c.split()[0] for c in GAME_LOG.split(", ")]
 REJECTED = GAME_LOG + ", reason string, raw string, retry_count int"
 #: Elements of the message log that are no messages, by their place in it.
@@ -136,17 +138,24 @@ def start_ingestion(spark: SparkSession, landing: str, root: str, files_per_trig
 
 
 def start_message_ingestion(spark: SparkSession, path: str, root: str, rows: int = ROWS, now: Column | None = None, every: str | None = None) -> StreamingQuery:
-    """As ``start_ingestion``, from the message log at ``path``, ``rows`` messages a batch at most. Runs until stopped; ``processAllAvailable`` waits for what is there. Elements of a wrong type are kept aside as rows of kind ``wrong``."""
+    """As ``start_ingestion``, from the message log at ``path``, ``rows`` messages a batch at most (more if a backlog would take over ``CATCH_UP`` batches). Runs until stopped; ``processAllAvailable`` waits for what is there. Elements of a wrong type are kept aside as rows of kind ``wrong``."""
     store = Store(spark, root)
 
     def take(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()  # else the source would be read for each of the kinds
+        try:
+            _take(batch, number)
+        finally:
+            batch.unpersist()
+
+    def _take(batch: DataFrame, number: int) -> None:
         wrong = batch.where("wrong IS NOT NULL").select(F.col("segment").alias("message_segment"), F.col("record").alias("message_record"), F.col("wrong").alias("body"), (F.current_timestamp() if now is None else now).alias("occurred_at"))
         if not wrong.isEmpty():
             store.save_rows(wrong, "wrong", number)
         place = F.col("segment") * 2**32 + F.col("record")
         take_batch(store, batch.where("wrong IS NULL").withColumn("arrival_seq", F.coalesce("arrival_seq", place)).select(*RAW_FIELDS, "arrival_seq", "retryCount"), number, now)
 
-    writer = message_stream(spark, path, f"{root}/checkpoint", rows).writeStream.foreachBatch(take).option("checkpointLocation", f"{root}/checkpoint")
+    writer = message_stream(spark, path, f"{root}/checkpoint", rows, CATCH_UP).writeStream.foreachBatch(take).option("checkpointLocation", f"{root}/checkpoint")
     return (writer.trigger(processingTime=every) if every else writer).start()
 
 
