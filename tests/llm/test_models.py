@@ -380,3 +380,33 @@ def test_toxicity_of_a_long_word(monkeypatch):
     model._of_words([word * 3200])  # 16 million characters
     assert tracemalloc.get_traced_memory()[1] < 400e6
     tracemalloc.stop()
+
+
+def test_quality_is_learnt_from_all_labelled_rows(spark, monkeypatch):
+    """No row is left out, however small a class's sample used to be: mean, pairs and cut of all rows, in numpy."""
+    from tidelog.llm import labelled, quality
+
+    monkeypatch.setattr(labelled.training_sample, "__defaults__", (8, *labelled.training_sample.__defaults__[1:]))
+    rng = np.random.default_rng(5)
+    docs = [(n, " ".join(rng.choice(["plain", "words", "##", "|", "12", "GOOD"], 30, p=[0.4, 0.3, 0.1, 0.1, 0.05, 0.05] if n % 3 else [0.3, 0.2, 0.2, 0.2, 0.05, 0.05]))) for n in range(1, 400)]
+    marks = [(n, int(n % 3 > 0)) for n, _ in docs if n % 5]
+    made = []
+    monkeypatch.setattr(quality, "score_rows", lambda docs, model, *_: made.append(model))
+    score_quality(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int"))
+    texts = dict(docs)
+    fit = [(n, y) for n, y in marks if zlib.crc32(str(n).encode()) % 4 != 2]
+    rows = quality.features(texts_of(pa.array([texts[n] for n, _ in fit])))
+    assert np.allclose(made[0].mean, rows.mean(0)) and np.allclose(made[0].spread, np.maximum(rows.std(0), 1e-6))
+    strength = np.sort(quality.strengths(rows, made[0].mean, made[0].spread, made[0].weights))
+    bad = sum(y == 0 for _, y in fit)
+    assert abs(made[0].cut - strength[bad - 1 : bad + 1].mean()) < 1e-9
+
+
+def test_pairs_take_every_row(spark):
+    """Each row of the larger class is in one pair, and each of the smaller one in some, also where it is far smaller."""
+    from tidelog.llm import quality
+
+    for n0, n1 in ((9000, 30), (40, 9000), (5000, 6000)):
+        rows = spark.range(n0 + n1).select((F.col("id") >= n0).cast("int").alias("label"), F.array(F.when(F.col("id") < n0, -F.col("id")).otherwise(0).cast("double"), F.when(F.col("id") >= n0, F.col("id")).otherwise(0).cast("double")).alias("x"), F.xxhash64("id").alias("order"))
+        x = np.array([r["x"] for r in quality.preferences(rows, {0: n0, 1: n1}, np.zeros(2), np.ones(2)).collect()])
+        assert len(x) == max(n0, n1) and set(x[:, 0]) == set(range(n0)) and set(x[:, 1]) == set(range(n0, n0 + n1))

@@ -21,6 +21,12 @@ def held_out(id_column: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(crc32_text(id_column), F.lit(folds)) == fold, F.lit(False))
 
 
+def usable_labels(labels: DataFrame, label: str, folds: int, fold: int, id_col: str = "doc_id") -> DataFrame:
+    """id, label (0 or 1) of the ids that are not held out; an id with both labels counts as 1."""
+    usable = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(id_col), folds, fold))
+    return usable.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> tuple[pa.Table, dict[int, int]]:
     """(text, label) of the sampled rows, and the count of each class among all labelled rows that are not held out.
 
@@ -29,8 +35,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     than 0 and 1 and rows without an id are left out; an id with both labels counts as 1, an id with several texts counts with the shortest (of equal ones, the least hash). All but the last step
     handles ids and sizes only. An error is raised when a class has texts and none of them fits.
     """
-    usable = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(id_col), folds, fold))
-    known = usable.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    known = usable_labels(labels, label, folds, fold, id_col)
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     chosen = known.where("label = 0").orderBy(F.xxhash64("id")).limit(sample).unionAll(known.where("label = 1").orderBy(F.xxhash64("id")).limit(sample))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
