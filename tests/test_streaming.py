@@ -202,3 +202,22 @@ def test_counters(spark):
     df.collect()
     assert seen.get == {"rows": 2, "flagged": 1}
     assert Progress().batches == {}
+
+
+@pytest.mark.parametrize("name", ["s01_stream_logs"])
+def test_messages_are_landed_and_taken_by_many_tasks(spark, monkeypatch, name):
+    """However few row groups the events lie in: no step of the query goes through one task."""
+    from tidelog.plans import stream_queries
+
+    class Seen(Exception):
+        pass
+
+    def seen(*args):
+        raise Seen(next(a for a in args if hasattr(a, "rdd")).rdd.getNumPartitions())
+
+    monkeypatch.setattr(stream_queries.logs, "land", seen)
+    monkeypatch.setattr(stream_queries, "take_batch", seen)
+    assert spark.read.parquet(f"{FOLDER}/events.parquet").rdd.getNumPartitions() == 1
+    with pytest.raises(Seen) as parts:
+        getattr(stream_queries, name)(spark, FOLDER)
+    assert parts.value.args[0] >= spark.sparkContext.defaultParallelism

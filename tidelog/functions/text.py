@@ -87,10 +87,16 @@ def mask_numbers(c: Column) -> Column:
 STEPS = (mask_uuids, mask_ips, mask_timestamps, mask_paths, mask_players, mask_items, mask_addresses, mask_numbers)
 #: What a text must hold for a step to change it; the others look at digits, which most messages have.
 NEEDED = {mask_uuids: "-", mask_paths: "[/\\\\]", mask_players: "player_", mask_items: "item_", mask_addresses: "@"}
+#: A text without any of these can only have its numbers masked: a time has hyphens, an address dots.
+ANY_NEEDED = r"[-./\\@]|player_|item_"
 
 
 def normalize_message(c: Column) -> Column:
     """What varies between occurrences of one message, masked. Null and empty stay."""
+    return let(c, lambda x: F.when(x.rlike(ANY_NEEDED), _all_steps(x)).otherwise(mask_numbers(x)))
+
+
+def _all_steps(c: Column) -> Column:
     for step in STEPS:
         c = let(c, _where_needed(step)) if step in NEEDED else step(c)
     return c

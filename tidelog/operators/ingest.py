@@ -91,10 +91,15 @@ def in_month_window(ts: Column, now: Column, back: int = MONTHS_BACK, ahead: int
     return (ts >= F.add_months(month, -back)) & (ts < F.add_months(month, ahead + 1))
 
 
+def with_month_checked(rows: DataFrame, now: Column | None = None) -> DataFrame:
+    """Decoded rows whose ``reason`` also says out_of_range, where the month is outside the window."""
+    now = F.current_timestamp() if now is None else now
+    return rows.withColumn("reason", F.coalesce("reason", F.when(~in_month_window(F.col("occurred_at"), now), "out_of_range")))
+
+
 def split_rejected(rows: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Good logs and the rejected ones with their reason; months outside the window are rejected as out_of_range."""
-    now = F.current_timestamp() if now is None else now
-    marked = rows.withColumn("reason", F.coalesce("reason", F.when(~in_month_window(F.col("occurred_at"), now), "out_of_range")))
+    marked = with_month_checked(rows, now)
     return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL")
 
 

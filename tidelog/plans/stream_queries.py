@@ -19,30 +19,35 @@ from .log_queries import _REASON, ISSUES, _now, _plain_times, _raw
 from .registry import SQL, query
 
 PARTS = 3
+#: More files than a part has.
+ALL_FILES = 1_000_000
 #: Seconds at which streamed events begin: a row at zero would be behind the first watermark.
 EPOCH = 1_700_000_000
 
 
-def _landed(spark, folder, landing: str) -> list[DataFrame]:
-    """The messages in several files, and the same as tables."""
+def _parts(spark, folder) -> list[DataFrame]:
+    """The messages in several parts."""
     raw = _raw(spark, folder).withColumn("retryCount", F.lit(None).cast("int"))
-    parts = [raw.where(F.col("arrival_seq") % PARTS == k) for k in range(PARTS)]
+    return [raw.where(F.col("arrival_seq") % PARTS == k) for k in range(PARTS)]
+
+
+def _ingested(spark, parts: list[DataFrame], root: str) -> None:
+    """Each part through the stream as a batch of its own, of files that all tasks have written: landed while the stream stands still, and taken when it goes on from its checkpoint."""
     for part in parts:
-        logs.land(part.coalesce(1), landing)
-    return parts
+        logs.land(logs.dealt(part), f"{root}/in")
+        start_ingestion(spark, f"{root}/in", f"{root}/store", files_per_trigger=ALL_FILES, now=_now()).awaitTermination()
 
 
 def _streamed(spark, folder) -> Store:
     """All messages through the stream; then its second batch once more, as after a failure, and a batch of messages that came before."""
     root = work_folder(spark, "stream")
-    parts = _landed(spark, folder, f"{root}/in")
-    stream = start_ingestion(spark, f"{root}/in", f"{root}/store", now=_now())
-    stream.awaitTermination()
+    parts = _parts(spark, folder)
+    _ingested(spark, parts, root)
     store = Store(spark, f"{root}/store")
     again = store.rows("logs", 1).select("arrival_seq").unionByName(store.rows("rejected", 1).select("arrival_seq"))
     seen = [r[0] for r in again.agg(F.min(F.col("arrival_seq") % PARTS)).collect()]
-    take_batch(store, parts[seen[0]], 1, _now())
-    take_batch(store, parts[0], PARTS, _now())
+    take_batch(store, logs.dealt(parts[seen[0]]), 1, _now())
+    take_batch(store, logs.dealt(parts[0]), PARTS, _now())
     return store
 
 
@@ -108,7 +113,7 @@ def d10_stream_status(spark, folder):
 def t04_retry(spark, folder):
     """Messages that are out of range at first, rejected and landed again: what is stored then, and what is rejected once more."""
     root = work_folder(spark, "retry")
-    raw = reduce(DataFrame.unionAll, _landed(spark, folder, f"{root}/in"))
+    raw = _raw(spark, folder).withColumn("retryCount", F.lit(None).cast("int"))
     store = Store(spark, f"{root}/store")
     take_batch(store, raw, 0, F.lit("2023-01-01 00:00:00").cast("timestamp"))
     retry_rejected(store, f"{root}/again")
@@ -165,9 +170,11 @@ def d12_drop_month(spark, folder):
 def a15_backlog(spark, folder):
     """What waits in the landing folder and what is set aside (a15, s16, t15)."""
     root = work_folder(spark, "backlog")
-    raw = reduce(DataFrame.unionAll, _landed(spark, folder, f"{root}/in"))
+    parts = _parts(spark, folder)
+    for part in parts:
+        logs.land(part.coalesce(1), f"{root}/in")  # a file each: they are counted
     store = Store(spark, f"{root}/store")
-    take_batch(store, raw, 0, _now())
+    take_batch(store, reduce(DataFrame.unionAll, parts), 0, _now())
     found = backlog(store, f"{root}/in")
     return spark.createDataFrame([(k, found[k]) for k in ("dead", "files", "rejected")], "gauge string, value long")
 

@@ -22,6 +22,11 @@ def raw_batch(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW_MESSAGE).json(path)
 
 
+def dealt(messages: DataFrame, each: int = 4) -> DataFrame:
+    """The messages over so many parts a core, however few files or row groups they come from: decoding or writing them costs far more than a shuffle."""
+    return messages.repartition(each * messages.sparkSession.sparkContext.defaultParallelism)
+
+
 def land(messages: DataFrame, path: str) -> None:
     """Appends messages to a landing folder."""
     messages.write.mode("append").json(path)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.control import retried
-from ..operators.ingest import decoded, split_rejected, without_repeats
+from ..operators.ingest import decoded, split_rejected, with_month_checked, without_repeats
 from ..operators.issues import KEYS, merge, rollup, with_status
 from ..operators.months import expired
 from ..sources.logs import land, raw_stream
@@ -116,8 +116,9 @@ class Store:
 
 def take_batch(store: Store, raw: DataFrame, batch: int, now: Column | None = None) -> None:
     """One micro-batch: logs first, then rejected rows, then issues; the checkpoint moves on when all are written."""
-    message = F.to_json(F.struct(*RAW_FIELDS, "arrival_seq"))
-    rows = decoded(raw, now, message.alias("raw"), F.coalesce("retryCount", F.lit(0)).alias("retry_count")).persist()
+    message = F.struct(*RAW_FIELDS, "arrival_seq").alias("raw")
+    rows = decoded(raw, now, message, F.coalesce("retryCount", F.lit(0)).alias("retry_count"))
+    rows = with_month_checked(rows, now).withColumn("raw", F.when(F.col("reason").isNotNull(), F.to_json("raw"))).persist()
     try:
         good, rejected = split_rejected(rows, now)
         store.save_rows(without_repeats(good.select(*LOG_COLUMNS), store.keys_near(good, batch)), "logs", batch)
