@@ -88,9 +88,7 @@ def t10_stream_tiers(spark, folder):
         "occurredAt": F.concat(F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")), "attributes": F.col("attributes"),
     }
     raw = event_logs(spark, folder).select(*(fields.get(f, F.lit(None).cast("string")).alias(f) for f in RAW_FIELDS), "arrival_seq", F.lit(None).cast("int").alias("retryCount"))
-    for k in range(PARTS):
-        logs.land(raw.where(F.col("arrival_seq") % PARTS == k).coalesce(1), f"{root}/in")
-    start_ingestion(spark, f"{root}/in", f"{root}/store", now=_now()).awaitTermination()
+    _ingested(spark, [raw.where(F.col("arrival_seq") % PARTS == k) for k in range(PARTS)], root)
     found = Store(spark, f"{root}/store").issues()
     return found.select(F.right("project_id", F.lit(1)).cast("long").alias("project_id"), "fingerprint", "title", "status", "severity", "fingerprint_quality", "occurrence_count", "first_seq", "last_seq")
 
