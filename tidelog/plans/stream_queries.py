@@ -113,7 +113,7 @@ def t04_retry(spark, folder):
     root = work_folder(spark, "retry")
     raw = _raw(spark, folder).withColumn("retryCount", F.lit(None).cast("int"))
     store = Store(spark, f"{root}/store")
-    take_batch(store, raw, 0, F.lit("2023-01-01 00:00:00").cast("timestamp"))
+    take_batch(store, logs.dealt(raw), 0, F.lit("2023-01-01 00:00:00").cast("timestamp"))
     retry_rejected(store, f"{root}/again")
     take_batch(store, logs.raw_batch(spark, f"{root}/again"), 1, _now())
     fates = store.rows("rejected").select(F.col("reason").alias("fate"), F.col("retry_count").alias("tries"))
