@@ -204,7 +204,7 @@ def test_counters(spark):
     assert Progress().batches == {}
 
 
-@pytest.mark.parametrize("name", ["s01_stream_logs", "t10_stream_issues", "t10_stream_tiers", "t04_retry"])
+@pytest.mark.parametrize("name", ["s01_stream_logs", "t10_stream_issues", "t10_stream_tiers", "t04_retry", "d10_stream_status"])
 def test_messages_are_landed_and_taken_by_many_tasks(spark, monkeypatch, name):
     """However few row groups the events lie in: no step of the query goes through one task."""
     from tidelog.plans import stream_queries

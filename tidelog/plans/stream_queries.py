@@ -98,12 +98,12 @@ def d10_stream_status(spark, folder):
     """States set by hand between two batches of the stream's store, one of which runs again (d10)."""
     store = Store(spark, work_folder(spark, "statuses"))
     raw = _raw(spark, folder).withColumn("retryCount", F.lit(None).cast("int"))
-    take_batch(store, raw.where("arrival_seq % 2 = 0"), 0, _now())
+    take_batch(store, logs.dealt(raw.where("arrival_seq % 2 = 0")), 0, _now())
     found = store.issues().select("project_id", "fingerprint")
     store.set_statuses(found.select("*", F.lit("UNRESOLVED").alias("new_status")))
     store.set_statuses(found.where(F.right("project_id", F.lit(1)).isin("1", "3")).select("*", F.lit("RESOLVED").alias("new_status")))
     for batch in (1, 0):
-        take_batch(store, raw.where(F.col("arrival_seq") % 2 == batch), batch, _now())
+        take_batch(store, logs.dealt(raw.where(F.col("arrival_seq") % 2 == batch)), batch, _now())
     return store.issues().groupBy("project_id", "status").agg(F.sum("occurrence_count").alias("occurrences"))
 
 
