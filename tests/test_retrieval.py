@@ -46,3 +46,19 @@ def test_empty_tables(spark):
     none, some = spark.createDataFrame([], "id long, text string"), spark.createDataFrame([(1, "a b")], "id long, text string")
     for docs, questions in ((none, some), (some, none), (none, none)):
         assert retrieve(passages(docs, "id", "text"), questions.toDF("q", "text"), 2, "id", "q", "text").count() == 0
+
+
+def test_texts_are_read_and_taken_apart_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame([(i, f"w{i} common É{i % 3} W{i}") for i in range(50)] + [(50, None), (51, " ,")], "doc_id long, text string").coalesce(2).mapInArrow(counting, "doc_id long, text string")
+    found = passages(docs, "doc_id", "text", 2)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+    got = retrieve(found, spark.createDataFrame([(0, "w7 É1"), (1, "common")], "item long, text string"), 3, "doc_id", "item", "text").collect()
+    assert seen.value == 52
+    assert sorted(tuple(r) for r in got) == brute_force([(i, f"w{i} common É{i % 3} W{i}") for i in range(50)], [(0, "w7 É1"), (1, "common")], 3, 2)

@@ -25,15 +25,18 @@ FIRST, BLOCK = 200, 64
 
 def terms_of(text: Column) -> Column:
     """Words, A-Z in lower case; a null text has none."""
-    lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    whole = F.coalesce(text, F.lit(""))
+    # A text of ASCII only takes the faster way to the same.
+    lowered = F.when(F.octet_length(whole) == F.char_length(whole), F.lower(whole)).otherwise(F.translate(whole, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
 
 
 def passages(docs: DataFrame, id_col: str, text_col: str, words: int = 100) -> DataFrame:
     """id_col, passage (its number, from 0), terms: runs of so many words; the last one may be shorter."""
-    split = docs.select(id_col, terms_of(F.col(text_col)).alias("_terms")).where(F.size("_terms") > 0)
-    numbers = F.explode(F.sequence(F.lit(0), F.floor((F.size("_terms") - 1) / words).cast("int")))
-    return split.select(id_col, "_terms", numbers.alias("passage")).select(id_col, "passage", F.slice("_terms", F.col("passage") * words + 1, F.lit(words)).alias("terms"))
+    split = docs.select(id_col, terms_of(F.col(text_col)).alias("_terms"))
+    # No filter by the terms before they are dealt out, nor one that Spark would infer from explode: it would have them found twice.
+    numbers = F.explode_outer(F.when(F.size("_terms") > 0, F.sequence(F.lit(0), F.floor((F.size("_terms") - 1) / words).cast("int"))))
+    return split.select(id_col, "_terms", numbers.alias("passage")).where("passage IS NOT NULL").select(id_col, "passage", F.slice("_terms", F.col("passage") * words + 1, F.lit(words)).alias("terms"))
 
 
 def _impact(documents: int, terms: int) -> Column:
@@ -48,10 +51,13 @@ def retrieve(found: DataFrame, questions: DataFrame, k: int, id_col: str, questi
     """
     steps = Steps(found.sparkSession, "retrieval")
     asked = steps.save(questions.select(F.col(question_id).alias("q"), F.explode(terms_of(F.col(question_text))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("times")), "asked")
-    seen = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms")).first()
-    counted = found.select(F.col(id_col).alias("id"), "passage", F.size("terms").alias("n"), F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "passage", "n", "term").agg(F.count("*").alias("tf"))
-    counted = steps.save(counted, "counted")
-    held = counted.groupBy("term").agg(F.count("*").alias("df"))
+    # Texts are read and taken apart once: each passage has a row of the empty term too, which no question has, and these rows are what all passages are counted by.
+    wanted = asked.select("term").distinct().unionAll(found.sparkSession.createDataFrame([("",)], "term string"))
+    dealt = found.select(F.col(id_col).alias("id"), "passage", F.size("terms").alias("n"), F.explode_outer(F.concat("terms", F.array(F.lit("")))).alias("term"))
+    every = steps.save(dealt.join(steps.save(wanted, "wanted"), "term", "left_semi").groupBy("id", "passage", "n", "term").agg(F.count("*").alias("tf")), "counted")
+    seen = every.where("term = ''").agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
+    counted = every.where("term != ''")
+    held = steps.save(counted.groupBy("term").agg(F.count("*").alias("df")), "held")  # written, so that Spark sees how small it is
     block = F.pmod(F.xxhash64("id", F.floor(F.col("passage") / 8)), F.lit(max(1, seen["n"] // BLOCK))).alias("block")
     postings = steps.save(counted.join(held, "term").select("term", "id", "passage", block, "df", _impact(seen["n"], seen["terms"]).alias("impact")), "postings")
     greatest = postings.groupBy("term").agg(F.max("impact").alias("most"), F.max("df").alias("df"))
@@ -69,12 +75,15 @@ def retrieve(found: DataFrame, questions: DataFrame, k: int, id_col: str, questi
 
     rarest = Window.partitionBy("q").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
     start = terms.where("most > 0").withColumn("before", F.coalesce(F.sum("df").over(rarest), F.lit(0))).where(F.col("before") < FIRST).select("q", "term")
-    first = steps.save(scored(postings.join(start, "term").select("q", "id", "passage").distinct()), "first")
+    first = steps.save(scored(steps.save(postings.join(start, "term").select("q", "id", "passage").distinct(), "start")), "first")
     threshold = best(first).groupBy("q").agg(F.when(F.count("*") == k, F.min("score")).otherwise(1).alias("least"))
     # What the terms of smaller greatest impact could add together; those that stay below the threshold are not essential.
     rising = Window.partitionBy("q").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = steps.save(terms.join(threshold, "q", "left").withColumn("least", F.coalesce("least", F.lit(1))).withColumn("essential", F.sum("most").over(rising) >= F.col("least")).select("q", "term", "times", "least", "essential"), "ranked")
-    partial = postings.join(ranked.where("essential"), "term").groupBy("q", "id", "passage", "block").agg(F.sum(F.col("impact") * F.col("times")).alias("sure"), F.max("least").alias("least"))
+    ranked = terms.join(threshold, "q", "left").withColumn("least", F.coalesce("least", F.lit(1))).withColumn("essential", F.sum("most").over(rising) >= F.col("least"))
+    others = F.coalesce(F.sum(F.when(~F.col("essential"), F.col("most"))).over(Window.partitionBy("q")), F.lit(0))
+    ranked = steps.save(ranked.withColumn("others", others).select("q", "term", "times", "least", "essential", "others"), "ranked")
+    partial = postings.join(ranked.where("essential"), "term").groupBy("q", "id", "passage", "block").agg(F.sum(F.col("impact") * F.col("times")).alias("sure"), F.max("least").alias("least"), F.max("others").alias("others"))
+    partial = partial.where(F.col("sure") + F.col("others") >= F.col("least")).drop("others")  # by what the others have anywhere, before it is looked up by block
     rest = blocks.join(ranked.where("NOT essential"), "term").groupBy("q", "block").agg(F.sum(F.col("most") * F.col("times")).alias("rest"))
     may = partial.join(rest, ["q", "block"], "left").where(F.col("sure") + F.coalesce("rest", F.lit(0)) >= F.col("least")).select("q", "id", "passage")
     fresh = steps.save(may.join(first.select("q", "id", "passage"), ["q", "id", "passage"], "left_anti"), "fresh")
