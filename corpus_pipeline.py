@@ -56,7 +56,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 at least."""
+    """One document of each group of near copies stays: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 at least; SimHash first, bands for what its two bits cannot reach."""
     return first_of_near_copies(docs)
 
 

@@ -351,3 +351,22 @@ def test_sha_of_kept_lines(spark, docs):
     rows, df = docs
     got = dedup_lines(df).select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("s"), "text").collect()
     assert all(r["text"] is None or hashlib.sha256(r["text"].encode()).hexdigest() == r["s"] for r in got)
+
+
+def test_near_copies_go_by_simhash_first(spark, monkeypatch):
+    """Without any band, near copies whose fingerprints lie within two bits are found all the same."""
+    from tidelog.llm import near_copies
+    from tidelog.llm.simhash import fingerprints_of_hashes
+
+    words = [f"word{i * 7919 % 1009}" for i in range(600)]
+    texts = [" ".join(words), " ".join([*words, "more"]), "quite another text of some words", " ".join(words).upper(), "a b", "c d"]
+    prints = [int(x) for x in fingerprints_of_hashes([near_copies.shingle_set(t.encode(), 5) for t in texts])]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2
+    monkeypatch.setattr(near_copies, "band_keys", lambda least: [])
+    kept = first_of_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4, 5]
+    # Where fingerprints say nothing, similarity and bands give the same.
+    monkeypatch.undo()
+    monkeypatch.setattr(near_copies, "fingerprints_of_hashes", lambda hashes: np.zeros(len(hashes), np.uint64))
+    kept = first_of_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4, 5]

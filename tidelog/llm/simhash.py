@@ -49,15 +49,19 @@ LEAVES = [[1 << i for i in range(BITS) if not k >> i & 1] for k in KEEPS]
 def fingerprints(texts: list[bytes], shingle: int) -> np.ndarray:
     """64-bit fingerprints of texts in UTF-8."""
     join, digest = b" ".join, xxhash.xxh64_intdigest
-    hashes, counts = [], []
+    hashes = []
     for text in texts:
         words = text.translate(LOWER).split()  # at the white space x20 and x09-x0D
         of = list(map(join, zip(*(words[i:] for i in range(shingle)), strict=False))) if len(words) >= shingle else [join(words)] if words else []
-        counts.append(len(of))
         hashes.append(np.fromiter(map(digest, of, repeat(SEED)), np.uint64, len(of)))
-    counts = np.array(counts, np.int64)
+    return fingerprints_of_hashes(hashes)
+
+
+def fingerprints_of_hashes(hashes: list[np.ndarray]) -> np.ndarray:
+    """64-bit fingerprints of texts, from the 64-bit hashes of each one's shingles."""
+    counts = np.array([len(h) for h in hashes], np.int64)
     some = np.flatnonzero(counts)
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros(len(hashes), np.uint64)
     if len(some):
         sizes = counts[some]
         begins = np.cumsum(sizes) - sizes
