@@ -221,3 +221,47 @@ def test_messages_are_landed_and_taken_by_many_tasks(spark, monkeypatch, name):
     with pytest.raises(Seen) as parts:
         getattr(stream_queries, name)(spark, FOLDER)
     assert parts.value.args[0] >= spark.sparkContext.defaultParallelism
+
+
+def test_a_batch_is_decoded_once_and_not_cached(spark, tmp_path, monkeypatch):
+    """Good and rejected rows are written by one job, as they are stored; only repeats make the logs be written again."""
+    from pyspark.sql import DataFrame
+
+    from tidelog.streaming import ingest
+
+    def cached(*_):
+        raise AssertionError("a batch was cached")
+
+    again = []
+    monkeypatch.setattr(DataFrame, "persist", cached)
+    monkeypatch.setattr(ingest, "without_repeats", lambda *args, f=ingest.without_repeats: again.append(1) or f(*args))
+    store = Store(spark, f"file://{tmp_path}/store")
+    raw = messages(spark)
+    take_batch(store, raw.where("arrival_seq % 2 = 0"), 0, now())
+    take_batch(store, raw.where("arrival_seq % 2 = 1"), 1, now())
+    take_batch(store, raw.where("arrival_seq % 2 = 1"), 1, now())  # again: its own logs are no repeats
+    assert not again and not (tmp_path / "store" / "aside").exists()
+    rows, bad = store.rows().count(), store.rows("rejected").count()
+    assert rows + bad == raw.count() and min(rows, bad) > 0
+    take_batch(store, raw.where("arrival_seq % 2 = 0").unionAll(raw.where("arrival_seq % 2 = 0")), 2, now())
+    assert again and store.rows().count() == rows and store.rows("logs", 2).count() == 0
+
+
+def test_batches_without_good_or_rejected_rows(spark, tmp_path):
+    """Each takes the place of what its batch had stored before."""
+    store = Store(spark, f"file://{tmp_path}/store")
+    raw = messages(spark)
+    good, bad = raw.where("arrival_seq % 11 IN (0, 3, 5, 7)"), raw.where("arrival_seq % 11 = 2")
+    found = []
+    for part in (good, bad, good.where("false"), good):
+        take_batch(store, part, 0, now())
+        found.append((store.rows().count(), store.rows("rejected").count(), store.issues().count() > 0))
+    assert found == [(good.count(), 0, True), (0, bad.count(), False), (0, 0, False), (good.count(), 0, True)]
+
+
+def test_repeats_are_seen(spark):
+    from tidelog.operators.ingest import any_repeats
+
+    at = lambda *ids: spark.createDataFrame([(i, dt.datetime(2024, 1, 1)) for i in ids], "log_id string, occurred_at timestamp")
+    assert not any_repeats(at("a", "b"), at()) and not any_repeats(at("a", "b"), at("c", "c")) and not any_repeats(at(), at("c"))
+    assert any_repeats(at("a", "b", "a"), at()) and any_repeats(at("a", "b"), at("b")) and any_repeats(at("a"), at("a", "a"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import first_line, jtrim, let, message_of_line, normalize_message, type_of_line
+from .text import first_line, jtrim, let, message_of_line, normalize_value, type_of_line
 
 #: A frame (package and class, method, file, line), a numbered lambda, and the prefixes of library frames.
 FRAME = r"at\s+([a-zA-Z0-9_.]+)\.([a-zA-Z0-9_<>$]+)\(([^:)]+):?(\d+)?\)"
@@ -74,13 +74,18 @@ def app_frames(archive: Column, prefixes: Sequence[str] = APP_PREFIXES) -> Colum
 
 def fingerprint(archive: Column, severity: Column, category: Column, prefixes: Sequence[str] = APP_PREFIXES) -> Column:
     """struct(fingerprint, quality, strategy). Tiers by what the text has: three frames, one, type and message, message, nothing."""
+    return let(hash_and_quality(archive, severity, category, prefixes), lambda f: F.struct(f["fingerprint"].alias("fingerprint"), f["quality"].alias("quality"), strategy(f["quality"]).alias("strategy")))
+
+
+def hash_and_quality(archive: Column, severity: Column, category: Column, prefixes: Sequence[str] = APP_PREFIXES) -> Column:
+    """struct(fingerprint, quality): all that logs and issues keep, without the name of the strategy, which would be looked up for every row."""
     fallback = F.concat_ws("_", F.coalesce(severity, F.lit("null")), F.coalesce(category, F.lit("null")))
 
     def of_parts(p: Column) -> Column:
         frames, kind, said = p["frames"], p["kind"], p["said"]
         n, typed, spoken = F.size(frames), kind.isNotNull() & said.isNotNull(), F.length(said) > 0
         stack = F.concat(F.coalesce(F.concat(kind, F.lit("\n")), F.lit("")), F.array_join(frames, "\n"), F.lit("\n"))
-        plain = F.concat(F.when(typed, F.concat(kind, F.lit("\n"))).otherwise(""), normalize_message(said))
+        plain = F.concat(F.when(typed, F.concat(kind, F.lit("\n"))).otherwise(""), normalize_value(said))
         text = F.when(n >= 1, stack).when(typed | spoken, plain).otherwise(fallback)
         tier = F.when(n >= FULL_STACK_FRAMES, "HIGH").when(n >= 1, "MEDIUM").when(typed, "LOW").when(spoken, "VERY_LOW").otherwise("FALLBACK")
         return F.struct(F.sha2(text, 256).alias("fingerprint"), tier.alias("quality"))
@@ -89,8 +94,7 @@ def fingerprint(archive: Column, severity: Column, category: Column, prefixes: S
         said = F.when(F.length(archive) > 0, message_of_line(line))
         return F.struct(app_frames(archive, prefixes).alias("frames"), type_of_line(line).alias("kind"), said.alias("said"))
 
-    found = let(let(jtrim(first_line(archive)), of_line), of_parts)
-    return let(found, lambda f: F.struct(f["fingerprint"].alias("fingerprint"), f["quality"].alias("quality"), strategy(f["quality"]).alias("strategy")))
+    return let(let(jtrim(first_line(archive)), of_line), of_parts)
 
 
 def strategy(tier: Column) -> Column:

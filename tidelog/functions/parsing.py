@@ -69,8 +69,7 @@ def uuid_or_new(c: Column) -> Column:
 
 def parse_json_object(c: Column) -> Column:
     """Null: an empty object. The text of a JSON object stays; anything else: null."""
-    text = F.coalesce(c, F.lit("{}"))
-    return F.when(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), text)
+    return F.when(c.isNull(), "{}").when(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), c)
 
 
 def to_json_text(c: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -88,12 +89,17 @@ STEPS = (mask_uuids, mask_ips, mask_timestamps, mask_paths, mask_players, mask_i
 #: What a text must hold for a step to change it; the others look at digits, which most messages have.
 NEEDED = {mask_uuids: "-", mask_paths: "[/\\\\]", mask_players: "player_", mask_items: "item_", mask_addresses: "@"}
 #: A text without any of these can only have its numbers masked: a time has hyphens, an address dots.
-ANY_NEEDED = r"[-./\\@]|player_|item_"
+ANY_NEEDED = ("-", ".", "/", "\\", "@", "player_", "item_")
 
 
 def normalize_message(c: Column) -> Column:
     """What varies between occurrences of one message, masked. Null and empty stay."""
-    return let(c, lambda x: F.when(x.rlike(ANY_NEEDED), _all_steps(x)).otherwise(mask_numbers(x)))
+    return let(c, normalize_value)
+
+
+def normalize_value(x: Column) -> Column:
+    """As ``normalize_message``, of a column or field, which costs nothing to be named often."""
+    return F.when(reduce(Column.__or__, [F.contains(x, F.lit(part)) for part in ANY_NEEDED]), _all_steps(x)).otherwise(mask_numbers(x))
 
 
 def _all_steps(c: Column) -> Column:
@@ -117,8 +123,8 @@ def message(archive: Column) -> Column:
 
 
 def type_of_line(line: Column) -> Column:
-    part = let(F.when(F.contains(line, F.lit(":")), F.substring_index(line, ":", 1)), jtrim)
-    return let(part, lambda p: F.when(F.contains(p, F.lit(".")), p))
+    part = jtrim(F.substring_index(line, ":", 1))
+    return F.when(F.contains(line, F.lit(":")), let(part, lambda p: F.when(F.contains(p, F.lit(".")), p)))
 
 
 def message_of_line(line: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fingerprint import issue_fingerprint, log_fingerprint
+from ..functions.fingerprint import hash_and_quality
 from ..functions.parsing import parse_category, parse_json_object, parse_severity, parse_time, parse_uuid, uuid_or_new
 from ..functions.text import is_blank, only_newlines
 from ..sources.schemas import LENGTHS
@@ -36,7 +36,8 @@ def decoded(raw: DataFrame, now: Column | None = None, *more: Column) -> DataFra
         parse_time(F.col("ingestedAt"), now).alias("ingested_at"),
         F.col("traceId").alias("trace_id"),
         F.col("spanId").alias("span_id"),
-        F.coalesce(F.when(F.length("fingerprint") > 0, F.col("fingerprint")), log_fingerprint(F.col("archive"), severity)["fingerprint"]).alias("fingerprint"),
+        # The category is not known yet (functions.fingerprint.log_fingerprint).
+        F.coalesce(F.when(F.length("fingerprint") > 0, F.col("fingerprint")), hash_and_quality(F.col("archive"), severity, F.lit(None).cast("string"))["fingerprint"]).alias("fingerprint"),
         parse_json_object(F.col("resource")).alias("resource"),
         parse_json_object(F.col("attributes")).alias("attributes"),
         parse_time(F.col("createdAt"), now).alias("created_at"),
@@ -77,7 +78,7 @@ def decoded_requests(requests: DataFrame, now: Column | None = None) -> DataFram
         now.alias("ingested_at"),
         F.col("traceId").alias("trace_id"),
         F.col("spanId").alias("span_id"),
-        issue_fingerprint(F.col("archive"), severity, category)["fingerprint"].alias("fingerprint"),
+        hash_and_quality(F.col("archive"), severity, category)["fingerprint"].alias("fingerprint"),
         parse_json_object(F.col("resource")).alias("resource"),
         parse_json_object(F.col("attributes")).alias("attributes"),
         "arrival_seq",
@@ -107,3 +108,11 @@ def without_repeats(logs: DataFrame, stored: DataFrame | None = None) -> DataFra
     """One row per (log_id, occurred_at), and none that is stored already."""
     once = logs.dropDuplicates(["log_id", "occurred_at"])
     return once if stored is None else once.join(stored.select("log_id", "occurred_at"), ["log_id", "occurred_at"], "left_anti")
+
+
+def any_repeats(logs: DataFrame, stored: DataFrame) -> bool:
+    """Whether ``without_repeats`` may leave any log out. Keys are counted by 64 bits: if two keys share them by chance, the answer is yes though nothing repeats."""
+    key = F.xxhash64("log_id", "occurred_at").alias("key")
+    both = logs.select(key, F.lit(1).alias("own")).unionAll(stored.select(key, F.lit(0).alias("own")))
+    counts = both.groupBy("key").agg(F.sum("own").alias("own"), F.count("*").alias("all"))
+    return not counts.where("own > 1 OR (own = 1 AND all > 1)").isEmpty()

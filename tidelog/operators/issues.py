@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fingerprint import APP_PREFIXES, initial_status, issue_fingerprint
+from ..functions.fingerprint import APP_PREFIXES, hash_and_quality, initial_status
 from ..functions.text import issue_title
 
 KEYS = ["project_id", "fingerprint"]
@@ -22,7 +22,7 @@ FIRST = ["title", "status", "severity", "fingerprint_quality", "first_occurred_a
 
 def fingerprinted(logs: DataFrame, prefixes: Sequence[str] = APP_PREFIXES) -> DataFrame:
     """Logs with the columns that issues are made of; the fingerprint is computed once a row."""
-    found = logs.withColumn("_found", issue_fingerprint(F.col("archive"), F.col("severity"), F.col("event_category"), prefixes))
+    found = logs.withColumn("_found", hash_and_quality(F.col("archive"), F.col("severity"), F.col("event_category"), prefixes))
     return found.select(
         "project_id",
         F.col("_found.fingerprint").alias("fingerprint"),

@@ -19,11 +19,11 @@ ISSUES = f"""{fingerprints_sql()}, issues AS (SELECT project_id, fingerprint, ar
   arg_max(occurred_at, arrival_seq) AS last_occurred_at, min(arrival_seq) AS first_seq, max(arrival_seq) AS last_seq FROM printed GROUP BY project_id, fingerprint)"""
 
 
-def _raw(spark, folder):
-    """Events as raw messages, some of them bad."""
+def _raw(spark, folder, deal=lambda events: events):
+    """Events as raw messages, some of them bad. deal: what is done to the events first, which are far narrower than messages."""
     seq, case = F.col("event_id"), F.col("event_id") % 11
     uid = lambda c: F.concat(F.lit("550e8400-e29b-41d4-a716-"), F.lpad(c.cast("string"), 12, "0"))
-    return table(spark, folder, "events").select(
+    return deal(table(spark, folder, "events")).select(
         uid(seq).alias("logId"),
         F.when(case == 1, "nonsense").when(case == 2, None).otherwise(uid(F.col("user_id") % 5)).alias("projectId"),
         F.when(case == 3, "").otherwise(F.concat(F.lit("s-"), F.col("user_id"))).alias("sessionId"),

@@ -25,16 +25,20 @@ ALL_FILES = 1_000_000
 EPOCH = 1_700_000_000
 
 
-def _parts(spark, folder) -> list[DataFrame]:
-    """The messages in several parts."""
-    raw = _raw(spark, folder).withColumn("retryCount", F.lit(None).cast("int"))
+def _dealt_events(events: DataFrame) -> DataFrame:
+    return logs.dealt(events, by="event_id")
+
+
+def _parts(spark, folder, deal=_dealt_events) -> list[DataFrame]:
+    """The messages in several parts, each dealt over all tasks."""
+    raw = _raw(spark, folder, deal).withColumn("retryCount", F.lit(None).cast("int"))
     return [raw.where(F.col("arrival_seq") % PARTS == k) for k in range(PARTS)]
 
 
 def _ingested(spark, parts: list[DataFrame], root: str) -> None:
-    """Each part through the stream as a batch of its own, of files that all tasks have written: landed while the stream stands still, and taken when it goes on from its checkpoint."""
+    """Each part through the stream as a batch of its own, of files that all tasks have written (parts come dealt): landed while the stream stands still, and taken when it goes on from its checkpoint."""
     for part in parts:
-        logs.land(logs.dealt(part), f"{root}/in")
+        logs.land(part, f"{root}/in")
         start_ingestion(spark, f"{root}/in", f"{root}/store", files_per_trigger=ALL_FILES, now=_now()).awaitTermination()
 
 
@@ -46,8 +50,8 @@ def _streamed(spark, folder) -> Store:
     store = Store(spark, f"{root}/store")
     again = store.rows("logs", 1).select("arrival_seq").unionByName(store.rows("rejected", 1).select("arrival_seq"))
     seen = [r[0] for r in again.agg(F.min(F.col("arrival_seq") % PARTS)).collect()]
-    take_batch(store, logs.dealt(parts[seen[0]]), 1, _now())
-    take_batch(store, logs.dealt(parts[0]), PARTS, _now())
+    take_batch(store, parts[seen[0]], 1, _now())
+    take_batch(store, parts[0], PARTS, _now())
     return store
 
 
@@ -88,7 +92,7 @@ def t10_stream_tiers(spark, folder):
         "occurredAt": F.concat(F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")), "attributes": F.col("attributes"),
     }
     raw = event_logs(spark, folder).select(*(fields.get(f, F.lit(None).cast("string")).alias(f) for f in RAW_FIELDS), "arrival_seq", F.lit(None).cast("int").alias("retryCount"))
-    _ingested(spark, [raw.where(F.col("arrival_seq") % PARTS == k) for k in range(PARTS)], root)
+    _ingested(spark, [logs.dealt(raw.where(F.col("arrival_seq") % PARTS == k)) for k in range(PARTS)], root)
     found = Store(spark, f"{root}/store").issues()
     return found.select(F.right("project_id", F.lit(1)).cast("long").alias("project_id"), "fingerprint", "title", "status", "severity", "fingerprint_quality", "occurrence_count", "first_seq", "last_seq")
 
@@ -168,7 +172,7 @@ def d12_drop_month(spark, folder):
 def a15_backlog(spark, folder):
     """What waits in the landing folder and what is set aside (a15, s16, t15)."""
     root = work_folder(spark, "backlog")
-    parts = _parts(spark, folder)
+    parts = _parts(spark, folder, deal=lambda events: events)
     for part in parts:
         logs.land(part.coalesce(1), f"{root}/in")  # a file each: they are counted
     store = Store(spark, f"{root}/store")

@@ -22,9 +22,9 @@ def raw_batch(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW_MESSAGE).json(path)
 
 
-def dealt(messages: DataFrame, each: int = 4) -> DataFrame:
-    """The messages over so many parts a core, however few files or row groups they come from: decoding or writing them costs far more than a shuffle."""
-    return messages.repartition(each * messages.sparkSession.sparkContext.defaultParallelism)
+def dealt(messages: DataFrame, each: int = 4, by: str | None = None) -> DataFrame:
+    """The messages over so many parts a core, however few files or row groups they come from: decoding or writing them costs far more than a shuffle. by: a column of many values, which spares the sort that dealing in turn takes."""
+    return messages.repartition(each * messages.sparkSession.sparkContext.defaultParallelism, *([] if by is None else [by]))
 
 
 def land(messages: DataFrame, path: str) -> None:

@@ -87,20 +87,53 @@ class Segments:
 
     def _published(self, rows: DataFrame, level: int, first: int, last: int, stored: list[Segment]) -> Segment:
         """Written aside, then named."""
-        aside = f"_aside-{uuid.uuid4().hex}"
-        rows.sortWithinPartitions("occurred_month", "occurred_at").write.options(**self.options).partitionBy("occurred_month").parquet(f"{self.root}/{aside}")
+        aside = f"{self.root}/_aside-{uuid.uuid4().hex}"
+        self._write(rows, aside)
+        return self._named(aside, level, first, last, stored)
+
+    def _write(self, rows: DataFrame, path: str, *above: str) -> None:
+        """A folder for each month, in one for each value of the columns ``above`` it."""
+        folders = [*above, "occurred_month"]
+        rows.sortWithinPartitions(*folders, "occurred_at").write.options(**self.options).partitionBy(*folders).parquet(path)
+
+    def _named(self, written: str, level: int, first: int, last: int, stored: list[Segment]) -> Segment:
         made = Segment(level, first, last, max((s.number for s in stored), default=-1) + 1)
-        fs, folder = self._at(aside)
+        fs, root = self._at("")
+        fs.mkdirs(root)
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(written)
         if not fs.rename(folder, self._at(f"segment={made.name}")[1]):
             raise OSError(f"{folder} could not be renamed to {made.name}")
         return made
 
+    @staticmethod
+    def _of_batch(rows: DataFrame, batch: int) -> DataFrame:
+        return rows.withColumns({"batch": F.lit(batch).cast("long"), "occurred_month": F.date_format("occurred_at", "yyyy-MM")})
+
     def publish(self, rows: DataFrame, batch: int) -> None:
         """Rows (with occurred_at) as the batch, in place of what it has published before; then what is full is merged, and what was superseded before goes."""
         before = self.stored()
+        self._published(self._of_batch(rows, batch), 0, batch, batch, before)
+        self._settle(before)
+
+    def prepare(self, rows: DataFrame, batch: int, path: str, by: str) -> None:
+        """Writes rows as ``publish`` would, into a folder ``by=value`` of the path for each value of a column: each can be published, here or in another folder of segments with the same key."""
+        self._write(self._of_batch(rows, batch), path, by)
+
+    def prepared(self, path: str) -> DataFrame:
+        """Rows of such a folder; none if no row has its value."""
+        fs, folder = self._at("")[0], self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs.mkdirs(folder)
+        return self.spark.read.schema(self.schema).parquet(path).drop("segment")
+
+    def publish_prepared(self, path: str, batch: int) -> None:
+        """As ``publish``, of such a folder: it gets its name, and nothing is written again."""
+        before = self.stored()
+        self._at("")[0].mkdirs(self.spark._jvm.org.apache.hadoop.fs.Path(path))
+        self._named(path, 0, batch, batch, before)
+        self._settle(before)
+
+    def _settle(self, before: list[Segment]) -> None:
         keeps = self.visible(before)
-        by_month = rows.withColumns({"batch": F.lit(batch).cast("long"), "occurred_month": F.date_format("occurred_at", "yyyy-MM")})
-        self._published(by_month, 0, batch, batch, before)
         self._merge()
         for segment in before:
             if segment not in keeps:

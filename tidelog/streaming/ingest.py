@@ -7,6 +7,7 @@ no batch reads or writes all issues. Partial issues merge associatively, hence b
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.control import retried
-from ..operators.ingest import decoded, split_rejected, with_month_checked, without_repeats
+from ..operators.ingest import any_repeats, decoded, with_month_checked, without_repeats
 from ..operators.issues import KEYS, merge, rollup, with_status
 from ..operators.months import expired
 from ..sources.logs import land, raw_stream
@@ -115,16 +116,27 @@ class Store:
 
 
 def take_batch(store: Store, raw: DataFrame, batch: int, now: Column | None = None) -> None:
-    """One micro-batch: logs first, then rejected rows, then issues; the checkpoint moves on when all are written."""
+    """One micro-batch: logs first, then rejected rows, then issues; the checkpoint moves on when all are written.
+
+    Messages are decoded once, into a folder aside that has good and rejected rows as they are stored, so both need only a name. Logs are written once more if some of them came before or come twice.
+    """
     message = F.struct(*RAW_FIELDS, "arrival_seq").alias("raw")
     rows = decoded(raw, now, message, F.coalesce("retryCount", F.lit(0)).alias("retry_count"))
-    rows = with_month_checked(rows, now).withColumn("raw", F.when(F.col("reason").isNotNull(), F.to_json("raw"))).persist()
+    rows = with_month_checked(rows, now).withColumns({"raw": F.when(F.col("reason").isNotNull(), F.to_json("raw")), "fate": F.when(F.col("reason").isNull(), "good").otherwise("rejected")})
+    logs, rejected = store.segments("logs"), store.segments("rejected")
+    store._delete("aside")  # of a batch that was lost
+    aside = f"{store.root}/aside/{uuid.uuid4().hex}"
     try:
-        good, rejected = split_rejected(rows, now)
-        store.save_rows(without_repeats(good.select(*LOG_COLUMNS), store.keys_near(good, batch)), "logs", batch)
-        store.save_rows(rejected.select(*(c.split()[0] for c in REJECTED.split(", "))), "rejected", batch)
+        logs.prepare(rows, batch, aside, "fate")
+        good = logs.prepared(f"{aside}/fate=good").select(*LOG_COLUMNS)
+        stored = store.keys_near(good, batch)
+        if any_repeats(good, stored):
+            store.save_rows(without_repeats(good, stored), "logs", batch)
+        else:
+            logs.publish_prepared(f"{aside}/fate=good", batch)
+        rejected.publish_prepared(f"{aside}/fate=rejected", batch)
     finally:
-        rows.unpersist()
+        store._delete("aside")
     store.save_issues(rollup(store.rows("logs", batch)), batch)  # read again: generated ids must not change
     if batch % MERGE_EVERY == MERGE_EVERY - 1:
         store.merge_issues(batch)
